@@ -1,0 +1,60 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# A side is broadcast only after a count proved that it has at most this many rows.
+BROADCAST_ROWS = 100_000
+HOT_SHARE = 0.001
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(facts: DataFrame, key: str, share: float, floor: int) -> DataFrame:
+    """Keys holding more than ``share`` of all rows: at most 1/share of them."""
+    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    limit = counts.agg(
+        F.greatest(F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(share), F.lit(float(floor))).alias("_l")
+    ).scalar()
+    return counts.where(F.col("_n") > limit).select(key)
+
+
+def salted_lookup(
+    facts: DataFrame,
+    dim: DataFrame,
+    key: str,
+    spread_by: str,
+    how: str = "left",
+    share: float = HOT_SHARE,
+    floor: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Equi-join with a dimension that is unique per ``key``.
+
+    Rows of a hot key are dealt over ``salts`` partitions by ``spread_by``, and
+    only the matching dimension rows are repeated. The list of hot keys cannot
+    exceed 1/share entries whatever the data volume, so it is safe to broadcast.
+    """
+    hot = F.broadcast(hot_keys(facts, key, share, floor).withColumn("_hot", F.lit(True)))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    left = facts.join(hot, key, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
+    copies = F.when(
+        F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))
+    ).otherwise(F.array(F.lit(0)))
+    right = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt", "_hot")
+
+
+def lookup(
+    facts: DataFrame, dim: DataFrame, key: str, spread_by: str, how: str = "left",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join with a configuration-sized dimension, unique per ``key``.
+
+    Counting stops after ``broadcast_rows + 1`` rows; a larger dimension takes
+    the salted join instead.
+    """
+    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return facts.join(F.broadcast(dim), key, how)
+    return salted_lookup(facts, dim, key, spread_by, how)
