@@ -21,6 +21,10 @@ from shipgauge.settings import (
 )
 
 ITERATIONS_PER_UNIT = 50
+# Item pairs drawn in one row. Adding a row to the hash table costs as much as
+# drawing a pair; more pairs per row would push the generated method past the
+# size the JIT compiles.
+PAIRS_PER_ROW = 2
 
 
 def effective_distribution(sizes: DataFrame) -> DataFrame:
@@ -92,27 +96,35 @@ def iteration_totals(
         c("remaining") - c("_chunk") * (2 * draws.PAIRS_PER_CHUNK),
         F.lit(2 * draws.PAIRS_PER_CHUNK),
     )
-    pairs = (
+    words = [(f"_a{k}", f"_b{k}") for k in range(PAIRS_PER_ROW)]
+    last_row = F.floor((in_chunk - 1) / F.lit(2 * PAIRS_PER_ROW))
+    rows = (
         draws.mix(lanes, "_ka", "_kb")
         .withColumn("_items", in_chunk)
-        .withColumn("_pair", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.shiftright(c("_items") - 1, 1))
-        ))
+        .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("bigint"), last_row)))
         .withColumns({
-            "_ka": draws.step(c("_ka"), c("_pair"), draws.STEP_A),
-            "_kb": draws.step(c("_kb"), c("_pair"), draws.STEP_B),
+            name: draws.step(c(lane), c("_row") * PAIRS_PER_ROW + k, increment)
+            for k, pair in enumerate(words)
+            for name, lane, increment in zip(pair, ("_ka", "_kb"), (draws.STEP_A, draws.STEP_B))
         })
     )
-    radius, angle = draws.normal_pair(c("_ka"), c("_kb"))
-    drawn = draws.mix(pairs, "_ka", "_kb").withColumns({"_r": radius, "_t": angle})
-
-    def item_ms(wave: Column) -> Column:
-        hours = F.greatest(F.lit(MIN_ITEM_HOURS), c("mean") + c("stddev") * (c("_r") * wave))
-        return stats.to_ms(hours)
+    drawn = draws.mix(rows, *[name for pair in words for name in pair])
+    for k, (a, b) in enumerate(words):
+        radius, angle = draws.normal_pair(c(a), c(b))
+        drawn = drawn.withColumns({f"_r{k}": radius, f"_t{k}": angle})
+
+    def item_ms(radius: Column, wave: Column) -> Column:
+        return stats.to_ms(
+            F.greatest(F.lit(MIN_ITEM_HOURS), c("mean") + c("stddev") * (radius * wave))
+        )
 
-    second = F.when(c("_pair") * 2 + 1 < c("_items"), item_ms(F.sin("_t"))).otherwise(F.lit(0))
+    row_ms = F.lit(0).cast("bigint")
+    for k in range(PAIRS_PER_ROW):
+        for half, wave in enumerate((F.cos(f"_t{k}"), F.sin(f"_t{k}"))):
+            index = (c("_row") * PAIRS_PER_ROW + k) * 2 + half
+            row_ms = row_ms + F.when(index < c("_items"), item_ms(c(f"_r{k}"), wave)).otherwise(F.lit(0))
     return (
-        drawn.withColumn("_ms", item_ms(F.cos("_t")) + second)
+        drawn.withColumn("_ms", row_ms)
         .groupBy("project_key", "iteration")
         .agg(F.sum("_ms").alias("total_ms"))
     )

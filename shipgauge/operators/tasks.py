@@ -26,21 +26,24 @@ def _given(name: str) -> Column:
     return F.nullif(F.col(name).cast("string"), F.lit(""))
 
 
-def _checked(tasks: DataFrame) -> DataFrame:
-    """Adds parsed dates and ``reject_reason`` (NULL for a valid task)."""
-    parsed = tasks.withColumns({out: parse_task_date(_given(src)) for src, out in DATES.items()})
-    reason = F.when(_given("key").isNull(), F.lit("key is required"))
-    for src, out in DATES.items():
-        reason = reason.when(
-            _given(src).isNotNull() & F.col(out).isNull(),
-            F.concat(F.lit(f"{src}: not a date: "), F.col(src)),
-        )
-    return parsed.withColumn("reject_reason", reason)
-
-
-def _as_items(checked: DataFrame) -> DataFrame:
+def _problem(name: str) -> Column:
+    """What is wrong with a date column; NULL when it is empty or a date."""
+    return F.when(
+        _given(name).isNotNull() & parse_task_date(F.col(name)).isNull(),
+        F.concat(F.lit(f"{name}: not a date: "), F.col(name)),
+    )
+
+
+def _reject_reason() -> Column:
+    return F.coalesce(
+        F.when(_given("key").isNull(), F.lit("key is required")), *[_problem(name) for name in DATES]
+    )
+
+
+def _as_items(tasks: DataFrame) -> DataFrame:
     start, end = F.col("in_progress_ts"), F.col("done_ts")
-    return checked.select(
+    dated = tasks.withColumns({out: parse_task_date(_given(src)) for src, out in DATES.items()})
+    return dated.select(
         F.col("key").alias("item_id"),
         F.col("type").alias("item_type"),
         F.col("summary").alias("description"),
@@ -54,22 +57,20 @@ def _as_items(checked: DataFrame) -> DataFrame:
 
 def items_from_tasks(tasks: DataFrame) -> DataFrame:
     """Strict conversion: the first invalid task fails the job."""
-    checked = _checked(tasks)
-    passed = F.when(
-        F.col("reject_reason").isNotNull(),
-        F.raise_error(F.concat_ws(" ", F.lit("task"), F.col("key").cast("string"), "reject_reason"))
-        .cast("boolean"),
-    ).otherwise(F.lit(True))
-    return _as_items(checked.where(passed))
+    message = F.concat_ws(" ", F.lit("task"), F.col("key").cast("string"), _reject_reason())
+    valid = _reject_reason().isNull() | F.raise_error(message).cast("boolean")
+    return _as_items(tasks.where(valid))
 
 
 def valid_items_from_tasks(tasks: DataFrame) -> DataFrame:
     """Items of the valid tasks; ``task_rejects`` holds the others."""
-    return _as_items(_checked(tasks).where(F.col("reject_reason").isNull()))
+    return _as_items(tasks.where(_reject_reason().isNull()))
 
 
 def task_rejects(tasks: DataFrame) -> DataFrame:
-    return _checked(tasks).where(F.col("reject_reason").isNotNull()).select("key", "reject_reason")
+    return tasks.select("key", _reject_reason().alias("reject_reason")).where(
+        F.col("reject_reason").isNotNull()
+    )
 
 
 def items_from_synced_tasks(tasks: DataFrame) -> DataFrame:

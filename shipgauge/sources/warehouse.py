@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pyspark.sql.types import StructType
+
 from shipgauge.settings import Settings
 
 CFG = Settings(
@@ -21,6 +23,7 @@ CFG = Settings(
     size_labels=(("size:S", "S"), ("size:M", "M"), ("size:L", "L"), ("size:XL", "XL")),
 )
 AS_OF = "2001-08-01 00:00:00"
+_schemas: dict[str, StructType] = {}
 
 
 def as_of() -> Column:
@@ -28,8 +31,15 @@ def as_of() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its zone-less times are instants in the session's zone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its zone-less times are instants in the session's zone.
+
+    The schema is read from the file once; later reads of the same table skip
+    the job that infers it.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_schemas[path]).parquet(path)
     zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({n: F.col(n).cast("timestamp") for n in zoneless})
 
@@ -140,8 +150,8 @@ def reference_items(spark: SparkSession, d: str) -> DataFrame:
 def tasks(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     def day(offset: int, month: str) -> Column:
-        number = (F.lit(1) + (key + offset) % 28).cast("string")
-        return F.concat(F.lit(f"2001-{month}-"), F.lpad(number, 2, "0"))
+        first = F.lit(f"2001-{month}-01").cast("date")
+        return F.date_add(first, ((key + offset) % 28).cast("int")).cast("string")
     spelling = F.element_at(
         F.array(*[F.lit(x) for x in (
             "todo", "To Do", " to_do ", "", "in_progress", "In Progress", "done", "completed", "blocked", "Custom",
