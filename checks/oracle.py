@@ -394,7 +394,7 @@ SELECT o_orderkey AS issue_key, CASE o_orderkey % 5
     "items_from_tasks_strict": sql("SELECT item_id, size, status, created, cycle_hours FROM v_task_items", "v_task_items"),
     "task_rejects": """
 SELECT p_partkey AS key, 'created_at: not a date: 2001-13-45' AS reject_reason FROM part WHERE p_partkey % 97 = 0""",
-    "story_points_typed": """
+    "story_points": """
 SELECT event_id AS issue_key, CASE WHEN event_id % 4 = 3 THEN CAST(event_id % 13 AS DOUBLE) ELSE 0.0 END AS points
 FROM events""",
     "issue_filter": sql("""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shipgauge.functions.fields import story_points
+from shipgauge.functions import fields
 from shipgauge.functions.labels import first_mapped, first_prefixed
 from shipgauge.functions.status import normalize_status, normalize_task_status
 from shipgauge.functions.times import parse_tracker_time
@@ -278,9 +278,9 @@ def task_rejects(s, d):
 
 
 @query
-def story_points_typed(s, d):
+def story_points(s, d):
     return wh.raw_fields(s, d).select(
-        "issue_key", story_points(F.col("raw"), "customfield_10002").alias("points")
+        "issue_key", fields.story_points(F.col("raw"), "customfield_10002").alias("points")
     )
 
 
@@ -401,7 +401,7 @@ def size_stats(s, d):
 
 @query
 def type_stats(s, d):
-    return rollup.type_stats(items(s, d))
+    return rollup.type_stats(rollup.group_facts(items(s, d), wh.as_of(), wh.CFG, ("item_type",)))
 
 
 @query

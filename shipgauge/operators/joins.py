@@ -32,12 +32,13 @@ def salted_lookup(
 ) -> DataFrame:
     """Equi-join with a dimension that is unique per ``key``.
 
-    Rows of a hot key are dealt over ``salts`` partitions by ``spread_by``, and
-    only the matching dimension rows are repeated. The list of hot keys cannot
+    Rows of a hot key, and rows without a key, are dealt over ``salts`` partitions
+    by ``spread_by``; only the dimension rows of hot keys are repeated. The list of hot keys cannot
     exceed 1/share entries whatever the data volume, so it is safe to broadcast.
     """
     hot = F.broadcast(hot_keys(facts, key, share, floor).withColumn("_hot", F.lit(True)))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    wide = F.col("_hot") | F.col(key).isNull()
+    spread = F.when(wide, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     left = facts.join(hot, key, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
     copies = F.when(
         F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))

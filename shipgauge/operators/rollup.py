@@ -1,9 +1,9 @@
 """Grouped item metrics.
 
-``size_facts`` and ``project_facts`` are the two wide aggregates everything else
-is derived from. Each is one scan, one map-side combined shuffle, and carries
-only counts, sums and minima, so a project holding a third of all items sends
-one partial row per task like any other.
+``group_facts`` is the one wide aggregate everything else is derived from: a
+single scan and one map-side combined shuffle. It carries only counts, sums and
+minima, so a project holding a third of all items sends one partial row per task
+like any other, and facts of a fine grain add up to those of a coarser one.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ def with_sample(items: DataFrame) -> DataFrame:
     )
 
 
+def _shown_type() -> Column:
+    return F.coalesce(F.nullif(F.col("item_type"), F.lit("")), F.lit("Untyped"))
+
+
 def throughput_count(as_of: Column, days: int) -> Column:
     """Items with a done time after the cutoff, whatever their status now."""
     return F.count_if(F.col("done_ts") > days_before(as_of, days))
@@ -48,24 +52,34 @@ def _count_measures(cfg: Settings, as_of: Column) -> list[Column]:
     ]
 
 
-def size_facts(items: DataFrame, as_of: Column, cfg: Settings = Settings()) -> DataFrame:
-    """All measures per (project, size)."""
+def group_facts(
+    items: DataFrame, as_of: Column, cfg: Settings = Settings(), by: tuple[str, ...] = ()
+) -> DataFrame:
+    """All measures per project and the columns ``by`` (size, item_type)."""
+    names = {"size": F.coalesce("size", F.lit("")), "item_type": _shown_type()}
     return (
         with_sample(items)
-        .groupBy("project_key", F.coalesce("size", F.lit("")).alias("size"))
+        .groupBy("project_key", *[names[n].alias(n) for n in by])
         .agg(*_count_measures(cfg, as_of))
     )
 
 
+def add_up(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of a fine grain as facts per project and ``by``."""
+    keys = ("project_key", "size", "item_type", "started")
+    return facts.groupBy("project_key", *by).agg(
+        *[F.sum(c).alias(c) for c in facts.columns if c not in keys], F.min("started").alias("started")
+    )
+
+
+def size_facts(items: DataFrame, as_of: Column, cfg: Settings = Settings()) -> DataFrame:
+    return group_facts(items, as_of, cfg, ("size",))
+
+
 def project_facts(source: DataFrame, as_of: Column, cfg: Settings = Settings()) -> DataFrame:
-    """All measures per project, from items or from ``size_facts`` rows."""
-    if "cycle_sum_ms" in source.columns:
-        sums = [c for c in source.columns if c not in ("project_key", "size", "started")]
-        grouped = source.groupBy("project_key").agg(
-            *[F.sum(c).alias(c) for c in sums], F.min("started").alias("started")
-        )
-    else:
-        grouped = with_sample(source).groupBy("project_key").agg(*_count_measures(cfg, as_of))
+    """All measures per project, from items or from finer facts."""
+    finer = "cycle_sum_ms" in source.columns
+    grouped = add_up(source) if finer else group_facts(source, as_of, cfg)
     return grouped.withColumns({
         "avg_cycle_hours": F.coalesce(
             stats.mean_hours(F.col("cycle_sum_ms"), F.col("cycle_n")), F.lit(0.0)
@@ -112,13 +126,10 @@ def size_stats(facts: DataFrame) -> DataFrame:
     )
 
 
-def type_stats(items: DataFrame) -> DataFrame:
-    kind = F.coalesce(F.nullif(F.col("item_type"), F.lit("")), F.lit("Untyped"))
-    return (
-        items.where(is_live(F.col("status")))
-        .groupBy("project_key", kind.alias("item_type"))
-        .agg(F.count("*").alias("total"), F.count_if(is_done(F.col("status"))).alias("done"))
-        .withColumn("remaining", F.col("total") - F.col("done"))
+def type_stats(facts: DataFrame) -> DataFrame:
+    """Totals per item type, from facts by item_type; canceled items do not count."""
+    return facts.where(F.col("total") > 0).select(
+        "project_key", "item_type", "total", "done", (F.col("total") - F.col("done")).alias("remaining")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipgauge.functions.status import is_done, is_live
+from shipgauge.operators.joins import salted_lookup
 from shipgauge.sources.scratch import materialize
 
 
@@ -111,7 +112,7 @@ def recent_comments(comments: DataFrame, n: int = 0) -> DataFrame:
         "author", F.coalesce(F.nullif(F.col("author"), F.lit("")), F.lit("Unknown"))
     )
     totals = comments.groupBy("issue_key").agg(F.count("*").alias("total_comments"))
-    shown = named
     if n > 0:
-        shown = top_rows(named, "issue_key", [F.col("seq").desc()], n, "_rank").drop("_rank")
-    return shown.join(totals, "issue_key")
+        last = top_rows(named, "issue_key", [F.col("seq").desc()], n, "_rank").drop("_rank")
+        return last.join(totals, "issue_key")
+    return salted_lookup(named, totals, "issue_key", spread_by="seq", how="inner")

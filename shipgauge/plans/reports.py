@@ -31,20 +31,27 @@ class Forecasting:
 
 @dataclass(frozen=True)
 class BaseFacts:
-    sizes: DataFrame
     projects: DataFrame
+    sizes: DataFrame
+    types: DataFrame | None = None
 
 
-def base_facts(items: DataFrame, projects: DataFrame, as_of: Column, cfg: Settings) -> BaseFacts:
-    """Size-level and project-level measures from a single pass over the items.
+def base_facts(
+    items: DataFrame, projects: DataFrame, as_of: Column, cfg: Settings, with_types: bool = False
+) -> BaseFacts:
+    """Measures per project, size and perhaps type from a single pass over the items.
 
     Projects without items are kept, with NULL measures.
     """
-    sizes = materialize(rollup.size_facts(items, as_of, cfg), "size-facts")
+    grain = ("size", "item_type") if with_types else ("size",)
+    fine = materialize(rollup.group_facts(items, as_of, cfg, grain), "facts")
+    sizes = rollup.add_up(fine, ("size",)) if with_types else fine
+    types = rollup.add_up(fine, ("item_type",)) if with_types else None
     named = projects.withColumn("project_key", selection.project_id()).select(
         "project_key", "name", "epic_key", "capacity"
     )
-    return BaseFacts(sizes, named.join(rollup.project_facts(sizes, as_of, cfg), "project_key", "left"))
+    facts = rollup.project_facts(fine, as_of, cfg)
+    return BaseFacts(named.join(facts, "project_key", "left"), sizes, types)
 
 
 def _has_samples() -> Column:
@@ -201,7 +208,7 @@ def report_sections(
     how: Forecasting = Forecasting(), pv_after_end: str = "total",
 ) -> dict[str, DataFrame]:
     """The tables of a full report: overview, eva, forecast, sizes, types."""
-    base = base_facts(items, projects, as_of, cfg)
+    base = base_facts(items, projects, as_of, cfg, with_types=True)
     present = base.projects.where(F.col("items") > 0)
     plans = earned.with_plan(present, cfg)
     forecast = _forecast(base, present.where(_has_samples()), cfg, how)
@@ -213,7 +220,7 @@ def report_sections(
         "eva": earned.eva_metrics(plans, as_of, pv_after_end),
         "forecast": forecast.withColumn("target_date", target_date(as_of, F.col("days"))),
         "sizes": rollup.size_stats(base.sizes),
-        "types": rollup.type_stats(items),
+        "types": rollup.type_stats(base.types),
     }
 
 

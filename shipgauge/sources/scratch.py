@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     that goes away with the process; on a cluster a machine's own folder would
     be invisible to the other machines, so that is an error.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -167,6 +167,16 @@ class HistoryStore:
         return HistoryStore(self.spark, root, self.keep)
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """A catalog table bucketed and sorted by ``key``.
+
+    With issues and transitions bucketed alike by issue_key, the anchors and
+    their join with the issues need no shuffle.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     """One JSON document per row."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,13 +130,17 @@ def test_issue_pages(spark, tmp_path, multiline):
     assert one(issue_source.attachments_flat(pages))["created_day"] == "2026-04-02"
 
 
-def test_scratch_reads_the_session_setting(spark, tmp_path):
-    spark.conf.set(scratch.CHECKPOINT_DIR, str(tmp_path))
-    try:
-        assert scratch.shared_dir(spark) == str(tmp_path)
-    finally:
-        spark.conf.unset(scratch.CHECKPOINT_DIR)
-    assert scratch.shared_dir(spark) == scratch.shared_dir(spark) != str(tmp_path)
+def session_like(master, **conf):
+    context = SimpleNamespace(master=master, applicationId="x", getConf=lambda: conf)
+    return SimpleNamespace(conf=conf, sparkContext=context)
+
+
+def test_scratch_reads_the_session_setting(spark):
+    named = session_like("spark://host", **{scratch.CHECKPOINT_DIR: "hdfs:///tmp/work/"})
+    assert scratch.shared_dir(named) == "hdfs:///tmp/work"
+    with pytest.raises(RuntimeError, match=scratch.CHECKPOINT_DIR):
+        scratch.shared_dir(session_like("spark://host"))
+    assert scratch.shared_dir(spark) == scratch.shared_dir(spark)
 
 
 # Streams
@@ -198,3 +203,20 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert one(streaming.read_project_status(spark, sink))["done"] == 1
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    log = spark.createDataFrame([(str(i % 50), ago(hours=i), i, "a", "status", "", "Done") for i in range(200)],
+                                "issue_key STRING, ts TIMESTAMP, seq INT, author STRING, field STRING, from_status STRING, to_status STRING")
+    keys = log.select("issue_key").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        log = stores.save_bucketed(log, "bucketed_log", "issue_key", 4)
+        keys = stores.save_bucketed(keys, "bucketed_keys", "issue_key", 4)
+        joined = keys.join(ingest.first_transitions(log), "issue_key", "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bucketed_log")
+        spark.sql("DROP TABLE IF EXISTS bucketed_keys")
