@@ -14,6 +14,7 @@ from shipgauge.operators import (
     audit, earned, ingest, quantiles, refclass, rollup, selection, series, tasks, trends,
 )
 from shipgauge.plans import reports
+from shipgauge.session import tune
 from shipgauge.sources import issues as issue_source, scratch, stores, warehouse as wh
 from shipgauge.streaming import status as streaming
 
@@ -26,7 +27,8 @@ HISTORY_DAYS = 60
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Registers ``f``; as a registered query it runs with the skew settings on."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(tune(spark), sf_dir)
     return f
 
 

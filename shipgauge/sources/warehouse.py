@@ -75,11 +75,12 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"
     )
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    code = F.concat("l_linestatus", "l_returnflag")
+    flag = F.col("l_returnflag")
     to_status = (
-        F.when(code == "ON", "In Progress").when(code == "OA", "In Development")
-        .when(code == "OR", "To Do").when(code == "FA", "Done")
-        .when(code == "FN", "Awaiting Dev Deployment").when(code == "FR", "Done")
+        F.when(F.col("l_linestatus") == "O",
+               F.when(flag == "N", "In Progress").when(flag == "A", "In Development").when(flag == "R", "To Do"))
+        .when(F.col("l_linestatus") == "F",
+              F.when(flag == "N", "Awaiting Dev Deployment").when(flag.isin("A", "R"), "Done"))
     )
     return line.join(orders, "l_orderkey").select(
         F.col("l_orderkey").alias("issue_key"),
