@@ -7,23 +7,65 @@ any order, and every derived value is computed once from those three numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MS_PER_HOUR = 3_600_000.0
+# A product of two halves stays below 2^43 for durations up to 200 years, and
+# sums of halves stay in a BIGINT for 10^12 rows.
+HALF_BITS = 20
 
 
 def to_ms(hours: Column) -> Column:
     return F.floor(hours * F.lit(MS_PER_HOUR) + F.lit(0.5))
 
 
-def sum_ms(ms: Column) -> Column:
-    """Exact sum. DECIMAL so that no number of rows can overflow a BIGINT."""
-    return F.sum(ms.cast("decimal(18,0)"))
+def sum_parts(ms: Column, name: str) -> list[Column]:
+    """Aggregates for an exact sum of non-negative ``ms``, joined up by ``resolve``.
 
+    A BIGINT sum could overflow for a huge group and a DECIMAL one is several
+    times slower per row, so the halves of the number are summed as BIGINT.
+    """
+    return [F.sum(_high(ms)).alias(f"{name}_hi"), F.sum(_low(ms)).alias(f"{name}_lo")]
 
-def sum_sq_ms(ms: Column) -> Column:
-    wide = ms.cast("decimal(18,0)")
-    return F.sum(wide * wide)
+
+def square_parts(ms: Column, name: str) -> list[Column]:
+    """Aggregates for an exact sum of squares: (a + b)^2 by halves a, b of ``ms``."""
+    a, b = _high(ms), _low(ms)
+    return [
+        F.sum(a * a).alias(f"{name}_aa"),
+        *sum_parts(a * b, f"{name}_ab"),
+        *sum_parts(b * b, f"{name}_bb"),
+    ]
+
+
+def resolve(df: DataFrame, sums: tuple[str, ...] = (), squares: tuple[str, ...] = ()) -> DataFrame:
+    """Replace parts by their DECIMAL values; 0 for a group without values."""
+    wide = F.lit(1 << HALF_BITS).cast("decimal(8,0)")
+
+    def part(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).cast("decimal(19,0)")
+
+    def total(name: str) -> Column:
+        return part(f"{name}_hi") * wide + part(f"{name}_lo")
+
+    def square(name: str) -> Column:
+        cross = total(f"{name}_ab") * F.lit(2 << HALF_BITS).cast("decimal(8,0)")
+        return part(f"{name}_aa") * wide * wide + cross + total(f"{name}_bb")
+
+    halves = [f"{n}_{h}" for n in sums for h in ("hi", "lo")]
+    quarters = [f"{n}_{h}" for n in squares for h in ("aa", "ab_hi", "ab_lo", "bb_hi", "bb_lo")]
+    return df.withColumns({
+        **{n: total(n).cast("decimal(30,0)") for n in sums},
+        **{n: square(n).cast("decimal(38,0)") for n in squares},
+    }).drop(*halves, *quarters)
+
+
+def _high(ms: Column) -> Column:
+    return F.shiftright(ms, HALF_BITS)
+
+
+def _low(ms: Column) -> Column:
+    return ms.bitwiseAND(F.lit((1 << HALF_BITS) - 1))
 
 
 def mean_hours(total_ms: Column, n: Column) -> Column:

@@ -19,11 +19,12 @@ def refclass_items(items: DataFrame) -> DataFrame:
     )
 
 
-def _sums(hours: Column) -> list[Column]:
-    ms = stats.to_ms(hours)
-    return [
-        F.count("*").alias("n"), stats.sum_ms(ms).alias("sum_ms"), stats.sum_sq_ms(ms).alias("sq_ms")
-    ]
+def _per_project(ref_items: DataFrame, *keys: str) -> DataFrame:
+    ms = stats.to_ms(F.col("cycle_hours"))
+    grouped = ref_items.groupBy("project_id", *keys).agg(
+        F.count("*").alias("n"), *stats.sum_parts(ms, "sum_ms"), *stats.square_parts(ms, "sq_ms")
+    )
+    return stats.resolve(grouped, ("sum_ms",), ("sq_ms",))
 
 
 def _added() -> list[Column]:
@@ -38,9 +39,9 @@ def refclass_distribution(ref_projects: DataFrame, ref_items: DataFrame) -> Data
     A combination without items has no row.
     """
     n, total, sq = F.col("n"), F.col("sum_ms"), F.col("sq_ms")
-    per_project = ref_items.groupBy("project_id", "item_type", "size").agg(*_sums(F.col("cycle_hours")))
     return (
-        per_project.join(ref_projects.select("project_id", "type"), "project_id")
+        _per_project(ref_items, "item_type", "size")
+        .join(ref_projects.select("project_id", "type"), "project_id")
         .groupBy("type", "item_type", "size")
         .agg(*_added())
         .select(
@@ -58,10 +59,9 @@ def refclass_summary(ref_projects: DataFrame, ref_items: DataFrame) -> DataFrame
     count, so no DISTINCT aggregation is needed.
     """
     n, total, sq = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "sum_ms", "sq_ms"))
-    per_project = ref_items.groupBy("project_id").agg(*_sums(F.col("cycle_hours")))
     return (
         ref_projects.select("project_id", "type")
-        .join(per_project, "project_id", "left")
+        .join(_per_project(ref_items), "project_id", "left")
         .groupBy("type")
         .agg(F.count("*").alias("project_count"), *_added())
         .select(

@@ -44,9 +44,9 @@ def _count_measures(cfg: Settings, as_of: Column) -> list[Column]:
         F.count_if(is_remaining(status) & ~wip).alias("to_do"),
         F.count_if(status == CANCELED).alias("canceled"),
         F.count_if(F.col("is_sample")).alias("cycle_n"),
-        stats.sum_ms(sample_ms).alias("cycle_sum_ms"),
-        stats.sum_sq_ms(sample_ms).alias("cycle_sq_ms"),
-        stats.sum_ms(F.when(F.col("cycle_hours") > 0, F.col("cycle_ms"))).alias("cost_ms"),
+        *stats.sum_parts(sample_ms, "cycle_sum_ms"),
+        *stats.square_parts(sample_ms, "cycle_sq_ms"),
+        *stats.sum_parts(F.when(F.col("cycle_hours") > 0, F.col("cycle_ms")), "cost_ms"),
         throughput_count(as_of, cfg.throughput_days).alias("recent_done"),
         F.min("created").alias("started"),
     ]
@@ -57,11 +57,12 @@ def group_facts(
 ) -> DataFrame:
     """All measures per project and the columns ``by`` (size, item_type)."""
     names = {"size": F.coalesce("size", F.lit("")), "item_type": _shown_type()}
-    return (
+    grouped = (
         with_sample(items)
         .groupBy("project_key", *[names[n].alias(n) for n in by])
         .agg(*_count_measures(cfg, as_of))
     )
+    return stats.resolve(grouped, ("cycle_sum_ms", "cost_ms"), ("cycle_sq_ms",))
 
 
 def add_up(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

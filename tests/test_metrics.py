@@ -177,3 +177,16 @@ def test_reference_distribution_is_population(spark):
 def test_reference_items_from_items(spark):
     done = [item("Done", "M", c) for c in (4, 5, 6)]
     assert refclass.refclass_items(items(spark, *done, item("To Do", "M", 3), item("Done", "M", 0))).count() == 3
+
+
+def test_exact_sums(spark):
+    """Halves of large numbers add up to the true sums."""
+    from shipgauge.functions import stats
+
+    values = [0, 1, (1 << 20) - 1, 1 << 20, (1 << 42) + 12345, 6_000_000_000_000, 999_999_999_999]
+    df = spark.createDataFrame([(v,) for v in values * 3] + [(None,)], "ms BIGINT")
+    parts = df.agg(*stats.sum_parts(F.col("ms"), "t"), *stats.square_parts(F.col("ms"), "s"))
+    got = one(stats.resolve(parts, ("t",), ("s",)))
+    assert got == {"t": 3 * sum(values), "s": 3 * sum(v * v for v in values)}
+    none = df.where("ms < 0").agg(*stats.sum_parts(F.col("ms"), "t"), *stats.square_parts(F.col("ms"), "s"))
+    assert one(stats.resolve(none, ("t",), ("s",))) == {"t": 0, "s": 0}
