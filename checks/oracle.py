@@ -507,11 +507,11 @@ JOIN (SELECT project_key, total FROM v_facts) USING (project_key)""", "v_items",
     "history_window": sql("""
 SELECT project_key, ts, total, completed, remaining, avg_cycle, throughput, progress_pct, p70, p95 FROM v_recent""", "v_recent"),
     "history_trend": sql("""
-SELECT *, CASE WHEN progress_change > 5 AND forecast_change < -5 THEN 'improving'
-               WHEN progress_change < -5 OR forecast_change > 10 THEN 'declining' ELSE 'stable' END AS direction
+SELECT *, CASE WHEN progress_change > 5 AND p70_change < -5 THEN 'improving'
+               WHEN progress_change < -5 OR p70_change > 10 THEN 'declining' ELSE 'stable' END AS direction
 FROM (SELECT a.project_key, a.entries, b.progress_pct - a.progress_pct AS progress_change,
              CASE WHEN a.throughput > 0 THEN (b.throughput - a.throughput) / a.throughput * 100 ELSE 0.0 END AS throughput_change,
-             CASE WHEN a.p70 > 0 THEN (b.p70 - a.p70) / a.p70 * 100 ELSE 0.0 END AS forecast_change
+             CASE WHEN a.p70 > 0 THEN (b.p70 - a.p70) / a.p70 * 100 ELSE 0.0 END AS p70_change
       FROM v_recent a JOIN v_recent b USING (project_key)
       WHERE a.first_rn = 1 AND b.last_rn = 1 AND a.entries >= 2)""", "v_recent"),
     "p85_drift": sql("SELECT * FROM v_drift", "v_drift"),
@@ -599,7 +599,7 @@ SELECT project_key, 'overview' AS section, '' AS label, metric, value FROM (
          unnest([CAST(total AS DOUBLE), done, in_progress, remaining, progress_pct, n, avg_cycle_hours]) AS value FROM v_facts)
 UNION ALL SELECT project_key, 'eva', '', unnest(['week', 'pv', 'ev', 'sv', 'spi', 'completion_week']),
                  unnest([CAST(week AS DOUBLE), pv, ev, sv, spi, completion_week]) FROM v_eva
-UNION ALL SELECT project_key, 'forecast', CAST(pct AS VARCHAR), 'days', days FROM v_run
+UNION ALL SELECT project_key, 'completion', CAST(pct AS VARCHAR), 'days', days FROM v_run
 UNION ALL SELECT project_key, 'sizes', size, unnest(['n', 'avg_hours']), unnest([CAST(n AS DOUBLE), mean]) FROM v_sizes WHERE n > 0
 UNION ALL SELECT project_key, 'types', item_type, unnest(['total', 'done', 'remaining']),
                  unnest([CAST(count(*) AS DOUBLE), count(*) FILTER (WHERE status = 'Done'), count(*) FILTER (WHERE status <> 'Done')])

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ITERATIONS = 500
-FORECASTING = reports.Forecasting(iterations=ITERATIONS)
+SAMPLING = reports.Sampling(iterations=ITERATIONS)
 HISTORY_DAYS = 60
 
 
@@ -629,14 +629,14 @@ def stream_project_status(s, d):
 
 @query
 def portfolio_run(s, d):
-    return reports.portfolio_run(items(s, d), all_projects(s, d), wh.as_of(), wh.CFG, FORECASTING)
+    return reports.portfolio_run(items(s, d), all_projects(s, d), wh.as_of(), wh.CFG, SAMPLING)
 
 
 @query
 def portfolio_history(s, d):
     """A run appended to the history store, and the latest entries read back."""
     store = stored_history(s, d)
-    run = reports.portfolio_run(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG, FORECASTING)
+    run = reports.portfolio_run(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG, SAMPLING)
     store.append(reports.history_entries(run, wh.as_of()))
     return plain_history(trends.history_latest(store.visible()))
 
@@ -644,7 +644,7 @@ def portfolio_history(s, d):
 @query
 def project_compare(s, d):
     return reports.project_compare(
-        items(s, d), wh.projects(s, d), p85_drift(s, d), wh.as_of(), wh.CFG, FORECASTING
+        items(s, d), wh.projects(s, d), p85_drift(s, d), wh.as_of(), wh.CFG, SAMPLING
     )
 
 
@@ -655,7 +655,7 @@ def compare_summary(s, d):
 
 @query
 def project_status(s, d):
-    return reports.project_status(items(s, d), all_projects(s, d), wh.as_of(), wh.CFG, FORECASTING)
+    return reports.project_status(items(s, d), all_projects(s, d), wh.as_of(), wh.CFG, SAMPLING)
 
 
 @query
@@ -666,5 +666,5 @@ def projects_list(s, d):
 @query
 def report_full(s, d):
     return reports.report_full(
-        reports.report_sections(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG, FORECASTING)
+        reports.report_sections(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG, SAMPLING)
     )

@@ -56,19 +56,19 @@ def history_trend(history: DataFrame, as_of: Column, days: int = 30) -> DataFram
         a, b = F.col(f"a.{name}"), F.col(f"b.{name}")
         return F.when(a > 0, (b - a) / a * 100).otherwise(F.lit(0.0))
 
-    progress, forecast = F.col("progress_change"), F.col("forecast_change")
+    progress, p70 = F.col("progress_change"), F.col("p70_change")
     return (
         _ends(in_window(history, as_of, days), row)
         .select(
             "project_key", "entries",
             (F.col("b.progress") - F.col("a.progress")).alias("progress_change"),
             change("throughput").alias("throughput_change"),
-            change("p70").alias("forecast_change"),
+            change("p70").alias("p70_change"),
         )
         .withColumn(
             "direction",
-            F.when((progress > 5) & (forecast < -5), "improving")
-            .when((progress < -5) | (forecast > 10), "declining")
+            F.when((progress > 5) & (p70 < -5), "improving")
+            .when((progress < -5) | (p70 > 10), "declining")
             .otherwise("stable"),
         )
     )

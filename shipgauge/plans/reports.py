@@ -23,7 +23,7 @@ from shipgauge.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
-class Forecasting:
+class Sampling:
     iterations: int = 10_000
     seed: int = 42
     rank_mode: str = "nearest"
@@ -59,7 +59,7 @@ def _has_samples() -> Column:
 
 
 def eligibility(facts: DataFrame) -> DataFrame:
-    """Whether a project can be forecast, and why not."""
+    """Whether a project can be projected, and why not."""
     reason = (
         F.when(F.coalesce(F.col("items"), F.lit(0)) == 0, "no data")
         .when(~_has_samples(), "no cycle time data")
@@ -67,8 +67,8 @@ def eligibility(facts: DataFrame) -> DataFrame:
     return facts.select("project_key", reason.isNull().alias("eligible"), reason.alias("reason"))
 
 
-def _forecast(
-    base: BaseFacts, wanted: DataFrame, cfg: Settings, how: Forecasting,
+def _completion(
+    base: BaseFacts, wanted: DataFrame, cfg: Settings, how: Sampling,
     percentiles: tuple[int, ...] = PERCENTILES,
 ) -> DataFrame:
     sizes = rollup.size_distribution(base.sizes).join(
@@ -82,12 +82,12 @@ def _forecast(
 
 def portfolio_run(
     items: DataFrame, projects: DataFrame, as_of: Column, cfg: Settings = Settings(),
-    how: Forecasting = Forecasting(), percentiles: tuple[int, ...] = PERCENTILES,
+    how: Sampling = Sampling(), percentiles: tuple[int, ...] = PERCENTILES,
 ) -> DataFrame:
-    """Forecast of every eligible project: one row per project and level."""
+    """Completion of every eligible project: one row per project and level."""
     base = base_facts(items, projects, as_of, cfg)
     eligible = base.projects.where(_has_samples())
-    levels = _forecast(base, eligible, cfg, how, percentiles)
+    levels = _completion(base, eligible, cfg, how, percentiles)
     return eligible.join(levels, "project_key").select(
         "project_key", "name", "total", F.col("done").alias("completed"), "remaining",
         "avg_cycle_hours", "throughput_per_day", "pct", "days",
@@ -111,15 +111,15 @@ def history_entries(run: DataFrame, as_of: Column) -> DataFrame:
 
 def project_compare(
     items: DataFrame, projects: DataFrame, drift: DataFrame, as_of: Column,
-    cfg: Settings = Settings(), how: Forecasting = Forecasting(iterations=5_000),
+    cfg: Settings = Settings(), how: Sampling = Sampling(iterations=5_000),
 ) -> DataFrame:
     """Projects with data side by side. ``drift``: project_key, p85_drift.
 
-    Without cycle times the forecast days are 0.
+    Without cycle times the projected days are 0.
     """
     base = base_facts(items, projects, as_of, cfg)
     present = base.projects.where(F.col("items") > 0)
-    wide = quantiles.quantiles_wide(_forecast(base, present.where(_has_samples()), cfg, how))
+    wide = quantiles.quantiles_wide(_completion(base, present.where(_has_samples()), cfg, how))
     days = {p: F.coalesce(F.col(f"p{p}"), F.lit(0.0)) for p in PERCENTILES}
     return (
         present.join(wide, "project_key", "left")
@@ -159,13 +159,13 @@ def compare_summary(comparison: DataFrame) -> DataFrame:
 
 def project_status(
     items: DataFrame, projects: DataFrame, as_of: Column,
-    cfg: Settings = Settings(), how: Forecasting = Forecasting(iterations=5_000),
+    cfg: Settings = Settings(), how: Sampling = Sampling(iterations=5_000),
 ) -> DataFrame:
     """Status line per project with data: counts, p85 and health."""
     base = base_facts(items, projects, as_of, cfg)
     present = base.projects.where(F.col("items") > 0)
     open_work = present.where(_has_samples() & (F.col("remaining") > 0))
-    p85 = _forecast(base, open_work, cfg, how, (85,)).select("project_key", F.col("days").alias("p85"))
+    p85 = _completion(base, open_work, cfg, how, (85,)).select("project_key", F.col("days").alias("p85"))
     return present.join(p85, "project_key", "left").select(
         "project_key", "name", "total", "done", "in_progress", "to_do", "progress_pct",
         "avg_cycle_hours", "p85", target_date(as_of, F.col("p85")).alias("target_date_85"),
@@ -205,20 +205,20 @@ def projects_list(items: DataFrame, projects: DataFrame, as_of: Column, cfg: Set
 
 def report_sections(
     items: DataFrame, projects: DataFrame, as_of: Column, cfg: Settings = Settings(),
-    how: Forecasting = Forecasting(), pv_after_end: str = "total",
+    how: Sampling = Sampling(), pv_after_end: str = "total",
 ) -> dict[str, DataFrame]:
-    """The tables of a full report: overview, eva, forecast, sizes, types."""
+    """The tables of a full report: overview, eva, completion, sizes, types."""
     base = base_facts(items, projects, as_of, cfg, with_types=True)
     present = base.projects.where(F.col("items") > 0)
     plans = earned.with_plan(present, cfg)
-    forecast = _forecast(base, present.where(_has_samples()), cfg, how)
+    completion = _completion(base, present.where(_has_samples()), cfg, how)
     return {
         "overview": present.select(
             "project_key", "total", "done", "in_progress", "to_do", "remaining", "progress_pct",
             "cycle_n", "avg_cycle_hours", "throughput_per_day",
         ),
         "eva": earned.eva_metrics(plans, as_of, pv_after_end),
-        "forecast": forecast.withColumn("target_date", target_date(as_of, F.col("days"))),
+        "completion": completion.withColumn("target_date", target_date(as_of, F.col("days"))),
         "sizes": rollup.size_stats(base.sizes),
         "types": rollup.type_stats(base.types),
     }
@@ -229,7 +229,7 @@ def report_full(sections: dict[str, DataFrame]) -> DataFrame:
     measures = {
         "overview": (None, ("total", "done", "in_progress", "remaining", "progress_pct", "cycle_n", "avg_cycle_hours")),
         "eva": (None, ("week", "pv", "ev", "sv", "spi", "completion_week")),
-        "forecast": ("pct", ("days",)),
+        "completion": ("pct", ("days",)),
         "sizes": ("size", ("n", "avg_hours")),
         "types": ("item_type", ("total", "done", "remaining")),
     }

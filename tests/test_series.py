@@ -106,7 +106,7 @@ def test_trend(spark, second, p70, direction):
     )
     got = one(trends.history_trend(h, now()))
     assert got["progress_change"] == pytest.approx(second - 40)
-    assert got["forecast_change"] == pytest.approx((p70 - 20) / 20 * 100)
+    assert got["p70_change"] == pytest.approx((p70 - 20) / 20 * 100)
     assert got["throughput_change"] == 50.0 and got["direction"] == direction
 
 
@@ -125,7 +125,7 @@ def test_drift_and_latest(spark):
 # Composite reports
 
 PROJECT = "project_key STRING, epic_key STRING, name STRING, capacity DOUBLE, config_order INT"
-QUICK = reports.Forecasting(iterations=50)
+QUICK = reports.Sampling(iterations=50)
 
 
 def portfolio(spark):
@@ -185,10 +185,10 @@ def test_full_report(spark):
     full = by(reports.report_full(reports.report_sections(data, projects, now(), how=QUICK)), "project_key", "section", "label", "metric")
     assert full["A", "overview", "", "progress_pct"]["value"] == 50.0
     assert full["A", "sizes", "M", "avg_hours"]["value"] == 4.0
-    assert full["A", "forecast", "85", "days"]["value"] == 1.0
+    assert full["A", "completion", "85", "days"]["value"] == 1.0
     assert full["C", "types", "Component", "remaining"]["value"] == 0.0
     assert full["A", "eva", "", "week"]["value"] == 3.0
-    assert ("B", "forecast", "85", "days") not in full
+    assert ("B", "completion", "85", "days") not in full
 
 
 def test_empty_portfolio(spark):
