@@ -6,7 +6,7 @@ week, ranks are row numbers over sorted draws, deviations come from whole sums.
 
 from __future__ import annotations
 
-from checks.queries import HISTORY_DAYS, ITERATIONS
+from checks.queries import HISTORY_DAYS, ITERATIONS, RUN_ITERATIONS
 
 AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
 
@@ -145,7 +145,7 @@ SELECT project_key, size, remaining, n > 0 AS is_observed,
 FROM v_sizes""")
 
 
-def scramble(needs: str, source: str, keep: str) -> str:
+def scramble(source: str, keep: str) -> str:
     """Three queries that scramble the 32-bit words a and b of ``source``."""
     out = f"SELECT {keep}, xor(a, a >> 16) AS a, xor(b, b >> 16) AS b FROM {source}"
     out = f"SELECT {keep}, (a * 569420461) & 4294967295 AS a, (b * 569420461) & 4294967295 AS b FROM ({out})"
@@ -154,48 +154,57 @@ def scramble(needs: str, source: str, keep: str) -> str:
     return f"SELECT {keep}, xor(a, a >> 15) AS a, xor(b, b >> 15) AS b FROM ({out})"
 
 
-view("v_lane", "v_dist", body=f"""
+_lane = "project_key, remaining, mean, stddev, iteration"
+
+
+def draw_views(tag: str, iterations: int) -> None:
+    """Sums of drawn work per project and iteration, pair by pair of items."""
+    view(f"v_lane{tag}", "v_dist", body=f"""
 SELECT project_key, remaining, mean, stddev, iteration,
        (a + iteration * 2654435761) & 4294967295 AS a, (b + iteration * 2654435761) & 4294967295 AS b
 FROM (SELECT *, CAST('0x' || substr(md5('42|' || project_key || '|' || size), 1, 8) AS BIGINT) AS a,
                 CAST('0x' || substr(md5('42|' || project_key || '|' || size), 9, 8) AS BIGINT) AS b
-      FROM v_dist WHERE remaining > 0), range(0, {ITERATIONS}) AS t(iteration)""")
-_lane = "project_key, remaining, mean, stddev, iteration"
-view("v_lane2", "v_lane", body=scramble("v_lane", "v_lane", _lane))
-# Pairs of items by chunks of 20000 pairs.
-view("v_pair", "v_lane2", body=f"""
-SELECT {_lane}, p, p // 20000 AS chunk, (a + (p // 20000) * 2246822519) & 4294967295 AS a,
+      FROM v_dist WHERE remaining > 0), range(0, {iterations}) AS t(iteration)""")
+    view(f"v_lane2{tag}", f"v_lane{tag}", body=scramble(f"v_lane{tag}", _lane))
+    # Pairs of items by chunks of 20000 pairs.
+    view(f"v_pair{tag}", f"v_lane2{tag}", body=f"""
+SELECT {_lane}, p, (a + (p // 20000) * 2246822519) & 4294967295 AS a,
        (b + (p // 20000) * 2246822519) & 4294967295 AS b
-FROM v_lane2, unnest(range(0, (remaining + 1) // 2)) AS t(p)""")
-view("v_pair2", "v_pair", body=scramble("v_pair", "v_pair", _lane + ", p"))
-view("v_pair3", "v_pair2", body=f"""
+FROM v_lane2{tag}, unnest(range(0, (remaining + 1) // 2)) AS t(p)""")
+    view(f"v_pair2{tag}", f"v_pair{tag}", body=scramble(f"v_pair{tag}", _lane + ", p"))
+    view(f"v_pair3{tag}", f"v_pair2{tag}", body=f"""
 SELECT {_lane}, p, (a + (p % 20000) * 3266489917) & 4294967295 AS a,
-       (b + (p % 20000) * 668265263) & 4294967295 AS b FROM v_pair2""")
-view("v_pair4", "v_pair3", body=scramble("v_pair3", "v_pair3", _lane + ", p"))
-view("v_totals", "v_pair4", body="""
+       (b + (p % 20000) * 668265263) & 4294967295 AS b FROM v_pair2{tag}""")
+    view(f"v_pair4{tag}", f"v_pair3{tag}", body=scramble(f"v_pair3{tag}", _lane + ", p"))
+    view(f"v_totals{tag}", f"v_pair4{tag}", body=f"""
 SELECT project_key, iteration,
        CAST(sum(CAST(floor(greatest(0.5, mean + stddev * (r * cos(t))) * 3600000.0 + 0.5) AS BIGINT)
          + CASE WHEN 2 * p + 1 < remaining
                 THEN CAST(floor(greatest(0.5, mean + stddev * (r * sin(t))) * 3600000.0 + 0.5) AS BIGINT)
                 ELSE 0 END) AS BIGINT) AS total_ms
 FROM (SELECT *, sqrt(-2.0 * ln((a + 0.5) / 4294967296.0)) AS r,
-             6.283185307179586 * ((b + 0.5) / 4294967296.0) AS t FROM v_pair4)
+             6.283185307179586 * ((b + 0.5) / 4294967296.0) AS t FROM v_pair4{tag})
 GROUP BY project_key, iteration""")
 
 
-def quantile_view(name: str, rank: str) -> None:
-    view(name, "v_totals", "v_projects", body=f"""
+def quantile_view(name: str, tag: str, iterations: int, compat: bool = False) -> None:
+    rank = f"CAST(ceil({iterations} * pct / 100.0) AS BIGINT)"
+    if compat:
+        rank = f"least({rank} + 1, {iterations})"
+    view(name, f"v_totals{tag}", "v_projects", body=f"""
 SELECT c.project_key, c.pct, coalesce(total_ms / (3600000.0 * c.capacity), 0.0) AS days
 FROM (SELECT project_key, coalesce(capacity, 8.0) AS capacity, pct,
              {rank} AS rank FROM v_projects, (VALUES (50), (70), (85), (95)) AS l(pct)) c
 LEFT JOIN (SELECT project_key, total_ms,
                   row_number() OVER (PARTITION BY project_key ORDER BY total_ms, iteration) AS rank
-           FROM v_totals) t ON t.project_key = c.project_key AND t.rank = c.rank""")
+           FROM v_totals{tag}) t ON t.project_key = c.project_key AND t.rank = c.rank""")
 
 
-_nearest = f"CAST(ceil({ITERATIONS} * pct / 100.0) AS BIGINT)"
-quantile_view("v_quant", _nearest)
-quantile_view("v_quant_compat", f"least({_nearest} + 1, {ITERATIONS})")
+draw_views("", ITERATIONS)
+draw_views("_run", RUN_ITERATIONS)
+quantile_view("v_quant", "", ITERATIONS)
+quantile_view("v_quant_compat", "", ITERATIONS, compat=True)
+quantile_view("v_quant_run", "_run", RUN_ITERATIONS)
 
 view("v_wide", "v_quant", body="""
 SELECT project_key, max(days) FILTER (WHERE pct = 50) AS p50, max(days) FILTER (WHERE pct = 70) AS p70,
@@ -363,9 +372,9 @@ GROUP BY project_type""", "v_projects", "v_ms"),
     "history_scan": sql(f"SELECT {HISTORY_COLUMNS} FROM v_kept", "v_kept"),
     "history_retained": sql(f"SELECT {HISTORY_COLUMNS} FROM v_kept", "v_kept"),
     "history_cleared": sql(f"""
-SELECT {HISTORY_COLUMNS} FROM v_kept
-WHERE project_key <> (SELECT n_name FROM nation WHERE n_nationkey = 3) OR ts > {AS_OF}""", "v_kept")
-    .replace("v_kept AS (", "v_kept AS (").replace("FROM v_history)\nWHERE rn", f"FROM v_history WHERE project_key <> (SELECT n_name FROM nation WHERE n_nationkey = 3) OR ts > {AS_OF})\nWHERE rn"),
+SELECT {HISTORY_COLUMNS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY ts DESC) AS rn FROM v_history
+  WHERE project_key <> (SELECT n_name FROM nation WHERE n_nationkey = 3) OR ts > {AS_OF}) WHERE rn <= 100""", "v_history"),
     "history_compacted": sql(f"SELECT {HISTORY_COLUMNS} FROM v_kept", "v_kept"),
     "json_sink": sql("SELECT project_key, total, done, target_70 FROM v_dashboard", "v_dashboard"),
     "sync_summary": sql("""
@@ -448,7 +457,7 @@ FROM v_items WHERE status <> 'Canceled' GROUP BY 1, 2""", "v_items"),
     "refclass_distribution": sql(f"""
 SELECT type, item_type, size, count(*) AS n, CAST(sum(ms) AS DOUBLE) / (count(*) * 3600000.0) AS mean,
        {POPULATION.format(n="count(*)")} AS stddev
-FROM v_refitems WHERE_TYPE GROUP BY type, item_type, size""".replace("WHERE_TYPE", "JOIN v_refprojects USING (project_id)"),
+FROM v_refitems JOIN v_refprojects USING (project_id) GROUP BY type, item_type, size""",
         "v_refitems", "v_refprojects"),
     "refclass_summary": sql(f"""
 SELECT type, count(DISTINCT p.project_id) AS project_count, count(ms) AS item_count,
@@ -458,7 +467,7 @@ FROM v_refprojects p LEFT JOIN v_refitems i ON i.project_id = p.project_id GROUP
         "v_refitems", "v_refprojects"),
     "first_transitions": sql("SELECT * FROM v_first", "v_first"),
     "throughput": sql("SELECT project_key, recent_done, throughput_per_day FROM v_facts", "v_facts"),
-    "completion_quantiles": sql("SELECT * FROM v_quant", "v_quant"),
+    "completion_quantiles": sql("SELECT * FROM v_quant_run", "v_quant_run"),
     "completion_quantiles_compat": sql("SELECT * FROM v_quant_compat", "v_quant_compat"),
     "percentile_map": sql("SELECT * FROM v_quant", "v_quant"),
     "missing_times": sql("SELECT * FROM v_missing", "v_missing"),

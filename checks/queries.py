@@ -21,7 +21,9 @@ from shipgauge.streaming import status as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ITERATIONS = 500
+# Iterations of a single run, and of the reports, which repeat it in many queries.
+RUN_ITERATIONS = 10_000
+ITERATIONS = 1_000
 SAMPLING = reports.Sampling(iterations=ITERATIONS)
 HISTORY_DAYS = 60
 
@@ -66,7 +68,7 @@ def pages(s: SparkSession, d: str) -> DataFrame:
 
 def stored_history(s: SparkSession, d: str) -> stores.HistoryStore:
     store = stores.HistoryStore(s, scratch.new_path(s, "history"))
-    store.append(wh.history(s, d))
+    store.append(wh.history(s, d), "weekly")
     return store
 
 
@@ -147,7 +149,7 @@ def refclass_append(s, d):
         "project_key", "name", F.col("project_type").alias("type"),
         F.to_date(wh.as_of()).alias("completed_at"), F.lit(5).alias("team_size"),
     )
-    store.add(classes, refclass.refclass_items(items(s, d)))
+    store.add(classes, refclass.refclass_items(items(s, d)), "finished")
     return refclass.refclass_summary(store.projects(), store.items())
 
 
@@ -436,21 +438,21 @@ def throughput(s, d):
     return rollup.throughput(project_facts(s, d))
 
 
-def _quantiles(s, d, rank_mode="nearest"):
+def _quantiles(s, d, iterations=ITERATIONS, rank_mode="nearest"):
     return quantiles.completion_quantiles(
         rollup.size_distribution(size_facts(s, d)), wh.projects(s, d), wh.CFG,
-        iterations=ITERATIONS, rank_mode=rank_mode,
+        iterations=iterations, rank_mode=rank_mode,
     )
 
 
 @query
 def completion_quantiles(s, d):
-    return _quantiles(s, d)
+    return _quantiles(s, d, RUN_ITERATIONS)
 
 
 @query
 def completion_quantiles_compat(s, d):
-    return _quantiles(s, d, "compat")
+    return _quantiles(s, d, rank_mode="compat")
 
 
 @query
@@ -637,7 +639,7 @@ def portfolio_history(s, d):
     """A run appended to the history store, and the latest entries read back."""
     store = stored_history(s, d)
     run = reports.portfolio_run(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG, SAMPLING)
-    store.append(reports.history_entries(run, wh.as_of()))
+    store.append(reports.history_entries(run, wh.as_of()), "run")
     return plain_history(trends.history_latest(store.visible()))
 
 

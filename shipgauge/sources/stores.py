@@ -91,32 +91,36 @@ def read_item_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def reference_project_id() -> Column:
-    return F.xxhash64("name", "type", "completed_at")
+def _put(df: DataFrame, path: str, batch: str) -> None:
+    """Add a batch. Running the same batch again replaces it instead of doubling it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 class ReferenceStore:
-    """Reference classes: append-only projects and their items.
+    """Reference classes: projects and their items, added in batches.
 
-    Items are written before their project row, and a reader only sees items
-    whose project row exists: the project row is the commit.
+    Items are written before their projects, and a reader only sees items whose
+    project row exists in the same batch: the project rows are the commit.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self._projects, self._items = f"{root}/projects", f"{root}/items"
 
-    def add(self, projects: DataFrame, items: DataFrame) -> None:
+    def add(self, projects: DataFrame, items: DataFrame, batch: str) -> None:
         """``projects``: project_key, name, type, completed_at, team_size.
-        ``items``: project_key, item_type, size, cycle_hours."""
-        numbered = projects.withColumn("project_id", reference_project_id())
+        ``items``: project_key, item_type, size, cycle_hours.
+
+        A project's id is a hash of its batch and key, so no counter is shared
+        between writers.
+        """
+        numbered = projects.withColumn("project_id", F.xxhash64(F.lit(batch), "project_key"))
         owned = items.join(numbered.select("project_key", "project_id"), "project_key")
-        conform(owned, REF_ITEMS).write.mode("append").parquet(self._items)
-        conform(numbered, REF_PROJECTS).write.mode("append").parquet(self._projects)
+        _put(conform(owned, REF_ITEMS), self._items, batch)
+        _put(conform(numbered, REF_PROJECTS), self._projects, batch)
 
     def projects(self) -> DataFrame:
-        """One row per project, also after a repeated add of the same project."""
-        return read_or_empty(self.spark, self._projects, REF_PROJECTS).dropDuplicates(["project_id"])
+        return read_or_empty(self.spark, self._projects, REF_PROJECTS)
 
     def items(self) -> DataFrame:
         return read_or_empty(self.spark, self._items, REF_ITEMS).join(
@@ -125,7 +129,7 @@ class ReferenceStore:
 
 
 class HistoryStore:
-    """Report history per project, append-only.
+    """Report history per project, added in batches.
 
     Retention is applied when reading; clearing a project appends a mark that
     hides its entries up to a time. ``compact`` writes what is visible to a new
@@ -138,8 +142,8 @@ class HistoryStore:
         self.spark, self.keep = spark, keep
         self._entries, self._marks = f"{root}/entries", f"{root}/cleared"
 
-    def append(self, entries: DataFrame) -> None:
-        conform(entries, HISTORY).write.mode("append").parquet(self._entries)
+    def append(self, entries: DataFrame, batch: str) -> None:
+        _put(conform(entries, HISTORY), self._entries, batch)
 
     def clear(self, projects: DataFrame, until: Column) -> None:
         """``projects``: project_key."""
@@ -163,8 +167,9 @@ class HistoryStore:
         return self.visible().orderBy("project_key", "ts")
 
     def compact(self, root: str) -> HistoryStore:
-        self.visible().hint("rebalance", "project_key").write.parquet(f"{root}/entries")
-        return HistoryStore(self.spark, root, self.keep)
+        new = HistoryStore(self.spark, root, self.keep)
+        new.append(self.visible().hint("rebalance", "project_key"), "compacted")
+        return new
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:

@@ -96,10 +96,11 @@ class StatusSink:
     def current(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """State of every issue as of ``batch_id``."""
         base = batch_id // self.every * self.every
-        parts = spark.read.parquet(self.states).where(F.col("batch_id") <= batch_id)
+        paths = [f"{self.states}/batch_id={n}" for n in range(base, batch_id + 1)]
+        parts = spark.read.option("basePath", self.states).parquet(*paths)
         if base:
-            older = spark.read.parquet(self.snapshots).where(F.col("batch_id") == base - 1)
-            parts = parts.where(F.col("batch_id") >= base).unionByName(older)
+            last = f"{self.snapshots}/batch_id={base - 1}"
+            parts = parts.unionByName(spark.read.option("basePath", self.snapshots).parquet(last))
         rest = [c for c in parts.columns if c not in ("project_key", "issue_key", "batch_id")]
         return (
             parts.groupBy("project_key", "issue_key")

@@ -54,19 +54,24 @@ def test_reference_store(spark, tmp_path):
     store = stores.ReferenceStore(spark, str(tmp_path))
     assert store.projects().count() == 0 and store.items().count() == 0
     projects = spark.createDataFrame([("P", "Alpha", "Migration", "2026-01-01", 3)], "project_key STRING, name STRING, type STRING, completed_at STRING, team_size INT").withColumn("completed_at", F.to_date("completed_at"))
-    store.add(projects, refclass.refclass_items(items(spark, item("Done", cycle=4), item("Done", cycle=6), item("To Do"))))
+    store.add(projects, refclass.refclass_items(items(spark, item("Done", cycle=4), item("Done", cycle=6), item("To Do"))), "b1")
     got = one(refclass.refclass_summary(store.projects(), store.items()))
     assert (got["project_count"], got["item_count"], got["avg_hours"]) == (1, 2, 5.0)
     orphan = spark.createDataFrame([(99, "x", "S", 1.0)], "project_id BIGINT, item_type STRING, size STRING, cycle_hours DOUBLE")
-    orphan.write.mode("append").parquet(f"{tmp_path}/items")
+    orphan.write.parquet(f"{tmp_path}/items/batch=lost")
     assert store.items().count() == 2
+    for batch in ("b1", "b2"):
+        store.add(projects, refclass.refclass_items(items(spark, item("Done", cycle=4))), batch)
+    got = one(refclass.refclass_summary(store.projects(), store.items()))
+    assert (got["project_count"], got["item_count"]) == (2, 2)
 
 
 def test_history_store(spark, tmp_path):
     store = stores.HistoryStore(spark, str(tmp_path / "h"), keep=3)
     assert store.read().count() == 0
-    store.append(entries(spark, *[("P", ago(days=d), d, 1.0, {85: float(d)}) for d in range(5)]))
-    store.append(entries(spark, ("Q", ago(days=1), 7, 1.0, {70: 2.0})))
+    store.append(entries(spark, *[("P", ago(days=d), d, 1.0, {85: float(d)}) for d in range(5)]), "a")
+    for _ in range(2):
+        store.append(entries(spark, ("Q", ago(days=1), 7, 1.0, {70: 2.0})), "b")
     assert [(r["project_key"], r["completed"]) for r in store.read().collect()] == [("P", 2), ("P", 1), ("P", 0), ("Q", 7)]
     store.clear(spark.createDataFrame([("P",)], "project_key STRING"), F.lit(ago(days=1)))
     assert {(r["project_key"], r["completed"]) for r in store.visible().collect()} == {("P", 0), ("Q", 7)}
