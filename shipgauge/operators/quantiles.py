@@ -20,11 +20,8 @@ from shipgauge.settings import (
     Settings,
 )
 
-ITERATIONS_PER_UNIT = 50
-# Item pairs drawn in one row. Adding a row to the hash table costs as much as
-# drawing a pair; more pairs per row would push the generated method past the
-# size the JIT compiles.
-PAIRS_PER_ROW = 2
+# Item pairs times iterations in one unit of work, about 50 milliseconds.
+PAIRS_PER_UNIT = 1 << 18
 
 
 def effective_distribution(sizes: DataFrame) -> DataFrame:
@@ -53,12 +50,12 @@ def iteration_totals(
 ) -> DataFrame:
     """(project_key, iteration, total_ms): drawn work of all remaining items.
 
-    The work is cut into units of at most PAIRS_PER_CHUNK item pairs times
-    ITERATIONS_PER_UNIT iterations before anything is drawn, and the units are
-    dealt over ``tasks`` partitions; one large project therefore occupies the
-    whole cluster. The count is explicit because the rows before the draws are
-    few and small and would be coalesced into one task. Draws are summed on the
-    map side: only (project, iteration) partial sums are shuffled.
+    The work is cut into units of at most PAIRS_PER_CHUNK item pairs times as
+    many iterations as make PAIRS_PER_UNIT, before anything is drawn, and the
+    units are dealt over ``tasks`` partitions; one large project therefore
+    occupies the whole cluster. The count is explicit because units are few and
+    small and would be coalesced into one task. Sums are combined on the map
+    side: only (project, iteration) partial sums are shuffled.
     """
     spark = distribution.sparkSession
     if tasks is None:
@@ -67,66 +64,28 @@ def iteration_totals(
             2 * spark.sparkContext.defaultParallelism,
         )
     c = F.col
-    key_a, key_b = draws.lane_keys(seed, c("project_key"), c("size"))
-    chunk_count = F.ceil(c("remaining") / F.lit(2 * draws.PAIRS_PER_CHUNK))
-    last_unit = (iterations - 1) // ITERATIONS_PER_UNIT
+    key_a, key_b = draws.keys(seed, c("project_key"), c("size"))
+    per_chunk = 2 * draws.PAIRS_PER_CHUNK
+    last_chunk = F.ceil(c("remaining") / F.lit(per_chunk)) - 1
+    per_unit = F.greatest(
+        F.lit(1), F.least(F.lit(iterations), F.floor(F.lit(2 * PAIRS_PER_UNIT) / c("items")))
+    ).cast("int")
     units = (
         distribution.where(c("remaining") > 0)
-        .select("project_key", "remaining", "mean", "stddev", key_a.alias("_ka"), key_b.alias("_kb"),
-                F.explode(F.sequence(F.lit(0).cast("bigint"), chunk_count - 1)).alias("_chunk"))
-        .withColumn("_unit", F.explode(F.sequence(F.lit(0), F.lit(last_unit))))
-        .repartition(tasks, "project_key", "_ka", "_chunk", "_unit")
-    )
-    first = c("_unit") * ITERATIONS_PER_UNIT
-    last = F.least(first + (ITERATIONS_PER_UNIT - 1), F.lit(iterations - 1))
-    lanes = (
-        units.withColumn("iteration", F.explode(F.sequence(first, last)))
-        .withColumn("_step", c("iteration").cast("bigint"))
-        .withColumns({
-            "_ka": draws.step(c("_ka"), c("_step"), draws.STEP_ITERATION),
-            "_kb": draws.step(c("_kb"), c("_step"), draws.STEP_ITERATION),
-        })
-    )
-    lanes = draws.mix(lanes, "_ka", "_kb").withColumns({
-        "_ka": draws.step(c("_ka"), c("_chunk"), draws.STEP_CHUNK),
-        "_kb": draws.step(c("_kb"), c("_chunk"), draws.STEP_CHUNK),
-    })
-    # Items of the chunk: whole pairs, then perhaps one item alone.
-    in_chunk = F.least(
-        c("remaining") - c("_chunk") * (2 * draws.PAIRS_PER_CHUNK),
-        F.lit(2 * draws.PAIRS_PER_CHUNK),
-    )
-    words = [(f"_a{k}", f"_b{k}") for k in range(PAIRS_PER_ROW)]
-    last_row = F.floor((in_chunk - 1) / F.lit(2 * PAIRS_PER_ROW))
-    rows = (
-        draws.mix(lanes, "_ka", "_kb")
-        .withColumn("_items", in_chunk)
-        .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("bigint"), last_row)))
-        .withColumns({
-            name: draws.step(c(lane), c("_row") * PAIRS_PER_ROW + k, increment)
-            for k, pair in enumerate(words)
-            for name, lane, increment in zip(pair, ("_ka", "_kb"), (draws.STEP_A, draws.STEP_B))
-        })
-    )
-    drawn = draws.mix(rows, *[name for pair in words for name in pair])
-    for k, (a, b) in enumerate(words):
-        radius, angle = draws.normal_pair(c(a), c(b))
-        drawn = drawn.withColumns({f"_r{k}": radius, f"_t{k}": angle})
-
-    def item_ms(radius: Column, wave: Column) -> Column:
-        return stats.to_ms(
-            F.greatest(F.lit(MIN_ITEM_HOURS), c("mean") + c("stddev") * (radius * wave))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+        .withColumn("items", F.least(c("remaining") - c("chunk") * per_chunk, F.lit(per_chunk)))
+        .withColumn("_per_unit", per_unit)
+        .withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), c("_per_unit"))))
+        .select(
+            "project_key", key_a.alias("key_a"), key_b.alias("key_b"), "chunk", "items", "mean", "stddev",
+            "first", F.least(c("first") + c("_per_unit") - 1, F.lit(iterations - 1)).alias("last"),
         )
-
-    row_ms = F.lit(0).cast("bigint")
-    for k in range(PAIRS_PER_ROW):
-        for half, wave in enumerate((F.cos(f"_t{k}"), F.sin(f"_t{k}"))):
-            index = (c("_row") * PAIRS_PER_ROW + k) * 2 + half
-            row_ms = row_ms + F.when(index < c("_items"), item_ms(c(f"_r{k}"), wave)).otherwise(F.lit(0))
+        .repartition(tasks, "project_key", "key_a", "chunk", "first")
+    )
     return (
-        drawn.withColumn("_ms", row_ms)
+        units.mapInArrow(draws.unit_totals, draws.TOTALS)
         .groupBy("project_key", "iteration")
-        .agg(F.sum("_ms").alias("total_ms"))
+        .agg(F.sum("ms").alias("total_ms"))
     )
 
 

@@ -117,3 +117,21 @@ def test_timeline_and_map(spark):
     assert sorted(rows) == [0, 50, 70, 85, 95]
     assert str(rows[0]["target_date"]) == "2026-06-01" and str(rows[85]["target_date"]) == "2026-06-03"
     assert quantiles.percentile_map(q).collect()[0]["percentiles"] == {50: 2.5, 70: 2.5, 85: 2.5, 95: 2.5}
+
+
+def test_result_does_not_depend_on_units_and_blocks(spark, monkeypatch):
+    dist = spark.createDataFrame([("P", "S", 25, 5.0, 2.0), ("Q", "M", 4, 9.0, 3.0)], DIST)
+    whole = sorted(map(tuple, quantiles.iteration_totals(dist, 90, 42).collect()))
+    monkeypatch.setattr(quantiles, "PAIRS_PER_UNIT", 40)
+    monkeypatch.setattr(draws, "PAIRS_PER_BLOCK", 16)
+    assert sorted(map(tuple, quantiles.iteration_totals(dist, 90, 42).collect())) == whole
+
+
+def test_a_unit_is_the_sum_of_its_items(spark):
+    """Drawing the chunk item by item gives the same milliseconds."""
+    import numpy as np
+
+    its = np.arange(5, dtype=np.int32)
+    sums = [draws.block_totals(11, 22, 3, n, 5.0, 2.0, its) for n in range(1, 9)]
+    steps = np.diff(np.array(sums), axis=0)
+    assert (steps >= 1_800_000).all() and len(np.unique(steps)) == steps.size
