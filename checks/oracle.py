@@ -536,7 +536,7 @@ SELECT conv_id AS issue_key, turn AS seq, coalesce(nullif(role, ''), 'Unknown')
        count(*) OVER (PARTITION BY conv_id) AS total_comments FROM conversations""",
     "recent_items": sql("""
 SELECT * FROM (SELECT project_key, issue_key, raw_status, summary, updated,
-                      row_number() OVER (PARTITION BY project_key ORDER BY updated DESC, issue_key) AS rank FROM v_issues)
+                      CAST(row_number() OVER (PARTITION BY project_key ORDER BY updated DESC, issue_key) AS INTEGER) AS rank FROM v_issues)
 WHERE rank <= 5""", "v_issues"),
     "timeline": sql(f"""
 SELECT project_key, pct, days, {day("days")} AS target_date FROM v_quant

@@ -29,8 +29,12 @@ HISTORY_DAYS = 60
 
 
 def query(f: Query) -> Query:
-    """Registers ``f``; as a registered query it runs with the skew settings on."""
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(tune(spark), sf_dir)
+    """Registers ``f``, to run with the skew settings and in UTC, as its SQL does."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(tune(spark), sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 

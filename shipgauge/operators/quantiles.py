@@ -14,7 +14,6 @@ from shipgauge.functions.times import target_date
 from shipgauge.operators.selection import effective_capacity
 from shipgauge.settings import (
     DEFAULT_SIZE_HOURS,
-    MIN_ITEM_HOURS,
     OTHER_SIZE_HOURS,
     PERCENTILES,
     Settings,

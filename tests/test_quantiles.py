@@ -3,7 +3,6 @@
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from shipgauge.functions import draws
 from shipgauge.operators import quantiles, rollup
