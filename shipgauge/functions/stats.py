@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MS_PER_HOUR = 3_600_000.0
-# A product of two halves stays below 2^43 for durations up to 200 years, and
-# sums of halves stay in a BIGINT for 10^12 rows.
+# For durations up to 200 years (2^43 ms) the products of halves stay below 2^46; they
+# are summed by halves themselves, which stay in a BIGINT for 10^12 rows.
 HALF_BITS = 20
 
 
@@ -32,7 +32,7 @@ def square_parts(ms: Column, name: str) -> list[Column]:
     """Aggregates for an exact sum of squares: (a + b)^2 by halves a, b of ``ms``."""
     a, b = _high(ms), _low(ms)
     return [
-        F.sum(a * a).alias(f"{name}_aa"),
+        *sum_parts(a * a, f"{name}_aa"),
         *sum_parts(a * b, f"{name}_ab"),
         *sum_parts(b * b, f"{name}_bb"),
     ]
@@ -50,10 +50,10 @@ def resolve(df: DataFrame, sums: tuple[str, ...] = (), squares: tuple[str, ...]
 
     def square(name: str) -> Column:
         cross = total(f"{name}_ab") * F.lit(2 << HALF_BITS).cast("decimal(8,0)")
-        return part(f"{name}_aa") * wide * wide + cross + total(f"{name}_bb")
+        return total(f"{name}_aa") * wide * wide + cross + total(f"{name}_bb")
 
     halves = [f"{n}_{h}" for n in sums for h in ("hi", "lo")]
-    quarters = [f"{n}_{h}" for n in squares for h in ("aa", "ab_hi", "ab_lo", "bb_hi", "bb_lo")]
+    quarters = [f"{n}_{h}" for n in squares for h in ("aa_hi", "aa_lo", "ab_hi", "ab_lo", "bb_hi", "bb_lo")]
     return df.withColumns({
         **{n: total(n).cast("decimal(30,0)") for n in sums},
         **{n: square(n).cast("decimal(38,0)") for n in squares},
@@ -74,11 +74,20 @@ def mean_hours(total_ms: Column, n: Column) -> Column:
 
 
 def _squared_deviation(total_ms: Column, sq_ms: Column, n: Column) -> Column:
-    """n * sum((x - mean)^2), exact while it fits 38 digits."""
+    """n * sum((x - mean)^2).
+
+    With q the whole number nearest to the mean and r = total - n * q this is
+    n * sum((x - q)^2) - r^2, whose terms are as small as the spread is. The sum is
+    exact; the product is a double only where it has more than 38 digits, and since
+    r^2 is at most half of it, nothing cancels there either.
+    """
     wide_n = n.cast("decimal(18,0)")
-    exact = F.try_subtract(F.try_multiply(wide_n, sq_ms), F.try_multiply(total_ms, total_ms))
-    t, s, k = (c.cast("double") for c in (total_ms, sq_ms, n))
-    return F.coalesce(exact.cast("double"), F.greatest(F.lit(0.0), k * s - t * t))
+    q = F.call_function("div", total_ms + total_ms + wide_n, F.nullif(wide_n + wide_n, F.lit(0).cast("decimal(18,0)"))).cast("decimal(18,0)")
+    around = sq_ms - q * (total_ms + total_ms - wide_n * q)
+    rest = total_ms - wide_n * q
+    exact = F.try_subtract(F.try_multiply(wide_n, around), F.try_multiply(rest, rest))
+    k, r = n.cast("double"), rest.cast("double")
+    return F.coalesce(exact.cast("double"), k * around.cast("double") - r * r)
 
 
 def sd_sample_hours(total_ms: Column, sq_ms: Column, n: Column) -> Column:

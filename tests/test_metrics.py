@@ -190,3 +190,26 @@ def test_exact_sums(spark):
     assert got == {"t": 3 * sum(values), "s": 3 * sum(v * v for v in values)}
     none = df.where("ms < 0").agg(*stats.sum_parts(F.col("ms"), "t"), *stats.square_parts(F.col("ms"), "s"))
     assert one(stats.resolve(none, ("t",), ("s",))) == {"t": 0, "s": 0}
+
+
+def test_squares_of_long_durations_do_not_overflow(spark):
+    """200 years a sample, more rows than a BIGINT sum of squared halves could hold."""
+    from shipgauge.functions import stats
+
+    ms, n = 200 * 365 * 24 * 3_600_000, 5_000_000
+    parts = spark.range(n).select(F.lit(ms).alias("ms")).agg(
+        F.count("*").alias("n"), *stats.sum_parts(F.col("ms"), "t"), *stats.square_parts(F.col("ms"), "s"))
+    got = one(stats.resolve(parts, ("t",), ("s",)))
+    assert (got["t"], got["s"]) == (n * ms, n * ms * ms)
+
+
+def test_deviation_is_exact_for_any_group_size(spark):
+    """Half the samples one millisecond above and half below the mean, from their sums."""
+    from shipgauge.functions import stats
+
+    x = 10**9
+    rows = [(n, str(n * x), str(n * x * x + n)) for n in (2, 10**6, 2 * 10**11, 10**12)]
+    df = spark.createDataFrame(rows, "n BIGINT, t STRING, s STRING").select(
+        "n", F.col("t").cast("decimal(30,0)").alias("t"), F.col("s").cast("decimal(38,0)").alias("s"))
+    for r in df.select("n", stats.sd_population_hours(F.col("t"), F.col("s"), F.col("n")).alias("sd")).collect():
+        assert r["sd"] == pytest.approx(1 / stats.MS_PER_HOUR, rel=1e-12), r["n"]
