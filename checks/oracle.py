@@ -291,8 +291,8 @@ SELECT p_partkey AS key, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 9 END AS
        p_size, p_brand
 FROM part""")
 view("v_task_items", "v_tasks", body="""
-SELECT key AS item_id, type AS item_type, size, norm AS status, created, in_progress_ts, done_ts,
-       coalesce((epoch_us(done_ts) - epoch_us(in_progress_ts)) / 3600000000.0, 0.0) AS cycle_hours FROM v_tasks""")
+SELECT key AS item_id, type AS item_type, summary AS description, size, norm AS status, created, in_progress_ts, done_ts,
+       p_brand AS assignee, tracker_key, coalesce((epoch_us(done_ts) - epoch_us(in_progress_ts)) / 3600000000.0, 0.0) AS cycle_hours FROM v_tasks""")
 
 view("v_page_first", "v_issues", body="""
 SELECT issue_key,
@@ -309,6 +309,8 @@ ITEM_COLUMNS = (
     "project_key, item_id, item_type, description, size, status, created, in_progress_ts, done_ts, "
     "cycle_hours, assignee, tracker_key"
 )
+STORED_COLUMNS = ITEM_COLUMNS.replace("item_id,", "CAST(item_id AS VARCHAR) AS item_id,").replace(
+    "tracker_key", "CAST(tracker_key AS VARCHAR) AS tracker_key")
 HISTORY_COLUMNS = "project_key, ts, total, completed, remaining, avg_cycle, throughput, p70, p85, p95"
 HEALTH = """CASE WHEN progress_pct >= 90 THEN 'ahead' WHEN progress_pct >= 50 AND p85 <= 60 THEN 'on-track'
 WHEN progress_pct < 25 OR p85 > 90 THEN 'behind' ELSE 'at-risk' END"""
@@ -342,10 +344,10 @@ SELECT project_key, project_key AS name, total, done AS completed, remaining, av
 FROM v_facts JOIN v_quant USING (project_key) WHERE n > 0""")
 
 ORACLE: dict[str, str] = {
-    "items_scan": sql(f"SELECT {ITEM_COLUMNS.replace('item_id,', 'CAST(item_id AS VARCHAR) AS item_id,').replace('tracker_key', 'CAST(tracker_key AS VARCHAR) AS tracker_key')} FROM v_items", "v_items"),
-    "items_replaced": sql("""
-SELECT project_key, count(*) AS items FROM v_items
-WHERE length(project_key) <> 9 OR status = 'Done' GROUP BY project_key""", "v_items"),
+    "items_scan": sql(f"SELECT {STORED_COLUMNS} FROM v_items", "v_items"),
+    "items_replaced": sql(f"""
+SELECT {STORED_COLUMNS} FROM v_items
+WHERE right(project_key, 1) NOT IN ('0', '2', '4', '6', '8') OR (status = 'Done' AND size = 'M')""", "v_items"),
     "projects_with_data": sql("SELECT DISTINCT project_key FROM v_items", "v_items"),
     "issues_scan": sql("""
 SELECT 'ORD' AS project_key, 'ORD-' || CAST(issue_key AS VARCHAR) AS issue_key, summary, raw_status,
@@ -376,10 +378,10 @@ SELECT {HISTORY_COLUMNS} FROM (
   SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY ts DESC) AS rn FROM v_history
   WHERE project_key <> (SELECT n_name FROM nation WHERE n_nationkey = 3) OR ts > {AS_OF}) WHERE rn <= 100""", "v_history"),
     "history_compacted": sql(f"SELECT {HISTORY_COLUMNS} FROM v_kept", "v_kept"),
-    "json_sink": sql("SELECT project_key, total, done, target_70 FROM v_dashboard", "v_dashboard"),
+    "json_sink": sql("SELECT * FROM v_dashboard", "v_dashboard"),
     "sync_summary": sql("""
-SELECT project_key, count(*) AS item_count FROM v_items GROUP BY project_key
-UNION ALL SELECT NULL, count(*) FROM v_items""", "v_items"),
+SELECT project_key, 'project' AS level, count(*) AS item_count FROM v_items GROUP BY project_key
+UNION ALL SELECT NULL, 'all', count(*) FROM v_items""", "v_items"),
     "items_from_issues": sql(f"SELECT {ITEM_COLUMNS} FROM v_items", "v_items"),
     "status_normalized": sql("""
 SELECT to_status AS raw, CASE WHEN to_status = 'Awaiting Dev Deployment' THEN 'Done'
@@ -400,7 +402,7 @@ SELECT o_orderkey AS issue_key, CASE o_orderkey % 5
   WHEN 3 THEN o_orderdate + INTERVAL '3 hours 24 minutes 6 seconds 77 milliseconds' END AS ts FROM orders""",
     "cycle_time": sql("SELECT item_id, cycle_hours FROM v_items", "v_items"),
     "items_from_tasks": sql("SELECT * FROM v_task_items WHERE item_id % 97 <> 0", "v_task_items"),
-    "items_from_tasks_strict": sql("SELECT item_id, size, status, created, cycle_hours FROM v_task_items", "v_task_items"),
+    "items_from_tasks_strict": sql("SELECT * FROM v_task_items", "v_task_items"),
     "task_rejects": """
 SELECT p_partkey AS key, 'created_at: not a date: 2001-13-45' AS reject_reason FROM part WHERE p_partkey % 97 = 0""",
     "story_points": """

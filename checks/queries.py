@@ -26,6 +26,10 @@ RUN_ITERATIONS = 10_000
 ITERATIONS = 1_000
 SAMPLING = reports.Sampling(iterations=ITERATIONS)
 HISTORY_DAYS = 60
+ITEM_COLUMNS = (
+    "project_key", "item_id", "item_type", "description", "size", "status", "created",
+    "in_progress_ts", "done_ts", "cycle_hours", "assignee", "tracker_key",
+)
 
 
 def query(f: Query) -> Query:
@@ -91,20 +95,19 @@ def plain_history(h: DataFrame) -> DataFrame:
 def items_scan(s, d):
     store = stores.ItemStore(s, scratch.new_path(s, "items"), "json")
     store.write(items(s, d))
-    return store.read().select(
-        "project_key", "item_id", "item_type", "description", "size", "status", "created",
-        "in_progress_ts", "done_ts", "cycle_hours", "assignee", "tracker_key",
-    )
+    return store.read().select(*ITEM_COLUMNS)
 
 
 @query
 def items_replaced(s, d):
-    """Dynamic overwrite: half the projects are written again with Done items only."""
+    """All projects with an even last digit are synchronised again; of theirs only Done components remain."""
     store = stores.ItemStore(s, scratch.new_path(s, "items"))
     everything = items(s, d)
     store.write(everything)
-    store.write(everything.where((F.length("project_key") == 9) & (F.col("status") == "Done")))
-    return store.read().groupBy("project_key").agg(F.count("*").alias("items"))
+    again = F.substring("project_key", -1, 1).isin("0", "2", "4", "6", "8")
+    done = everything.where(again & (F.col("status") == "Done") & (F.col("size") == "M"))
+    store.write(done, everything.where(again).select("project_key").distinct())
+    return store.read().select(*ITEM_COLUMNS)
 
 
 @query
@@ -183,9 +186,9 @@ def history_compacted(s, d):
 @query
 def json_sink(s, d):
     path = scratch.new_path(s, "json")
-    stores.write_json(reports.dashboard(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG), path)
-    schema = "project_key STRING, total BIGINT, done BIGINT, target_70 DATE"
-    return s.read.schema(schema).json(path)
+    dashboard = reports.dashboard(items(s, d), wh.projects(s, d), wh.as_of(), wh.CFG)
+    stores.write_json(dashboard, path)
+    return s.read.schema(dashboard.schema).json(path)
 
 
 @query
@@ -267,9 +270,7 @@ def stored_tasks(s, d):
 
 @query
 def items_from_tasks(s, d):
-    return tasks.valid_items_from_tasks(stored_tasks(s, d)).select(
-        "item_id", "item_type", "size", "status", "created", "in_progress_ts", "done_ts", "cycle_hours"
-    )
+    return tasks.valid_items_from_tasks(stored_tasks(s, d))
 
 
 @query
@@ -277,7 +278,7 @@ def items_from_tasks_strict(s, d):
     good = stored_tasks(s, d).withColumn(
         "created_at", F.when(F.col("key") % 97 != 0, F.col("created_at"))
     )
-    return tasks.items_from_tasks(good).select("item_id", "size", "status", "created", "cycle_hours")
+    return tasks.items_from_tasks(good)
 
 
 @query

@@ -152,8 +152,9 @@ def worklog_totals(worklogs: DataFrame) -> DataFrame:
 
 
 def sync_summary(items: DataFrame) -> DataFrame:
-    """Items per project and, with a NULL project, over all of them."""
-    return items.rollup("project_key").agg(F.count("*").alias("item_count"))
+    """Items per project, and over all of them at level ``all``, where the project is NULL."""
+    level = F.when(F.grouping_id() == 0, "project").otherwise("all")
+    return items.rollup("project_key").agg(level.alias("level"), F.count("*").alias("item_count"))
 
 
 def projects_with_data(items: DataFrame) -> DataFrame:

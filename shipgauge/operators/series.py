@@ -74,12 +74,13 @@ def burndown(items: DataFrame, as_of: Column) -> DataFrame:
     return starts.unionByName(points)
 
 
-def latest(rows: DataFrame, group: str, ts: str) -> DataFrame:
-    """Row with the greatest ``ts`` per group, as one map-side combined maximum."""
+def latest(rows: DataFrame, group: str, ts: str, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """Row with the greatest ``ts``, then ``ties``, per group, as one map-side combined maximum."""
     rest = [c for c in rows.columns if c not in (group, ts)]
+    order = F.struct(F.col(ts), *ties) if ties else F.col(ts)
     return (
         rows.groupBy(group)
-        .agg(F.max(ts).alias(ts), F.max_by(F.struct(*rest), ts).alias("_row"))
+        .agg(F.max(ts).alias(ts), F.max_by(F.struct(*rest), order).alias("_row"))
         .select(group, ts, "_row.*")
     )
 

@@ -40,31 +40,40 @@ def _reject_reason() -> Column:
     )
 
 
-def _as_items(tasks: DataFrame) -> DataFrame:
+def _dated(tasks: DataFrame) -> DataFrame:
+    return tasks.withColumns({out: parse_task_date(_given(src)) for src, out in DATES.items()})
+
+
+def _item_columns() -> list[Column]:
     start, end = F.col("in_progress_ts"), F.col("done_ts")
-    dated = tasks.withColumns({out: parse_task_date(_given(src)) for src, out in DATES.items()})
-    return dated.select(
+    return [
         F.col("key").alias("item_id"),
         F.col("type").alias("item_type"),
         F.col("summary").alias("description"),
         F.upper(F.trim(F.coalesce("size", F.lit("")))).alias("size"),
         normalize_task_status(F.col("status")).alias("status"),
-        "created", "in_progress_ts", "done_ts",
+        F.col("created"), start, end,
         F.coalesce(hours_between(start, end), F.lit(0.0)).alias("cycle_hours"),
-        "assignee", "tracker_key",
-    )
+        F.col("assignee"), F.col("tracker_key"),
+    ]
 
 
 def items_from_tasks(tasks: DataFrame) -> DataFrame:
-    """Strict conversion: the first invalid task fails the job."""
+    """Strict conversion: the first invalid task fails the job.
+
+    Every output column is read through the check, so a later filter or projection
+    on any of them still runs it on every task; a bare count runs it as a filter.
+    """
     message = F.concat_ws(" ", F.lit("task"), F.col("key").cast("string"), _reject_reason())
     valid = _reject_reason().isNull() | F.raise_error(message).cast("boolean")
-    return _as_items(tasks.where(valid))
+    fields = _item_columns()
+    checked = F.when(_reject_reason().isNull(), F.struct(*fields)).otherwise(F.raise_error(message))
+    return _dated(tasks.where(valid)).select(checked.alias("_item")).select("_item.*")
 
 
 def valid_items_from_tasks(tasks: DataFrame) -> DataFrame:
     """Items of the valid tasks; ``task_rejects`` holds the others."""
-    return _as_items(tasks.where(_reject_reason().isNull()))
+    return _dated(tasks.where(_reject_reason().isNull())).select(*_item_columns())
 
 
 def task_rejects(tasks: DataFrame) -> DataFrame:

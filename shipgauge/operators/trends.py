@@ -19,8 +19,14 @@ def level(pct: int) -> Column:
 
 
 def retained(history: DataFrame, keep: int = 100) -> DataFrame:
-    """Last ``keep`` entries of each project."""
-    return top_rows(history, "project_key", [F.col("ts").desc()], keep, "_rank").drop("_rank")
+    """Last ``keep`` entries of each project; entries of one time in the order of their figures."""
+    order = [F.col("ts").desc(), *[c.desc() for c in _figures()]]
+    return top_rows(history, "project_key", order, keep, "_rank").drop("_rank")
+
+
+def _figures() -> list[Column]:
+    """What decides between entries of one project and time."""
+    return [*[F.col(c) for c in ("completed", "total", "remaining", "avg_cycle", "throughput")], F.to_json("percentiles")]
 
 
 def in_window(history: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
@@ -38,9 +44,10 @@ def history_window(history: DataFrame, as_of: Column, days: int = 30) -> DataFra
 
 def _ends(entries: DataFrame, row: Column) -> DataFrame:
     """First and last entry of each project with at least two."""
+    order = F.struct("ts", *_figures())
     return (
         entries.groupBy("project_key")
-        .agg(F.count("*").alias("entries"), F.min_by(row, "ts").alias("a"), F.max_by(row, "ts").alias("b"))
+        .agg(F.count("*").alias("entries"), F.min_by(row, order).alias("a"), F.max_by(row, order).alias("b"))
         .where(F.col("entries") >= 2)
     )
 
@@ -81,4 +88,4 @@ def p85_drift(history: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
 
 
 def history_latest(history: DataFrame) -> DataFrame:
-    return latest(history, "project_key", "ts")
+    return latest(history, "project_key", "ts", tuple(_figures()))

@@ -44,7 +44,7 @@ def issues_table(
         (_text(epic_field) if epic_field else F.lit(None).cast("string")).alias("epic_key"),
         _text("parent.key").alias("parent_key"),
         F.coalesce(_text("summary"), F.lit("")).alias("summary"),
-        _text("status.name").alias("raw_status"),
+        F.coalesce(_text("status.name"), F.lit("")).alias("raw_status"),
         _text("issuetype.name").alias("issue_type"),
         F.coalesce(F.try_variant_get("fields", "$.labels", "array<string>"), F.array().cast("array<string>")).alias("labels"),
         F.coalesce(_text("assignee.displayName"), F.lit("")).alias("assignee"),

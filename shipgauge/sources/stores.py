@@ -36,34 +36,53 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
 
 
 class ItemStore:
-    """Item snapshots, partitioned by project, replaced per project."""
+    """Item snapshots, partitioned by project, replaced per project.
+
+    The folder of a project is named after its key behind an underscore, so that
+    the key '' has one too. A project whose snapshot is empty keeps a single mark.
+    """
+
+    STORED = f"{ITEM}, mark BOOLEAN, project STRING"
 
     def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet"):
         if fmt not in ("parquet", "json"):
             raise ValueError("fmt must be 'parquet' or 'json'")
         self.spark, self.root, self.fmt = spark, root, fmt
 
-    def write(self, items: DataFrame) -> None:
-        """Replace the snapshot of every project that occurs in ``items``.
+    def write(self, items: DataFrame, synchronised: DataFrame | None = None) -> None:
+        """Replace the snapshots of the projects in ``items`` and ``synchronised``.
 
-        Rebalancing by project gives few files per project, and splits a project
-        that is too large for one task.
+        ``synchronised``: project_key; those without items become empty. A NULL key
+        is written as ''. Rebalancing by project gives few files per project, and
+        splits a project that is too large for one task.
         """
+        rows = conform(items, ITEM).withColumn("project_key", F.coalesce("project_key", F.lit("")))
+        rows = rows.withColumn("mark", F.lit(None).cast("boolean"))
+        if synchronised is not None:
+            keys = synchronised.select(F.coalesce("project_key", F.lit("")).alias("project_key")).distinct()
+            empty = keys.join(rows.select("project_key").distinct(), "project_key", "left_anti")
+            rows = rows.unionByName(empty.withColumn("mark", F.lit(True)), allowMissingColumns=True)
         (
-            conform(items, ITEM)
-            .hint("rebalance", "project_key")
+            rows.withColumn("project", F.concat(F.lit("_"), "project_key"))
+            .hint("rebalance", "project")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("project_key")
+            .partitionBy("project")
             .format(self.fmt)
             .save(self.root)
         )
 
+    def _stored(self) -> DataFrame:
+        return read_or_empty(self.spark, self.root, self.STORED, self.fmt)
+
     def read(self, project: str | None = None) -> DataFrame:
-        items = read_or_empty(self.spark, self.root, ITEM, self.fmt)
-        return items if project is None else items.where(F.col("project_key") == project)
+        rows = self._stored().where(F.col("mark").isNull())
+        if project is not None:
+            rows = rows.where(F.col("project") == f"_{project}")  # one folder
+        return rows.drop("mark", "project")
 
     def projects(self) -> DataFrame:
+        """Projects that hold items."""
         return self.read().select("project_key").distinct()
 
 
@@ -71,20 +90,26 @@ def read_item_files(spark: SparkSession, folder: str) -> DataFrame:
     """Per-project item files ``data-{key}.json``, each one JSON array.
 
     An import path for existing files: an array is not splittable, so large
-    projects belong in ``ItemStore``. ``data.json`` has the project key ''.
+    projects belong in ``ItemStore``. ``data.json`` has the project key ''. A folder
+    that does not exist holds no items.
     """
     c = F.col
-    raw = (
-        spark.read.schema(ITEM_FILE).option("mode", "FAILFAST").option("multiLine", True)
-        .option("pathGlobFilter", "data*.json").json(folder)
-        .select("*", F.col("_metadata.file_name").alias("_file"))
-    )
+    try:
+        files = (
+            spark.read.schema(ITEM_FILE).option("mode", "FAILFAST").option("multiLine", True)
+            .option("pathGlobFilter", "data*.json").json(folder)
+        )
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ITEM)
+    raw = files.select("*", F.col("_metadata.file_name").alias("_file"))
     def time(name: str) -> Column:
         return F.nullif(c(name), F.lit(NO_TIME)).cast("timestamp")
     return raw.where(c("_file").rlike(ITEM_FILE_NAME)).select(
         F.regexp_extract("_file", ITEM_FILE_NAME, 1).alias("project_key"),
         c("ID").alias("item_id"), c("Type").alias("item_type"), c("Description").alias("description"),
-        c("Size").alias("size"), c("Status").alias("status"), time("Created").alias("created"),
+        c("Size").alias("size"), F.coalesce(c("Status"), F.lit("")).alias("status"), time("Created").alias("created"),
         time("InProgress").alias("in_progress_ts"), time("Done").alias("done_ts"),
         c("CycleTime").alias("cycle_hours"), c("Assignee").alias("assignee"),
         c("JiraKey").alias("tracker_key"),

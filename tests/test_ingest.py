@@ -151,6 +151,9 @@ def test_invalid_task(spark, bad, text):
     df = task_df(spark, bad, task("ok"))
     with pytest.raises(Exception, match=text):
         tasks.items_from_tasks(df).select("status").collect()
+    for later in ("item_id = 'ok'", "description = 'none such'"):
+        with pytest.raises(Exception, match=text):
+            tasks.items_from_tasks(df).where(later).collect()
     assert [r["item_id"] for r in tasks.valid_items_from_tasks(df).collect()] == ["ok"]
     assert text in one(tasks.task_rejects(df))["reject_reason"]
 

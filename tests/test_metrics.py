@@ -131,7 +131,7 @@ def test_size_facts_roll_up_to_project_facts(spark):
 
 def test_sync_summary(spark):
     got = by(rollup.sync_summary(items(spark, item("Done"), item("Done", project="Q"), item("To Do"))), "project_key")
-    assert {k: v["item_count"] for k, v in got.items()} == {"P": 2, "Q": 1, None: 3}
+    assert {k: (v["level"], v["item_count"]) for k, v in got.items()} == {"P": ("project", 2), "Q": ("project", 1), None: ("all", 3)}
 
 
 def test_empty_items(spark):

@@ -225,3 +225,36 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS bucketed_log")
         spark.sql("DROP TABLE IF EXISTS bucketed_keys")
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_emptied_projects_and_the_empty_key(spark, tmp_path, fmt):
+    store = stores.ItemStore(spark, str(tmp_path / "items"), fmt)
+    store.write(items(spark, item("Done", project=""), item("To Do", project="Q"), item("To Do", project="R")))
+    assert {r[0] for r in store.projects().collect()} == {"", "Q", "R"}
+    assert one(store.read(""))["status"] == "Done"
+    keys = spark.createDataFrame([("",), ("Q",)], "project_key STRING")
+    store.write(items(spark, item("Done", project="")), keys)
+    assert {r["project_key"] for r in store.read().collect()} == {"", "R"} and store.read("Q").count() == 0
+    store.write(items(spark, item("Done", project="Q", key="back")), keys)
+    assert {(r["project_key"], r["item_id"]) for r in store.read().collect()} == {("R", "K"), ("Q", "back")}
+
+
+def test_item_files_that_are_not_there(spark, tmp_path):
+    assert stores.read_item_files(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "data-x.json").write_text(json.dumps([{"ID": "1", "Status": None}]))
+    assert one(stores.read_item_files(spark, str(tmp_path)))["status"] == ""
+
+
+def test_an_issue_without_a_status_is_to_do(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"issues": [{"key": "X-1", "fields": {"summary": "s"}}], "isLast": True}))
+    table = issue_source.issues_table(issue_source.read_issue_pages(spark, str(tmp_path)))
+    none = spark.createDataFrame([], "issue_key STRING, ts TIMESTAMP, seq STRUCT<h INT, i INT>, author STRING, field STRING, from_status STRING, to_status STRING")
+    got = one(rollup.project_facts(ingest.items_from_issues(table, none, Settings()), now()))
+    assert (got["total"], got["to_do"]) == (1, 1)
+
+
+def test_entries_of_one_time_are_decided_by_their_figures(spark, tmp_path):
+    store = stores.HistoryStore(spark, str(tmp_path / "h"), keep=1)
+    store.append(entries(spark, *[("P", ago(days=1), n, 1.0, {85: 1.0}) for n in (3, 9, 4)]), "a")
+    assert one(store.read())["completed"] == 9
