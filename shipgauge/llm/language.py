@@ -128,7 +128,7 @@ def learn(rows: DataFrame, order: int = ORDER) -> Model:
         total, kinds = np.zeros((len(c), len(langs))), np.zeros((len(c), len(langs)))
         np.add.at(total, of, table)
         np.add.at(kinds, of, table > 0)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             bits.append(np.log2((total + kinds)[of]) - np.log2(table))
             escapes.append(np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0.0))
         grams.append(g)

@@ -22,10 +22,11 @@ BUCKETS = 1 << 13
 TRAIN_ROWS = 20_000
 # A bucket counts for a domain if its count there is so many standard errors off.
 SIGNIFICANT = 4.0
-STEPS = 30
-# The fit ends this near to the targets, as a share of all tokens, or when steps gain less than this share of the distance.
-TOLERANCE = 1e-6
-GAIN = 1e-3
+PASSES = 40
+# The fit ends this near to its optimum, as a share of all tokens.
+TOLERANCE = 1e-7
+# How little leaving rates at 1 counts beside meeting the targets.
+RIDGE = 1e-5
 _SCALE = 1 << 20
 
 
@@ -40,8 +41,8 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def word_buckets(text: Column, buckets: int) -> Column:
-    """One number per word of the whole text, as an array."""
-    words = F.filter(F.split(F.lower(text), "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+"), lambda w: w != "")
+    """One number per word, and per run of punctuation, of the whole text, as an array."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-`{-~]+"), F.lit(0))
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
@@ -116,49 +117,58 @@ def _members(df: DataFrame, text: Column, model: Classifier, tag: str) -> DataFr
     return _softmax(df, scores, [f"{tag}p{i}" for i in range(len(scores))])
 
 
-def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float | None, steps: int = STEPS) -> tuple[Column, list[float]]:
+def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float | None, passes: int = PASSES) -> tuple[Column, list[float]]:
     """The rate of each row as an expression, and the expected tokens it gives per domain.
 
-    Minimises the squared distance between the domains' expected tokens and their
-    targets over rates of zero or more, from rates of 1, in a metric in which a
-    document weighs its tokens: a step takes p * H^-1 * (expected - target) off a
-    rate and cuts it at 0. H is the sum of tokens * p * p' over the documents whose
-    rate is above 0, so that documents at the bound do not slow the others down;
-    without a cut the first step ends it. A step that does not come nearer is
-    halved. Every step is one pass over the members, and sums are exact decimals,
-    the same in any order.
+    Minimises |expected - target|^2 + RIDGE * H0 * (sum of tokens * (rate - 1)^2) over
+    rates of zero or more by projected gradients: a document's gradient is p * off, off
+    being one number per domain, so the gradients of all steps add up to p * y and the
+    rate is their projection max(0, 1 - p * y), whatever the number of steps. Steps are
+    scaled by the inverse of H, the sum of tokens * p * p' over rates above 0, and
+    halved until the objective falls. A trial is one pass over the members; sums are
+    exact decimals, the same in any order. Targets that no rates reach are met as
+    nearly as they can be.
     """
     k = len(weights)
     tokens, p = F.col(f"{tag}tokens"), [F.col(f"{tag}p{i}") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens per domain, and H."""
+    def rate_at(y: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((c * F.lit(float(v)) for c, v in zip(p[1:], y[1:])), p[0] * F.lit(float(y[0]))))
+
+    def sums(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of tokens * rate^2, expected tokens per domain, and H."""
+        weight = F.col("rate") * tokens
         free = F.when(F.col("rate") > 0, tokens)
-        of = [F.col("rate") * tokens * c for c in p] + [free * p[i] * p[j] for i, j in pairs]
-        row = members.withColumn("rate", rate).agg(*[F.sum(c.cast("decimal(38,6)")).alias(f"x{n}") for n, c in enumerate(of)]).first()
+        of = [weight * F.col("rate") / 2, *[weight * c for c in p], *[free * p[i] * p[j] for i, j in pairs]]
+        row = members.withColumn("rate", rate_at(y)).agg(*[F.sum(c.cast("decimal(38,6)")).alias(f"x{n}") for n, c in enumerate(of)]).first()
         got, h = [float(v or 0) for v in row], np.zeros((k, k))
-        for (i, j), v in zip(pairs, got[k:]):
+        for (i, j), v in zip(pairs, got[1 + k:]):
             h[i, j] = h[j, i] = v
-        return np.array(got[:k]), h
+        return got[0], np.array(got[1:1 + k]), h
 
-    rate = F.lit(1.0)
-    now, h = sums(rate)
+    y = np.zeros(k)
+    square, now, h = sums(y)
     wanted = now.sum() if total is None else total
     target = np.array(weights) / max(sum(weights), 1e-300) * wanted
-    off, size = float(np.abs(now - target).sum()), 1.0
-    for _ in range(steps):
-        if off <= TOLERANCE * max(1.0, wanted) or size < 0.1:
+    ridge = RIDGE * max(float(np.trace(h)) / k, 1e-300)
+    objective = lambda square, y: square + target @ y + ridge / 2 * y @ y
+    for _ in range(passes):
+        slope = target - now + ridge * y
+        if float(np.abs(slope).sum()) <= TOLERANCE * max(1.0, wanted):
+            break
+        step = np.linalg.solve(h + ridge * np.eye(k), slope)
+        size = 1.0
+        while size > 1e-4:
+            tried = y - size * step
+            got = sums(tried)
+            if objective(got[0], tried) <= objective(square, y) - 1e-4 * size * slope @ step:
+                break
+            size /= 4
+        else:
             break
-        move = size * (np.linalg.pinv(h, hermitian=True, rcond=1e-12) @ (now - target))
-        stepped = F.greatest(F.lit(0.0), rate - sum((c * F.lit(float(m)) for c, m in zip(p[1:], move[1:])), p[0] * F.lit(float(move[0]))))
-        reached, freed = sums(stepped)
-        nearer = off - float(np.abs(reached - target).sum())
-        if nearer <= GAIN * off:
-            size /= 2
-            continue
-        rate, now, h, off = stepped, reached, freed, off - nearer
-    return rate, now.tolist()
+        y, (square, now, h) = tried, got
+    return rate_at(y), now.tolist()
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
