@@ -171,10 +171,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """Parts of a batch of about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
+    """Parts of a batch of about ``size`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    part = (np.cumsum(sizes) - sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

@@ -23,6 +23,8 @@ from shipgauge.llm.frames import Rows, documents, pick
 ORDER = 4
 # Documents learned from, per language: those with the smallest hashes of their ids. Whole texts count.
 TRAIN_ROWS = 400
+# Text scored at once: every byte of it takes some 60 bytes meanwhile.
+SLICE_BYTES = 3 << 20
 UND = "und"
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
@@ -164,7 +166,7 @@ def _predict(model: Model):
     def run(batches):
         names = [c.split()[0] for c in PREDICTION.split(", ")]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 text = part.column("text")
                 bits, n = _scores(model, text), np.maximum(pc.binary_length(text).to_numpy(zero_copy_only=False), 1)
                 best = bits.argmin(axis=1)
@@ -216,7 +218,7 @@ def keep_known_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS, order: i
 def _accept(model: Model, lang: str):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "p_text"):
+            for part in slices(batch, "p_text", SLICE_BYTES):
                 bits, n = _scores(model, part.column("p_text")), np.maximum(pc.binary_length(part.column("p_text")).to_numpy(zero_copy_only=False), 1)
                 named = pa.array([model.langs[b] for b in bits.argmin(axis=1)], pa.string())
                 i = part.schema.get_field_index(lang)
