@@ -26,7 +26,7 @@ PASSES = 40
 # The fit ends this near to its optimum, as a share of all tokens.
 TOLERANCE = 1e-7
 # How little leaving rates at 1 counts beside meeting the targets.
-RIDGE = 1e-5
+RIDGE = 1e-8
 _SCALE = 1 << 20
 
 

@@ -82,9 +82,9 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "op3_exact_top_k": """
         WITH sound AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
         ), scores AS (
             SELECT q.vec_id AS query_id, c.vec_id,
                    CASE WHEN len(q.v) = 0 THEN 0 ELSE list_inner_product(q.v, c.v)::BIGINT END AS score

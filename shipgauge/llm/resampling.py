@@ -63,7 +63,7 @@ def _weigh(ratio: np.ndarray):
         for batch in batches:
             for part in slices(batch, "text"):
                 values, of = features(part.column("text"), len(ratio))
-                weight = np.bincount(of, weights=ratio[values], minlength=len(part))
+                weight = np.bincount(of, weights=ratio[values], minlength=len(part)).astype(np.float64)
                 u = (part.column("noise").to_numpy() + 0.5) / float(1 << 52)
                 key = weight - np.log(-np.log(u))
                 bits = key.view(np.int64)
