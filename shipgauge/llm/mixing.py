@@ -27,6 +27,8 @@ PASSES = 40
 TOLERANCE = 1e-7
 # How little leaving rates at 1 counts beside meeting the targets.
 RIDGE = 1e-8
+# No document comes more often than this.
+MAX_RATE = 4.0
 _SCALE = 1 << 20
 
 
@@ -117,15 +119,15 @@ def _members(df: DataFrame, text: Column, model: Classifier, tag: str) -> DataFr
     return _softmax(df, scores, [f"{tag}p{i}" for i in range(len(scores))])
 
 
-def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float | None, passes: int = PASSES) -> tuple[Column, list[float]]:
+def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float | None, passes: int = PASSES, top: float = MAX_RATE) -> tuple[Column, list[float]]:
     """The rate of each row as an expression, and the expected tokens it gives per domain.
 
     Minimises |expected - target|^2 + RIDGE * H0 * (sum of tokens * (rate - 1)^2) over
-    rates of zero or more by projected gradients: a document's gradient is p * off, off
+    rates from zero to ``top`` by projected gradients: a document's gradient is p * off, off
     being one number per domain, so the gradients of all steps add up to p * y and the
-    rate is their projection max(0, 1 - p * y), whatever the number of steps. Steps are
-    scaled by the inverse of H, the sum of tokens * p * p' over rates above 0, and
-    halved until the objective falls. A trial is one pass over the members; sums are
+    rate is the projection of 1 - p * y, whatever the number of steps. Steps are scaled
+    by the inverse of H, the sum of tokens * p * p' over rates between the bounds, and
+    shortened until the objective falls. A trial is one pass over the members; sums are
     exact decimals, the same in any order. Targets that no rates reach are met as
     nearly as they can be.
     """
@@ -133,14 +135,17 @@ def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float |
     tokens, p = F.col(f"{tag}tokens"), [F.col(f"{tag}p{i}") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
+    def free_at(y: np.ndarray) -> Column:
+        return F.lit(1.0) - sum((c * F.lit(float(v)) for c, v in zip(p[1:], y[1:])), p[0] * F.lit(float(y[0])))
+
     def rate_at(y: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((c * F.lit(float(v)) for c, v in zip(p[1:], y[1:])), p[0] * F.lit(float(y[0]))))
+        return F.least(F.lit(top), F.greatest(F.lit(0.0), free_at(y)))
 
     def sums(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Half the sum of tokens * rate^2, expected tokens per domain, and H."""
+        """The sum of what has the rates as its slopes, expected tokens per domain, and H."""
         weight = F.col("rate") * tokens
-        free = F.when(F.col("rate") > 0, tokens)
-        of = [weight * F.col("rate") / 2, *[weight * c for c in p], *[free * p[i] * p[j] for i, j in pairs]]
+        between = F.when((F.col("rate") > 0) & (F.col("rate") < top), tokens)
+        of = [weight * (free_at(y) - F.col("rate") / 2), *[weight * c for c in p], *[between * p[i] * p[j] for i, j in pairs]]
         row = members.withColumn("rate", rate_at(y)).agg(*[F.sum(c.cast("decimal(38,6)")).alias(f"x{n}") for n, c in enumerate(of)]).first()
         got, h = [float(v or 0) for v in row], np.zeros((k, k))
         for (i, j), v in zip(pairs, got[1 + k:]):

@@ -16,11 +16,13 @@ from shipgauge.llm.encoding import slices
 from shipgauge.llm.frames import documents, materialize, pick
 from shipgauge.llm.words import mix64, word_hashes
 
-BUCKETS = 10_000
+BUCKETS = 1 << 17
 # Labelled documents of the target model at most: those with the smallest hashes of their ids.
 TARGET_ROWS = 20_000
-SMOOTHING = 1.0
-FRACTION = 0.75
+# Tokens added to a bucket of the target model and to what the raw model expects there,
+# so that a bucket too rare to tell has a ratio near 1.
+SMOOTHING = 100.0
+FRACTION = 0.85
 WEIGHTS = "doc_id long, log_weight double, sort_key double, place long"
 
 
@@ -82,14 +84,20 @@ def importance_weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS)
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # a row per bucket
     )
     at = counts.column("bucket").to_numpy()
-    raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
-    raw[at] += counts.column("raw").to_numpy()
-    target[at] += counts.column("target").to_numpy()
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    raw[at] = counts.column("raw").to_numpy()
+    target[at] = counts.column("target").to_numpy()
+    ratio = log_ratio(raw, target)
     noise = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 52))
     return texts.withColumn("noise", noise).mapInArrow(_weigh(ratio), WEIGHTS)
 
 
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Per bucket the log of its probability in the target over that in the raw text."""
+    expected = raw * (target.sum() / max(raw.sum(), 1.0))
+    return np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
+
+
 def kth_largest(rows: DataFrame, column: str, k: int) -> int:
     """The k-th largest of a BIGINT column, 16 bits at a time: each round counts at most 65,536 groups."""
     found, shift = None, 48

@@ -338,15 +338,15 @@ def test_resample(spark):
     assert len(sample) == 120 and all(r.kept for r in sample)
     assert Counter(r.doc_id % 4 in (2, 3) for r in sample)[True] >= 115
     # The weights from their definition.
-    buckets = 10_000
+    buckets = 1 << 17
     good = {d for d, q, t in labels if q and not t}
     per_doc = [features(pa.array([t]), buckets)[0] for _, t in rows]
-    raw, target = np.ones(buckets), np.ones(buckets)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for (d, _), values in zip(rows, per_doc):
         np.add.at(raw, values, 1)
         if d in good:
             np.add.at(target, values, 1)
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    ratio = np.log((target + 100) / (raw / raw.sum() * target.sum() + 100))
     for r in sample:
         assert r.log_weight == pytest.approx(ratio[per_doc[r.doc_id]].sum())
     again = resample(docs(spark, rows).repartition(7), spark.createDataFrame(labels, LABELS), fraction=0.5).collect()
@@ -396,7 +396,7 @@ def test_mixing_rates_meet_the_targets(spark, total):
 
 def test_mixing_fit_is_least_squares_when_targets_are_out_of_reach(spark):
     """No document is all of one domain: as near as a plain projected gradient of many steps comes."""
-    from shipgauge.llm.mixing import fit_rates
+    from shipgauge.llm.mixing import MAX_RATE, fit_rates
 
     rnd = random.Random(2)
     rows = [(float(rnd.randrange(1, 90)), *(lambda x: (x, 1 - x))(rnd.uniform(0.3, 0.9))) for _ in range(200)]
@@ -407,9 +407,9 @@ def test_mixing_fit_is_least_squares_when_targets_are_out_of_reach(spark):
     a = np.array([[t * p, t * q] for t, p, q in rows]).T
     r, step = np.ones(len(rows)), 1 / np.linalg.norm(a @ a.T, 2)
     for _ in range(30_000):
-        r = np.maximum(0, r - step * (a.T @ (a @ r - target)))
+        r = np.clip(r - step * (a.T @ (a @ r - target)), 0, MAX_RATE)
     got = np.array([x.rate for x in members.withColumn("rate", rate).collect()])
-    assert (got >= 0).all() and a @ got == pytest.approx(reached, rel=1e-6)
+    assert (got >= 0).all() and (got <= MAX_RATE).all() and a @ got == pytest.approx(reached, rel=1e-6)
     assert np.linalg.norm(a @ got - target) <= 1.02 * np.linalg.norm(a @ r - target)
 
 
