@@ -6,7 +6,7 @@ week, ranks are row numbers over sorted draws, deviations come from whole sums.
 
 from __future__ import annotations
 
-from checks.queries import HISTORY_DAYS, ITERATIONS, RUN_ITERATIONS
+from checks.queries import ITERATIONS
 
 AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
 
@@ -201,10 +201,8 @@ LEFT JOIN (SELECT project_key, total_ms,
 
 
 draw_views("", ITERATIONS)
-draw_views("_run", RUN_ITERATIONS)
 quantile_view("v_quant", "", ITERATIONS)
 quantile_view("v_quant_compat", "", ITERATIONS, compat=True)
-quantile_view("v_quant_run", "_run", RUN_ITERATIONS)
 
 view("v_wide", "v_quant", body="""
 SELECT project_key, max(days) FILTER (WHERE pct = 50) AS p50, max(days) FILTER (WHERE pct = 70) AS p70,
@@ -259,21 +257,28 @@ view("v_history", body="""
 SELECT project_key, ts, total, completed, total - completed AS remaining, top / 10000 AS avg_cycle,
        completed / 7.0 AS throughput, price / 100000.0 AS p70, price / 100000.0 * 1.25 AS p85,
        price / 100000.0 * 1.5 AS p95
-FROM (SELECT n_name AS project_key, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS ts, count(*) AS total,
+FROM (SELECT n_name AS project_key, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, count(*) AS total,
              count(*) FILTER (WHERE o_orderstatus = 'F') AS completed,
              CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS price, max(o_totalprice) AS top
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)""")
 view("v_kept", "v_history", body="""
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY ts DESC) AS rn FROM v_history)
 WHERE rn <= 100""")
-view("v_recent", "v_history", body=f"""
+
+
+def recent_view(name: str, days: int) -> None:
+    view(name, "v_history", body=f"""
 SELECT *, CASE WHEN total > 0 THEN completed / total * 100 ELSE 0.0 END AS progress_pct,
        row_number() OVER (PARTITION BY project_key ORDER BY ts) AS first_rn,
        row_number() OVER (PARTITION BY project_key ORDER BY ts DESC) AS last_rn,
        count(*) OVER (PARTITION BY project_key) AS entries
-FROM v_history WHERE ts > {AS_OF} - INTERVAL '{HISTORY_DAYS}' DAY""")
-view("v_drift", "v_recent", body="""
-SELECT a.project_key, b.p85 - a.p85 AS p85_drift FROM v_recent a JOIN v_recent b USING (project_key)
+FROM v_history WHERE ts > {AS_OF} - INTERVAL '{days}' DAY""")
+
+
+recent_view("v_recent", 30)
+recent_view("v_last_week", 7)
+view("v_drift", "v_last_week", body="""
+SELECT a.project_key, b.p85 - a.p85 AS p85_drift FROM v_last_week a JOIN v_last_week b USING (project_key)
 WHERE a.first_rn = 1 AND b.last_rn = 1 AND a.entries >= 2""")
 
 view("v_tasks", body="""
@@ -469,7 +474,7 @@ FROM v_refprojects p LEFT JOIN v_refitems i ON i.project_id = p.project_id GROUP
         "v_refitems", "v_refprojects"),
     "first_transitions": sql("SELECT * FROM v_first", "v_first"),
     "throughput": sql("SELECT project_key, recent_done, throughput_per_day FROM v_facts", "v_facts"),
-    "completion_quantiles": sql("SELECT * FROM v_quant_run", "v_quant_run"),
+    "completion_quantiles": sql("SELECT * FROM v_quant", "v_quant"),
     "completion_quantiles_compat": sql("SELECT * FROM v_quant_compat", "v_quant_compat"),
     "percentile_map": sql("SELECT * FROM v_quant", "v_quant"),
     "missing_times": sql("SELECT * FROM v_missing", "v_missing"),

@@ -21,11 +21,9 @@ from shipgauge.streaming import status as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Iterations of a single run, and of the reports, which repeat it in many queries.
-RUN_ITERATIONS = 10_000
-ITERATIONS = 1_000
+# What a run and a report document; status and compare ask for half of it.
+ITERATIONS = 10_000
 SAMPLING = reports.Sampling(iterations=ITERATIONS)
-HISTORY_DAYS = 60
 ITEM_COLUMNS = (
     "project_key", "item_id", "item_type", "description", "size", "status", "created",
     "in_progress_ts", "done_ts", "cycle_hours", "assignee", "tracker_key",
@@ -76,7 +74,7 @@ def pages(s: SparkSession, d: str) -> DataFrame:
 
 def stored_history(s: SparkSession, d: str) -> stores.HistoryStore:
     store = stores.HistoryStore(s, scratch.new_path(s, "history"))
-    store.append(wh.history(s, d), "weekly")
+    store.append(wh.history(s, d), "daily")
     return store
 
 
@@ -452,7 +450,7 @@ def _quantiles(s, d, iterations=ITERATIONS, rank_mode="nearest"):
 
 @query
 def completion_quantiles(s, d):
-    return _quantiles(s, d, RUN_ITERATIONS)
+    return _quantiles(s, d)
 
 
 @query
@@ -540,17 +538,17 @@ def burndown(s, d):
 
 @query
 def history_window(s, d):
-    return trends.history_window(wh.history(s, d), wh.as_of(), HISTORY_DAYS)
+    return trends.history_window(wh.history(s, d), wh.as_of())
 
 
 @query
 def history_trend(s, d):
-    return trends.history_trend(wh.history(s, d), wh.as_of(), HISTORY_DAYS)
+    return trends.history_trend(wh.history(s, d), wh.as_of())
 
 
 @query
 def p85_drift(s, d):
-    return trends.p85_drift(wh.history(s, d), wh.as_of(), HISTORY_DAYS)
+    return trends.p85_drift(wh.history(s, d), wh.as_of())
 
 
 @query

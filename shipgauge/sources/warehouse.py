@@ -183,7 +183,7 @@ def existing_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    """One entry per nation and week, aggregated from its orders."""
+    """One entry per nation and day, aggregated from its orders."""
     exact = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     days = F.col("_price") / F.lit(100_000.0)
     levels = [F.lit(70), days, F.lit(85), days * F.lit(1.25), F.lit(95), days * F.lit(1.5)]
@@ -192,7 +192,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     ).select("c_custkey", "n_name")
     return (
         table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.col("n_name").alias("project_key"), F.date_trunc("week", "o_orderdate").cast("timestamp").alias("ts"))
+        .groupBy(F.col("n_name").alias("project_key"), F.date_trunc("day", "o_orderdate").cast("timestamp").alias("ts"))
         .agg(
             F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"),
             exact.alias("_price"), F.max("o_totalprice").alias("_top"),
