@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 # Words kept per worker and tokenizer; beyond either bound the memo starts anew.
 MEMO_WORDS = 2_000_000
 MEMO_BYTES = 64 << 20
-WORDS_PER_CALL = 512
+WORDS_PER_CALL = 4096
 # Text is worked through in slices of about this many bytes.
 SLICE_BYTES = 32 << 20
 
@@ -145,18 +146,10 @@ class Encoder:
             self._forget()
             found, new = pa.nulls(len(words), pa.int32()), words
         lengths, ids = [], []
-        for k in range(0, len(new), 64 * WORDS_PER_CALL):
-            some = new[k:k + 64 * WORDS_PER_CALL].to_pylist()
-            calls = [some[j:j + WORDS_PER_CALL] for j in range(0, len(some), WORDS_PER_CALL)]
-            for call, e in zip(calls, self._tokenizer.encode_batch_fast(calls, is_pretokenized=True, add_special_tokens=False)):
-                of = e.word_ids
-                if None in of:  # a special string, which counts to no word
-                    alone = self._whole(call)
-                    lengths.append(np.array([len(x) for x in alone], np.int64))
-                    ids.append(np.array([i for x in alone for i in x], np.uint32))
-                else:
-                    lengths.append(np.bincount(np.array(of, np.int64), minlength=len(call)))
-                    ids.append(np.array(e.ids, np.uint32))
+        for k in range(0, len(new), WORDS_PER_CALL):
+            some = self._whole(new[k:k + WORDS_PER_CALL].to_pylist())
+            lengths.append(np.fromiter(map(len, some), np.int64, len(some)))
+            ids.append(np.fromiter(chain.from_iterable(some), np.uint32))
         at = found.to_numpy(zero_copy_only=False).astype(np.float64)
         at[np.isnan(at)] = len(self._words) + np.arange(len(new))
         self._words = pa.concat_arrays([self._words, new])
