@@ -610,14 +610,16 @@ SELECT project_key, name, epic_key, capacity, coalesce(total, 0) AS total, coale
        coalesce(remaining, 0) AS remaining, coalesce(progress_pct, 0.0) AS progress_pct
 FROM v_all_projects LEFT JOIN v_facts USING (project_key)""", "v_all_projects", "v_facts"),
     "report_full": sql("""
-SELECT project_key, 'overview' AS section, '' AS label, metric, value FROM (
-  SELECT project_key, unnest(['total', 'done', 'in_progress', 'remaining', 'progress_pct', 'cycle_n', 'avg_cycle_hours']) AS metric,
-         unnest([CAST(total AS DOUBLE), done, in_progress, remaining, progress_pct, n, avg_cycle_hours]) AS value FROM v_facts)
+SELECT project_key, 'overview' AS section, '' AS label, metric, value, CAST(NULL AS VARCHAR) AS text FROM (
+  SELECT project_key, unnest(['total', 'done', 'in_progress', 'to_do', 'remaining', 'progress_pct', 'cycle_n', 'avg_cycle_hours']) AS metric,
+         unnest([CAST(total AS DOUBLE), done, in_progress, to_do, remaining, progress_pct, n, avg_cycle_hours]) AS value FROM v_facts)
 UNION ALL SELECT project_key, 'eva', '', unnest(['week', 'pv', 'ev', 'sv', 'spi', 'completion_week']),
-                 unnest([CAST(week AS DOUBLE), pv, ev, sv, spi, completion_week]) FROM v_eva
-UNION ALL SELECT project_key, 'completion', CAST(pct AS VARCHAR), 'days', days FROM v_run
-UNION ALL SELECT project_key, 'sizes', size, unnest(['n', 'avg_hours']), unnest([CAST(n AS DOUBLE), mean]) FROM v_sizes WHERE n > 0
+                 unnest([CAST(week AS DOUBLE), pv, ev, sv, spi, completion_week]), NULL FROM v_eva
+UNION ALL SELECT project_key, 'eva', '', unnest(['sv_band', 'spi_band']), NULL, unnest([sv_band, spi_band]) FROM v_eva
+UNION ALL SELECT project_key, 'completion', CAST(pct AS VARCHAR), 'days', days, NULL FROM v_run
+UNION ALL SELECT project_key, 'completion', CAST(pct AS VARCHAR), 'target_date', NULL, CAST(target_date AS VARCHAR) FROM v_run
+UNION ALL SELECT project_key, 'sizes', size, unnest(['n', 'avg_hours']), unnest([CAST(n AS DOUBLE), mean]), NULL FROM v_sizes WHERE n > 0
 UNION ALL SELECT project_key, 'types', item_type, unnest(['total', 'done', 'remaining']),
-                 unnest([CAST(count(*) AS DOUBLE), count(*) FILTER (WHERE status = 'Done'), count(*) FILTER (WHERE status <> 'Done')])
+                 unnest([CAST(count(*) AS DOUBLE), count(*) FILTER (WHERE status = 'Done'), count(*) FILTER (WHERE status <> 'Done')]), NULL
           FROM v_items WHERE status <> 'Canceled' GROUP BY project_key, item_type""", "v_facts", "v_eva", "v_run", "v_sizes", "v_items"),
 }

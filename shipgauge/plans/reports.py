@@ -225,21 +225,27 @@ def report_sections(
 
 
 def report_full(sections: dict[str, DataFrame]) -> DataFrame:
-    """All sections in one table: (project_key, section, label, metric, value)."""
+    """All sections in one table: (project_key, section, label, metric, value, text).
+
+    A figure has a value, a date or band a text.
+    """
     measures = {
-        "overview": (None, ("total", "done", "in_progress", "remaining", "progress_pct", "cycle_n", "avg_cycle_hours")),
-        "eva": (None, ("week", "pv", "ev", "sv", "spi", "completion_week")),
-        "completion": ("pct", ("days",)),
-        "sizes": ("size", ("n", "avg_hours")),
-        "types": ("item_type", ("total", "done", "remaining")),
+        "overview": (None, ("total", "done", "in_progress", "to_do", "remaining", "progress_pct", "cycle_n", "avg_cycle_hours"), ()),
+        "eva": (None, ("week", "pv", "ev", "sv", "spi", "completion_week"), ("sv_band", "spi_band")),
+        "completion": ("pct", ("days",), ("target_date",)),
+        "sizes": ("size", ("n", "avg_hours"), ()),
+        "types": ("item_type", ("total", "done", "remaining"), ()),
     }
+    none = {"value": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
     parts = []
-    for section, (label, names) in measures.items():
-        pairs = [v for n in names for v in (F.lit(n), F.col(n).cast("double"))]
+    for section, (label, figures, texts) in measures.items():
+        rows = [(n, F.col(n).cast("double"), none["text"]) for n in figures]
+        rows += [(n, none["value"], F.col(n).cast("string")) for n in texts]
+        cells = [v for n, value, text in rows for v in (F.lit(n), value, text)]
         parts.append(sections[section].select(
             "project_key", F.lit(section).alias("section"),
             (F.col(label).cast("string") if label else F.lit("")).alias("label"),
-            F.stack(F.lit(len(names)), *pairs).alias("metric", "value"),
+            F.stack(F.lit(len(rows)), *cells).alias("metric", "value", "text"),
         ))
     out = parts[0]
     for part in parts[1:]:
