@@ -479,8 +479,8 @@ FROM v_refprojects p LEFT JOIN v_refitems i ON i.project_id = p.project_id GROUP
     "percentile_map": sql("SELECT * FROM v_quant", "v_quant"),
     "missing_times": sql("SELECT * FROM v_missing", "v_missing"),
     "missing_times_totals": sql("""
-SELECT project_key, count(*) AS missing FROM v_missing GROUP BY project_key
-UNION ALL SELECT NULL, count(*) FROM v_missing""", "v_missing"),
+SELECT project_key, 'project' AS level, count(*) AS missing FROM v_missing GROUP BY project_key
+UNION ALL SELECT NULL, 'all', count(*) FROM v_missing""", "v_missing"),
     "time_backfill_plan": sql("""
 SELECT project_key, issue_key, closed_by, coalesce(story_points, 0.0) AS story_points,
        CASE WHEN story_points > 0 THEN story_points * 4.0 ELSE 8.0 END AS hours,

@@ -352,7 +352,7 @@ def project_resolve(s, d):
         F.when(key % 3 == 0, F.col("project_key")).when(key % 3 == 1, F.col("epic_key"))
         .otherwise("nowhere").alias("request"),
     )
-    return selection.resolve_projects(asked, wh.projects(s, d), "request", "request_id")
+    return selection.resolve_projects(asked, wh.projects(s, d), "request")
 
 
 @query

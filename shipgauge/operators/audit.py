@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shipgauge.functions.fields import value_kind
 from shipgauge.functions.labels import relabel
-from shipgauge.operators.ingest import closed_by, cycle_hours, first_transitions
-from shipgauge.operators.joins import lookup
+from shipgauge.operators.ingest import cycle_hours, done_facts
+from shipgauge.operators.rollup import total_level
 from shipgauge.settings import DONE, Settings
 
 # Prefix of custom fields and words that hint at story points.
@@ -24,13 +24,12 @@ def missing_times(
     """Issues with the literal status Done and no cycle time, with who closed them."""
     c = F.col
     done = issues.where(c("raw_status") == DONE)
-    timed = done.join(first_transitions(transitions, cfg), "issue_key", "left").withColumn(
+    timed = done.join(done_facts(transitions, cfg), "issue_key", "left").withColumn(
         "cycle_hours",
         cycle_hours(c("in_progress_ts"), c("done_ts"), c("override_hours"), c("time_spent_s")),
     )
     return (
         timed.where(c("cycle_hours") == 0)
-        .join(closed_by(transitions), "issue_key", "left")
         .select(
             "project_key", "issue_key", "summary", "story_points",
             F.coalesce(F.nullif(c("closed_by"), F.lit("")), F.lit("(unknown)")).alias("closed_by"),
@@ -39,8 +38,8 @@ def missing_times(
 
 
 def missing_totals(missing: DataFrame) -> DataFrame:
-    """Missing times per project and, with a NULL project, in all."""
-    return missing.rollup("project_key").agg(F.count("*").alias("missing"))
+    """Missing times per project, and in all at level ``all``, where the project is NULL."""
+    return missing.rollup("project_key").agg(total_level(), F.count("*").alias("missing"))
 
 
 def time_backfill_plan(missing: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -75,7 +74,7 @@ def field_profile(fields: DataFrame, definitions: DataFrame) -> DataFrame:
     ``definitions``: field, name. Names are attached after the aggregation.
     """
     counts = custom_fields(fields).groupBy("field", "kind").agg(F.count("*").alias("n"))
-    return lookup(counts, definitions, "field", "kind").select(
+    return counts.join(definitions, "field", "left").select(
         "field", F.coalesce("name", F.lit("")).alias("name"), "kind", "n",
         maybe_points(F.coalesce("name", F.lit(""))).alias("maybe_points"),
     )
@@ -100,7 +99,7 @@ def bulk_transition_plan(issues: DataFrame, workflow: DataFrame, target: str) ->
         .groupBy(F.col("status").alias("raw_status"))
         .agg(F.min_by("transition_id", "position").alias("transition_id"))
     )
-    return lookup(issues, usable, "raw_status", "issue_key").select(
+    return issues.join(usable, "raw_status", "left").select(
         "issue_key", F.col("raw_status").alias("from_status"), F.lit(target).alias("requested"),
         "transition_id",
         F.when(F.col("transition_id").isNotNull(), "accepted").otherwise("rejected").alias("outcome"),

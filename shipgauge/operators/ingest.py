@@ -39,6 +39,22 @@ def first_transitions(transitions: DataFrame, cfg: Settings = Settings()) -> Dat
     )
 
 
+def done_facts(transitions: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """``first_transitions`` and ``closed_by`` from one pass over the changes."""
+    to = F.col("to_status")
+    wip, done, closed = to.isin(*cfg.wip_statuses), to.isin(*cfg.done_statuses), to == DONE
+    return (
+        _status_changes(transitions)
+        .where(wip | done | closed)
+        .groupBy("issue_key")
+        .agg(
+            F.min(F.when(wip, F.col("ts"))).alias("in_progress_ts"),
+            F.min(F.when(done, F.col("ts"))).alias("done_ts"),
+            F.min_by("author", F.when(closed, F.struct("ts", "seq"))).cast("string").alias("closed_by"),
+        )
+    )
+
+
 def closed_by(transitions: DataFrame) -> DataFrame:
     """Author of the first change to the literal Done; '' without an author."""
     return (

@@ -153,8 +153,12 @@ def worklog_totals(worklogs: DataFrame) -> DataFrame:
 
 def sync_summary(items: DataFrame) -> DataFrame:
     """Items per project, and over all of them at level ``all``, where the project is NULL."""
-    level = F.when(F.grouping_id() == 0, "project").otherwise("all")
-    return items.rollup("project_key").agg(level.alias("level"), F.count("*").alias("item_count"))
+    return items.rollup("project_key").agg(total_level(), F.count("*").alias("item_count"))
+
+
+def total_level() -> Column:
+    """Tells the grand total of a rollup by project from a project without a key."""
+    return F.when(F.grouping_id() == 0, "project").otherwise("all").alias("level")
 
 
 def projects_with_data(items: DataFrame) -> DataFrame:

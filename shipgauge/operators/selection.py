@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shipgauge.operators.joins import lookup
 from shipgauge.settings import Settings
 
 # Fixed value: shape of an issue key.
@@ -65,7 +64,7 @@ def all_projects(configured: DataFrame, from_task_files: DataFrame) -> DataFrame
     return configured.unionByName(named, allowMissingColumns=True)
 
 
-def resolve_projects(requests: DataFrame, projects: DataFrame, request: str, spread_by: str) -> DataFrame:
+def resolve_projects(requests: DataFrame, projects: DataFrame, request: str) -> DataFrame:
     """Project named by key or epic; the first in configuration order wins.
 
     Key and epic become rows of one alias table, so this is one equi-join
@@ -83,7 +82,7 @@ def resolve_projects(requests: DataFrame, projects: DataFrame, request: str, spr
         .agg(F.min("_hit").alias("_hit"))
         .select(request, F.col("_hit.project").alias("resolved_project"))
     )
-    return lookup(requests, aliases, request, spread_by)
+    return requests.join(aliases, request, "left")
 
 
 def key_prefix(key: Column) -> Column:
@@ -105,7 +104,7 @@ def route_instances(keys: DataFrame, instances: DataFrame, key: str, default: st
         .groupBy(F.upper("_p").alias("_prefix"))
         .agg(F.min_by("instance", F.struct(~F.col("is_default"), F.col("instance"))).alias("instance"))
     )
-    routed = lookup(keys.withColumn("_prefix", key_prefix(F.col(key))), claims, "_prefix", key)
+    routed = keys.withColumn("_prefix", key_prefix(F.col(key))).join(claims, "_prefix", "left")
     return routed.withColumn("instance", F.coalesce("instance", F.lit(default))).drop("_prefix")
 
 

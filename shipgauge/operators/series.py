@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipgauge.functions.status import is_done, is_live
-from shipgauge.operators.joins import salted_lookup
 from shipgauge.sources.scratch import materialize
 
 
@@ -116,4 +115,4 @@ def recent_comments(comments: DataFrame, n: int = 0) -> DataFrame:
     if n > 0:
         last = top_rows(named, "issue_key", [F.col("seq").desc()], n, "_rank").drop("_rank")
         return last.join(totals, "issue_key")
-    return salted_lookup(named, totals, "issue_key", spread_by="seq", how="inner")
+    return named.join(totals, "issue_key")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shipgauge.functions.labels import first_prefixed
 from shipgauge.functions.status import normalize_task_status
 from shipgauge.functions.times import hours_between, parse_task_date
-from shipgauge.operators.joins import salted_lookup
 from shipgauge.settings import TO_DO
 
 # Label prefix that carries a size, and type of a new issue.
@@ -104,7 +103,7 @@ def task_reconcile(tasks: DataFrame, issues: DataFrame) -> DataFrame:
     statuses = issues.select(
         F.col("issue_key").alias("tracker_key"), F.col("raw_status").alias("_issue_status")
     )
-    found = salted_lookup(keyed, statuses, "tracker_key", spread_by="key")
+    found = keyed.join(statuses, "tracker_key", "left")
     matched = F.col("_issue_status").isNotNull()
     existing = found.select(
         "key", "tracker_key",
@@ -130,7 +129,7 @@ def dependency_edges(tasks: DataFrame, links: DataFrame) -> DataFrame:
 
     Both ends must be tasks with a tracker key. ``links`` (blocker, blocked) are
     the ones that exist. The blocked end is on the task itself; only the blocker
-    is looked up, salted because many tasks may wait for the same one.
+    is looked up; adaptive execution splits one that many tasks wait for.
     """
     named = tasks.where(F.col("tracker_key").isNotNull())
     keys = named.select(F.col("key").alias("_dep"), F.col("tracker_key").alias("blocker"))
@@ -138,7 +137,7 @@ def dependency_edges(tasks: DataFrame, links: DataFrame) -> DataFrame:
         F.col("key").alias("_task"), F.col("tracker_key").alias("blocked"),
         F.explode("blocked_by").alias("_dep"),
     )
-    resolved = salted_lookup(edges, keys, "_dep", spread_by="_task", how="inner")
+    resolved = edges.join(keys, "_dep")
     return (
         resolved.select("blocker", "blocked")
         .join(links.select("blocker", "blocked"), ["blocker", "blocked"], "left_anti")

@@ -224,7 +224,7 @@ def test_project_resolution(spark):
         [("mono", "E-1", "Mono", None, 0), ("api", "E-1", "Api", None, 1), ("", "E-2", "Keyless", None, 2), ("E-2", "x", "Late", None, 3)], PROJECT
     )
     asked = spark.createDataFrame([(i, r) for i, r in enumerate(["api", "E-1", "E-2", "nope", ""])], "id INT, r STRING")
-    got = {k: v["resolved_project"] for k, v in by(selection.resolve_projects(asked, projects, "r", "id"), "r").items()}
+    got = {k: v["resolved_project"] for k, v in by(selection.resolve_projects(asked, projects, "r"), "r").items()}
     assert got == {"api": "api", "E-1": "mono", "E-2": "E-2", "nope": None, "": None}
 
 
@@ -263,7 +263,7 @@ def test_missing_times_and_backfill(spark):
     missing = audit.missing_times(i, log, BOTH_DONE)
     assert {k: v["closed_by"] for k, v in by(missing, "issue_key").items()} == {"X-1": "ann", "X-2": "(unknown)"}
     assert {k: v["seconds"] for k, v in by(audit.time_backfill_plan(missing), "issue_key").items()} == {"X-1": 43200, "X-2": 28800}
-    assert {k: v["missing"] for k, v in by(audit.missing_totals(missing), "project_key").items()} == {"X": 2, None: 2}
+    assert {k: (v["level"], v["missing"]) for k, v in by(audit.missing_totals(missing), "project_key").items()} == {"X": ("project", 2), None: ("all", 2)}
 
 
 def test_bulk_transition(spark):

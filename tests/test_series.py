@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from shipgauge.operators import joins, series, trends
+from shipgauge.operators import series, trends
 from shipgauge.plans import reports
 from shipgauge.settings import Settings
 from tests.util import NOW, ago, by, item, items, now, one
@@ -48,27 +48,6 @@ def test_burndown(spark):
     assert others == {"Q": (NOW, 0, 1), "R": (NOW, 0, 0)}
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_lookup_equals_plain_join(spark, how):
-    facts = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k")
-    )
-    dim = spark.range(35).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
-    hot = joins.hot_keys(facts, "k", 0.1, 10).collect()
-    assert [r["k"] for r in hot] == [7]
-    salted = joins.salted_lookup(facts, dim, "k", "id", how, share=0.1, floor=10, salts=8)
-    plain = facts.join(dim, "k", how).select(salted.columns)
-    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
-
-
-def test_lookup_beyond_the_broadcast_bound(spark):
-    facts = spark.range(100).select("id", (F.col("id") % 10).alias("k"))
-    dim = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = joins.lookup(facts, dim, "k", "id")
-    large = joins.lookup(facts, dim, "k", "id", broadcast_rows=3)
-    assert sorted(map(tuple, small.select("id", "k", "v").collect())) == sorted(map(tuple, large.select("id", "k", "v").collect()))
-
-
 def test_recent_comments(spark):
     df = spark.createDataFrame([("A", i, "" if i == 3 else "bo", str(i)) for i in range(1, 5)] + [("B", 1, None, "x")], "issue_key STRING, seq INT, author STRING, body STRING")
     two = series.recent_comments(df, 2).collect()
@@ -196,3 +175,24 @@ def test_empty_portfolio(spark):
     assert reports.portfolio_run(data.limit(0), projects, now(), how=QUICK).count() == 0
     none = reports.project_compare(data.limit(0), projects, spark.createDataFrame([], "project_key STRING, p85_drift DOUBLE"), now(), how=QUICK)
     assert one(reports.compare_summary(none))["total_remaining"] == 0
+
+
+def scans(df):
+    """Parquet scans in a plan, each source counted as often as it is read."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_each_table_is_read_once(spark, tmp_path):
+    from shipgauge.operators import audit, tasks
+
+    def stored(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    comments = stored("c", spark.createDataFrame([("A", 1, "x", "y")], "issue_key STRING, seq INT, author STRING, body STRING"))
+    assert scans(series.recent_comments(comments)) == 2  # rows, and their counts
+    changes = stored("t", spark.createDataFrame([], "issue_key STRING, ts TIMESTAMP, seq INT, author STRING, field STRING, from_status STRING, to_status STRING"))
+    issues = stored("i", spark.createDataFrame([], "project_key STRING, issue_key STRING, summary STRING, raw_status STRING, story_points DOUBLE, override_hours DOUBLE, time_spent_s BIGINT"))
+    assert scans(audit.missing_times(issues, changes)) == 2
+    plan = stored("p", spark.createDataFrame([], "key STRING, tracker_key STRING, type STRING, status STRING"))
+    assert scans(tasks.task_reconcile(plan, issues)) == 3  # with and without a tracker key, and the issues
