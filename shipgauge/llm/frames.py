@@ -55,6 +55,20 @@ class Rows:
         return df.select(*[F.col(i).alias(n) for i, n in zip(self.inner, self.names)])
 
 
+class Stored:
+    """A table written once to the shared folder, which can be taken away again when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, empty while nothing has been written to it."""
     try:

@@ -5,7 +5,8 @@ of SKETCHES sketches takes the TAKE k-mers with the smallest hashes and lists th
 the order of the text (Marçais et al., order min hash), which equals another
 document's with a probability that falls with the edits between them. Documents that
 share a sketch are candidates; candidates are aligned within the band that the
-similarity leaves.
+similarity leaves. Two cheap bounds decide most of them: the words that one has
+beyond the other, and the edits of the alignment that keeps common unique words.
 
 Documents of equal words are one node. A bucket (the nodes of one sketch) is linked
 as a star around its smallest node, which is linear in its size. Members that the
@@ -16,6 +17,7 @@ size, so that no link between candidates is lost.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipgauge.llm.encoding import slices
-from shipgauge.llm.frames import Rows, documents, materialize
+from shipgauge.llm.frames import Rows, Stored, documents, materialize
 from shipgauge.llm.words import mix64, word_hashes
 
 KMER = 5
@@ -133,9 +135,54 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """1 - edits / words of the longer one reaches ``similarity``."""
     longer = max(len(a), len(b))
     limit = math.floor((1 - similarity) * longer + 1e-9)
-    if abs(len(a) - len(b)) > limit or np.abs(_bins(a) - _bins(b)).sum() - abs(len(a) - len(b)) > 2 * limit:
+    # Edits are at least the words that one of them has beyond the other.
+    least = (int(np.abs(_bins(a) - _bins(b)).sum()) + abs(len(a) - len(b))) // 2
+    if least > limit:
         return False
-    return edits_within(a, b, limit) is not None
+    if _script(a, b) <= limit:
+        return True
+    return (_band(a, b, limit) if least > DIAGONAL_EDITS else edits_within(a, b, limit)) is not None
+
+
+def _script(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of one alignment, an upper bound: it keeps words that are unique in both and stand in common order."""
+    (wa, ia, na), (wb, ib, nb) = (np.unique(x, return_index=True, return_counts=True) for x in (a, b))
+    _, x, y = np.intersect1d(wa[na == 1], wb[nb == 1], assume_unique=True, return_indices=True)
+    i, j = ia[na == 1][x], ib[nb == 1][y]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if len(j) > 1 and (np.diff(j) < 0).any():
+        keep = _increasing(j.tolist())
+        i, j = i[keep], j[keep]
+    i, j = np.concatenate([[-1], i, [len(a)]]), np.concatenate([[-1], j, [len(b)]])
+    gap_a, gap_b = np.diff(i) - 1, np.diff(j) - 1
+    even = gap_a == gap_b
+    edits = int(np.maximum(gap_a, gap_b)[~even].sum())
+    starts = np.repeat(i[:-1] + 1, gap_a * even)
+    if not len(starts):
+        return edits
+    length = (gap_a * even)[even]
+    at = starts + np.arange(len(starts)) - np.repeat(np.cumsum(length) - length, length)
+    shift = np.repeat((j - i)[:-1][even], length)
+    return edits + int((a[at] != b[at + shift]).sum())
+
+
+def _increasing(values: list[int]) -> list[int]:
+    """Places of a longest increasing run of values, gaps allowed."""
+    ends, places, before = [], [], []
+    for n, v in enumerate(values):
+        k = bisect_left(ends, v)
+        before.append(places[k - 1] if k else -1)
+        if k == len(ends):
+            ends.append(v)
+            places.append(n)
+        else:
+            ends[k], places[k] = v, n
+    out, n = [], places[-1] if places else -1
+    while n >= 0:
+        out.append(n)
+        n = before[n]
+    return out[::-1]
 
 
 def _bins(words: np.ndarray) -> np.ndarray:
@@ -194,7 +241,7 @@ def _compare(similarity: float):
         for i in np.flatnonzero(over):
             longer = np.maximum(lengths, lengths[i])
             limit, apart = np.floor((1 - similarity) * longer + 1e-9), np.abs(lengths - lengths[i])
-            near = np.flatnonzero((np.abs(bins - bins[i]).sum(axis=1) - apart <= 2 * limit) & (apart <= limit))
+            near = np.flatnonzero(np.abs(bins - bins[i]).sum(axis=1) + apart <= 2 * limit)
             for j in near:
                 if find(i) != find(j) and similar(words[i], words[j], similarity):
                     root[find(i)] = find(j)
@@ -204,31 +251,57 @@ def _compare(similarity: float):
     return run
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """a, b: verified links that connect all candidates; ``nodes``: row, sketches and words of each."""
+def linked_roots(nodes: DataFrame, words: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """node, root of all nodes that a verified link joins.
+
+    ``nodes``: row and sketches of each, ``words``: row and words of these and others.
+    Words move once, for nodes that share a sketch. A node is aligned with the
+    smallest of its stars' centres first and with the others only where it is not yet
+    in one component with them.
+    """
     bands = nodes.select("row", F.explode("sketches").alias("key"))
     stars = bands.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(bands.join(stars, "key").select("key", "a", F.col("row").alias("b"), "n"), "members")
-    pairs = members.where("a != b").select("a", "b").distinct()
-    words = nodes.select("row", "words")
-    checked = materialize(
-        pairs.join(words.select(F.col("row").alias("b"), F.col("words").alias("b_words")), "b")
-        .join(words.select(F.col("row").alias("a"), F.col("words").alias("a_words")), "a")
-        .mapInArrow(_align(similarity), "a long, b long, linked boolean"), "links")
+    pairs = materialize(members.where("a != b").select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    words = materialize(words.join(ends.hint("shuffle_hash"), "row", "left_semi"), "words")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    roots = components(_linked(first, words, similarity))
+    roots = _extended(roots, materialize(_linked(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"), words, similarity), "links"))
     # What the stars leave over: each such node meets all nodes of its bucket, block by block.
-    failed = checked.where(~F.col("linked")).select("a", "b")
-    left = members.join(failed, ["a", "b"]).select("key", "b")
+    left = materialize(members.join(_apart(pairs, roots), ["a", "b"]).select("key", "b", "n"), "left")
     dirty = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     blocks_left = F.greatest(F.lit(1), F.ceil(F.col("n_left") / block)).cast("int")
     part = F.xxhash64("b")
-    side_left = left.join(members.select("key", "b", "n"), ["key", "b"]).join(dirty, "key").select(
+    side_left = left.join(dirty, "key").select(
         "key", F.col("b").alias("row"), F.lit(True).alias("over"), F.pmod(part, blocks_left).alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    side_all = members.join(dirty, "key").join(left.withColumn("over", F.lit(True)), ["key", "b"], "left").select(
+    flagged = left.select("key", "b", F.lit(True).alias("over"))
+    side_all = members.join(dirty, "key").join(flagged, ["key", "b"], "left").select(
         "key", F.col("b").alias("row"), F.coalesce("over", F.lit(False)).alias("over"), F.explode(F.sequence(F.lit(0), blocks_left - 1)).alias("i"), F.pmod(part, blocks).alias("j"))
     both = side_left.union(side_all.select(side_left.columns)).distinct()
     more = both.join(words, "row").groupBy("key", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
-    return checked.where("linked").select("a", "b").union(more).distinct()
+    return _extended(roots, materialize(more.distinct(), "more"))
+
+
+def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs that alignment confirms."""
+    return (
+        pairs.join(words.select(F.col("row").alias("b"), F.col("words").alias("b_words")), "b")
+        .join(words.select(F.col("row").alias("a"), F.col("words").alias("a_words")), "a")
+        .mapInArrow(_align(similarity), "a long, b long, linked boolean").where("linked").select("a", "b"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def _extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of what ``roots`` and ``edges`` connect."""
+    return roots if edges.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges.select("a", "b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,12 +329,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classes(texts: DataFrame, kmer: int, take: int, sketches: int, similarity: float) -> DataFrame:
     """row, id, root, least (the class's smallest id and row) and size, one per row of ``texts`` (row, id, text)."""
-    sketched = materialize(texts.mapInArrow(_sketch(kmer, take, sketches), SKETCHED), "sketches")
+    table = Stored(texts.mapInArrow(_sketch(kmer, take, sketches), SKETCHED), "sketches")
+    sketched = table.df
     firsts = materialize(sketched.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
-    nodes = sketched.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").where("n_words > 0")
-    roots = components(links(nodes, similarity))
+    # One node of equal words carries their sketches.
+    first = firsts.select(F.col("node").alias("row"), F.lit(True).alias("first"))
+    sketches_of = sketched.where("n_words > 0").select("row", "sketches").join(first, "row").select("row", "sketches")
+    roots = linked_roots(sketches_of, sketched.select("row", "words"), similarity)
     of_digest = firsts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     placed = materialize(sketched.select("row", "id", "digest").join(of_digest, "digest").select("row", "id", "root"), "placed")
+    table.drop()  # as large as the texts, and no longer read
     heads = placed.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("size"))
     return placed.join(heads, "root")
 

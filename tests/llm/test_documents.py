@@ -87,6 +87,7 @@ def test_edits_within():
         assert near_dup.edits_within(a, b, limit) == want
         if abs(len(a) - len(b)) <= limit:
             assert near_dup._band(a, b, limit) == want
+        assert near_dup._script(a, b) >= full_distance(a, b)
         assert near_dup.similar(a, b, 0.8) == (full_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9))
 
 
@@ -133,7 +134,7 @@ def near_rows():
 
 @pytest.mark.parametrize("block", [3, 256])
 def test_near_duplicates(spark, block, monkeypatch):
-    monkeypatch.setattr(near_dup.links, "__defaults__", (0.8, block))
+    monkeypatch.setattr(near_dup.linked_roots, "__defaults__", (0.8, block))
     rows = near_rows()
     got = near_dup.near_duplicates(docs(spark, rows).repartition(4)).collect()
     classes = defaultdict(set)
@@ -158,7 +159,7 @@ def test_left_over_nodes_meet_their_whole_bucket(spark):
         of.append(i % 5)
     df = spark.createDataFrame(nodes, "row long, sketches array<long>, words binary")
     for block in (4, 256):
-        roots = {r.node: r.root for r in near_dup.components(near_dup.links(df, 0.8, block)).collect()}
+        roots = {r.node: r.root for r in near_dup.linked_roots(df.drop("words"), df.drop("sketches"), 0.8, block).collect()}
         assert roots == {i: of[i] for i in range(30)}
 
 
@@ -326,6 +327,8 @@ def labelled(n=240):
             words = [w + "***" for w in words]
         if kind == 1:
             words[::5] = ["nasty"] * len(words[::5])
+        if kind > 1:
+            words[::5] = ["kind"] * len(words[::5])
         rows.append((i, " ".join(words)))
         if i % 3:
             labels.append((i, int(kind != 0), int(kind == 1)))
