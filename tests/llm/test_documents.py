@@ -189,6 +189,20 @@ def test_drop_near_duplicates(spark, case_sensitive):
     assert near_dup.near_duplicates(docs(spark, awkward())).count() == len(awkward())
 
 
+@pytest.mark.parametrize("similarity, rate", [(0.8, 0.9), (0.85, 0.97), (0.9, 0.99)])
+def test_links_down_to_the_similarity_are_found(spark, similarity, rate):
+    rnd, rows = random.Random(11), []
+    for i in range(150):
+        own = [f"w{rnd.randrange(10**9)}" for _ in range((50, 100, 400)[i % 3])]
+        other = own.copy()
+        for k in rnd.sample(range(len(own)), math.floor((1 - similarity) * len(own) + 1e-9)):
+            other[k] = f"edit{k}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert all(c // 2 == d // 2 for d, (c, _) in got.items())
+    assert sum(got[2 * i + 1] == (2 * i, 2) for i in range(150)) >= rate * 150
+
+
 # ---- passages
 
 def brute_passages(rows, run_words):
