@@ -59,8 +59,11 @@ class Classifier:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = BUCKETS, train_rows: int = TRAIN_ROWS):
         self.domains, self.buckets = domains, buckets
+        labels = labels.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
+        if other := [r["domain"] for r in labels.where(~F.col("domain").isin(domains)).select("domain").distinct().limit(20).collect()]:
+            raise ValueError(f"labels hold domains without a target: {sorted(other)}; give each one, 0 to leave it out of the mixture")
         sample = (
-            labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
+            labels
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
         )
         seen = (
@@ -70,7 +73,8 @@ class Classifier:
         )
         counts = materialize(seen, "word-counts")
         n = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}  # one row per domain
-        self.priors = [(n.get(d, 0) + 1) / (sum(n.values()) + len(domains)) for d in domains]
+        # A domain that no label names, while others are named, has no documents.
+        self.priors = [(n.get(d, 0) + 1) / (sum(n.values()) + len(domains)) if d in n or not n else 0.0 for d in domains]
         total = counts.groupBy("domain").agg(F.sum("count").alias("all")).collect()
         self._all = {r["domain"]: r["all"] for r in total}
         self._weights = [self._table(r) for r in self._fit(counts)]
@@ -101,6 +105,8 @@ class Classifier:
         return [self._score(buckets, i) for i in range(len(self.domains))]
 
     def _score(self, buckets: Column, i: int) -> Column:
+        if not self.priors[i]:
+            return F.lit(-math.inf)
         return F.aggregate(buckets, F.lit(math.log(self.priors[i])), lambda total, b: total + F.get(self._weights[i], b))
 
 
@@ -179,8 +185,10 @@ def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float |
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, tokens, p_<domain> for every domain of ``targets``, and rate, one row per row of ``docs``.
 
-    ``labels``: doc_id and domain; labels of other domains are left out, and so are
-    null ones. ``total``: tokens the mixture should have, by default as many as
+    ``labels``: doc_id and domain; null ones are left out, and a domain that has no
+    target is an error. A target of 0 is one: its documents leave the mixture as far as
+    the classifier tells them apart. A domain without labels, while others have some,
+    has a posterior of 0. ``total``: tokens the mixture should have, by default as many as
     there are. A null or empty text has no tokens, the priors as posterior and a
     rate like any other. A null doc_id stays null and is never trained on; repeated
     rows are documents of their own with equal rates; an empty table gives an empty

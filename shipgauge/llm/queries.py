@@ -24,8 +24,8 @@ from shipgauge.session import tune
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-# Shares of tokens by label: q quality, t toxic.
-DOMAIN_TARGETS = {"q0t0": 0.05, "q1t0": 0.92, "q1t1": 0.03}
+# Shares of tokens by label: q quality, t toxic. All domains that labels can name are here.
+DOMAIN_TARGETS = {"q0t0": 0.05, "q0t1": 0.0, "q1t0": 0.92, "q1t1": 0.03}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -451,3 +451,26 @@ def test_mixing_of_awkward_rows(spark):
     assert [(r.doc_id, r.domain) for r in domain_labels(labels).collect()] == [(3, "q1t0")]
 
 
+def test_every_labelled_domain_has_a_target(spark):
+    from shipgauge.llm.queries import DOMAIN_TARGETS
+
+    rows, labels = labelled()
+    # Documents that are toxic and of low quality at once, in words of their own.
+    rnd = random.Random(12)
+    for i in range(1000, 1060):
+        words = sentence(rnd, 40, 60).split()
+        words[::3] = ["vile***"] * len(words[::3])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, 1))
+    known = domain_labels(spark.createDataFrame(labels, LABELS))
+    got = mixing_rates(docs(spark, rows), known, DOMAIN_TARGETS).collect()
+    assert all(r.p_q0t1 > 0.99 and r.rate < 0.01 for r in got if r.doc_id >= 1000)
+    tokens = sum(r.tokens for r in got)
+    for domain, share in DOMAIN_TARGETS.items():
+        assert sum(r.rate * r.tokens * r[f"p_{domain}"] for r in got) == pytest.approx(share * tokens, abs=1e-3 * tokens)
+    for run in (mixing_rates, mix):
+        with pytest.raises(ValueError, match="q0t1"):
+            run(docs(spark, rows), known, TARGETS)
+    # Without labels of that domain nothing is in it.
+    rest = domain_labels(spark.createDataFrame([x for x in labels if x[0] < 1000], LABELS))
+    assert {r.p_q0t1 for r in mixing_rates(docs(spark, rows), rest, DOMAIN_TARGETS).collect()} == {0.0}
