@@ -8,6 +8,7 @@ is one distributed sum of as many numbers as there are domains.
 
 from __future__ import annotations
 
+import logging
 import math
 from json import loads
 
@@ -27,9 +28,12 @@ PASSES = 40
 TOLERANCE = 1e-7
 # How little leaving rates at 1 counts beside meeting the targets.
 RIDGE = 1e-8
-# No document comes more often than this.
-MAX_RATE = 4.0
+# Rates have no upper bound unless a caller asks for one.
+MAX_RATE = math.inf
+# Targets that are missed by more than this share of all tokens are warned of.
+MISSED = 1e-3
 _SCALE = 1 << 20
+_LOG = logging.getLogger(__name__)
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -145,12 +149,13 @@ def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float |
         return F.lit(1.0) - sum((c * F.lit(float(v)) for c, v in zip(p[1:], y[1:])), p[0] * F.lit(float(y[0])))
 
     def rate_at(y: np.ndarray) -> Column:
-        return F.least(F.lit(top), F.greatest(F.lit(0.0), free_at(y)))
+        rate = F.greatest(F.lit(0.0), free_at(y))
+        return rate if math.isinf(top) else F.least(F.lit(top), rate)
 
     def sums(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The sum of what has the rates as its slopes, expected tokens per domain, and H."""
         weight = F.col("rate") * tokens
-        between = F.when((F.col("rate") > 0) & (F.col("rate") < top), tokens)
+        between = F.when((F.col("rate") > 0) & (F.col("rate") < F.lit(top)), tokens)
         of = [weight * (free_at(y) - F.col("rate") / 2), *[weight * c for c in p], *[between * p[i] * p[j] for i, j in pairs]]
         row = members.withColumn("rate", rate_at(y)).agg(*[F.sum(c.cast("decimal(38,6)")).alias(f"x{n}") for n, c in enumerate(of)]).first()
         got, h = [float(v or 0) for v in row], np.zeros((k, k))
@@ -182,14 +187,28 @@ def fit_rates(members: DataFrame, tag: str, weights: list[float], total: float |
     return rate_at(y), now.tolist()
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def _rates(members: DataFrame, targets: dict[str, float], total: float | None, top: float) -> Column:
+    """The rates of ``members``; target and reached tokens of every domain go to the log, as a warning where they differ."""
+    domains = sorted(targets)
+    rate, reached = fit_rates(members, "m_", [targets[d] for d in domains], total, top=top)
+    if total is None:
+        total = float(members.agg(F.sum("m_tokens")).first()[0] or 0)
+    for d, got in zip(domains, reached):
+        wanted = targets[d] / max(sum(targets.values()), 1e-300) * total
+        missed = abs(got - wanted) > MISSED * max(total, 1.0)
+        _LOG.log(logging.WARNING if missed else logging.INFO, "mixing: %s reaches %.0f expected tokens, target %.0f%s", d, got, wanted, ", MISSED" if missed else "")
+    return rate
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, train_rows: int = TRAIN_ROWS, top: float = MAX_RATE) -> DataFrame:
     """doc_id, tokens, p_<domain> for every domain of ``targets``, and rate, one row per row of ``docs``.
 
     ``labels``: doc_id and domain; null ones are left out, and a domain that has no
     target is an error. A target of 0 is one: its documents leave the mixture as far as
     the classifier tells them apart. A domain without labels, while others have some,
     has a posterior of 0. ``total``: tokens the mixture should have, by default as many as
-    there are. A null or empty text has no tokens, the priors as posterior and a
+    there are. ``top``: rates end there, if given; targets may then be missed. Target
+    and reached tokens of each domain are logged. A null or empty text has no tokens, the priors as posterior and a
     rate like any other. A null doc_id stays null and is never trained on; repeated
     rows are documents of their own with equal rates; an empty table gives an empty
     result; without labels all domains are equally likely and the targets are met
@@ -199,23 +218,23 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     model = Classifier(docs, labels, domains, train_rows=train_rows)
     texts = documents(docs)
     members = materialize(_members(texts, F.col("text"), model, "m_").drop("text"), "members")
-    rate, _ = fit_rates(members, "m_", [targets[d] for d in domains], total)
+    rate = _rates(members, targets, total, top)
     return members.select(
         "doc_id", F.col("m_tokens").alias("tokens"), *[F.col(f"m_p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"),
     )
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, train_rows: int = TRAIN_ROWS, top: float = MAX_RATE) -> DataFrame:
     """``docs`` with every row as often as its rate says: the whole part, and once more with the rest as probability.
 
-    The draw is a hash of doc_id and text, so that it does not depend on partitions.
+    Domains, rates and what is logged are those of ``mixing_rates``. The draw is a hash of doc_id and text, so that it does not depend on partitions.
     """
     domains = sorted(targets)
     model = Classifier(docs, labels, domains, train_rows=train_rows)
     rows = Rows(docs)
     text = F.coalesce(rows.col("text").cast("string"), F.lit(""))
     members = materialize(_members(rows.df, text, model, "m_"), "members")
-    rate, _ = fit_rates(members.select("m_tokens", *[f"m_p{i}" for i in range(len(domains))]), "m_", [targets[d] for d in domains], total)
+    rate = _rates(members.select("m_tokens", *[f"m_p{i}" for i in range(len(domains))]), targets, total, top)
     draw = F.pmod(F.xxhash64(rows.col("doc_id"), text), F.lit(_SCALE)) / F.lit(float(_SCALE))
     rated = members.withColumn("m_rate", rate)
     copies = F.floor("m_rate") + (draw < F.col("m_rate") - F.floor("m_rate")).cast("long")

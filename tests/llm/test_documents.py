@@ -474,3 +474,19 @@ def test_every_labelled_domain_has_a_target(spark):
     # Without labels of that domain nothing is in it.
     rest = domain_labels(spark.createDataFrame([x for x in labels if x[0] < 1000], LABELS))
     assert {r.p_q0t1 for r in mixing_rates(docs(spark, rows), rest, DOMAIN_TARGETS).collect()} == {0.0}
+
+
+def test_a_rare_domain_reaches_its_target(spark, caplog):
+    """1 % of the tokens, a tenth wanted: rates of about 10. A cap is opt-in, and what it misses is logged."""
+    from shipgauge.llm.mixing import _rates, fit_rates
+
+    rows = [(100.0, float(i < 2), float(i >= 2)) for i in range(200)]
+    members = spark.createDataFrame(rows, "m_tokens double, m_p0 double, m_p1 double")
+    rate, reached = fit_rates(members, "m_", [0.1, 0.9], None)
+    assert reached == pytest.approx([2000, 18000], rel=1e-4)
+    assert members.withColumn("rate", rate).where("m_p0 = 1").first().rate == pytest.approx(10, rel=1e-4)
+    with caplog.at_level("INFO", logger="shipgauge.llm.mixing"):
+        _rates(members, {"a": 0.1, "b": 0.9}, None, math.inf)
+        assert [r.levelname for r in caplog.records] == ["INFO", "INFO"] and "a reaches 2000 expected tokens, target 2000" in caplog.text
+        _rates(members, {"a": 0.1, "b": 0.9}, None, 4.0)
+    assert "a reaches 800 expected tokens, target 2000, MISSED" in caplog.text
