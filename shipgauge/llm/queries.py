@@ -16,7 +16,7 @@ from shipgauge.llm.mixing import domain_labels, mixing_rates
 from shipgauge.llm.near_dup import near_duplicates
 from shipgauge.llm.packing import pack
 from shipgauge.llm.passages import repeated_passages
-from shipgauge.llm.resampling import resample
+from shipgauge.llm.resampling import LIGHT_SMOOTHING, resample
 from shipgauge.llm.token_counts import TokenCache, token_counts
 from shipgauge.llm.topk import exact_top_k
 from shipgauge.llm.wavelet import token_shards
@@ -39,7 +39,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), smoothing=LIGHT_SMOOTHING)
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ TARGET_ROWS = 20_000
 # Tokens added to a bucket of the target model and to what the raw model expects there,
 # so that a bucket too rare to tell has a ratio near 1.
 SMOOTHING = 100.0
-FRACTION = 0.85
+# What op2 smooths by: less lets words speak that only toxic documents hold.
+LIGHT_SMOOTHING = 1.0
 WEIGHTS = "doc_id long, log_weight double, sort_key double, place long"
 
 
@@ -34,6 +35,14 @@ def good_documents(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return agreed.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
 
 
+def good_share(labels: DataFrame) -> float:
+    """The share of the labelled ids that ``good_documents`` would take without its limit; 1 without labels."""
+    known = pick(labels, doc_id="long", quality="int", toxic="int").where(F.col("doc_id").isNotNull())
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    row = known.groupBy("doc_id").agg(F.min(good.cast("int")).alias("good")).agg(F.avg("good")).first()
+    return 1.0 if row[0] is None else float(row[0])
+
+
 def features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and pairs of neighbours, and the text of each, in the order of the texts."""
     h, bounds = word_hashes(texts, pieces=True)
@@ -75,7 +84,7 @@ def _weigh(ratio: np.ndarray):
     return run
 
 
-def importance_weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def importance_weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """doc_id, log_weight, sort_key and place (an integer in the order of sort_key) of every row; ``good``: ids of a bounded number of target documents."""
     texts = documents(docs)
     flagged = texts.join(F.broadcast(good.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
@@ -87,15 +96,15 @@ def importance_weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS)
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[at] = counts.column("raw").to_numpy()
     target[at] = counts.column("target").to_numpy()
-    ratio = log_ratio(raw, target)
+    ratio = log_ratio(raw, target, smoothing)
     noise = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 52))
     return texts.withColumn("noise", noise).mapInArrow(_weigh(ratio), WEIGHTS)
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """Per bucket the log of its probability in the target over that in the raw text."""
     expected = raw * (target.sum() / max(raw.sum(), 1.0))
-    return np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
+    return np.log(target + smoothing) - np.log(expected + smoothing)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int:
@@ -113,9 +122,12 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int:
     return found
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, smoothing: float = SMOOTHING) -> DataFrame:
     """The sample: doc_id, log_weight, sort_key and kept (true) of round(fraction * rows) rows.
 
+    ``fraction`` is by default the share of good ones among the labelled documents, so
+    that the sample is as large as the good text is taken to be; without labels all
+    rows stay, with none but bad ones no row does.
     The noise is a hash of doc_id and text, so partitions do not change the sample;
     repeated rows share it and rows equal at the cut all stay. A null or empty text
     has weight 0; a null doc_id stays null and is never in the target; labels with
@@ -123,7 +135,8 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, buc
     differences to an even spread; an empty table or a fraction of 0 gives an empty
     sample. Other columns are not looked at.
     """
-    weights = materialize(importance_weights(docs, good_documents(labels, target_rows), buckets), "weights")
+    weights = materialize(importance_weights(docs, good_documents(labels, target_rows), buckets, smoothing), "weights")
+    fraction = good_share(labels) if fraction is None else fraction
     k = round(fraction * weights.count())
     chosen = weights.limit(0) if k <= 0 else weights.where(F.col("place") >= F.lit(kth_largest(weights, "place", k)))
     return chosen.select("doc_id", "log_weight", "sort_key", F.lit(True).alias("kept"))

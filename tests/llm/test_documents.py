@@ -370,6 +370,21 @@ def test_resample(spark):
     assert {r.doc_id for r in again} == {r.doc_id for r in sample}
 
 
+def test_the_sample_is_as_large_as_the_labelled_good_share(spark):
+    from shipgauge.llm.resampling import LIGHT_SMOOTHING
+
+    rows, labels = labelled()
+    share = sum(q and not t for _, q, t in labels) / len(labels)
+    known = spark.createDataFrame(labels, LABELS)
+    sample = resample(docs(spark, rows), known, smoothing=LIGHT_SMOOTHING).collect()
+    assert len(sample) == round(share * len(rows)) == 120
+    # Documents held out from the fit, every third: good ones stay, toxic and low-quality ones go.
+    held = Counter(r.doc_id % 4 in (2, 3) for r in sample if r.doc_id % 3 == 0)
+    assert held[True] >= 38 and held[False] <= 2
+    bad = spark.createDataFrame([(d, 0, t) for d, _, t in labels], LABELS)
+    assert resample(docs(spark, rows), bad).collect() == [] and resample(docs(spark, rows), known.limit(0)).count() == len(rows)
+
+
 def test_features_are_words_and_pairs_within_a_text():
     values, of = features(pa.array(["a b. a", "c", None]), 1 << 62)
     assert Counter(of.tolist()) == {0: 7, 1: 1}
