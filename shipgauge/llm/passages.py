@@ -1,28 +1,48 @@
-"""Repeated passages by hashes of lines and their sentences.
+"""Repeated passages by hashes of sentences and of windows of words.
 
 Units are the sentences of each line. Normalised units are grouped by digest over
 all documents and the earliest one by (doc_id, place) stays; a run of later ones
 that is long enough is removed, with its offsets in the original text.
+
+Passages that begin or end inside a sentence are found by windows of WINDOW words:
+each window that has occurred before is removed, so every repeat of so many words
+goes, to the word. Windows are not compared one by one: each has an anchor, the
+smallest hash among its grams of GRAM words, and neighbours with the same anchor form
+a stretch. Equal windows have equal anchors, so stretches whose anchor occurs once go
+no further, a stretch that has occurred before goes as a whole, and single windows are
+compared only where an anchor has unlike stretches, that is at the ends of passages,
+once for each kind of stretch. Both sets of anchors are filters of fixed size. A full
+filter costs time, never a passage.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shipgauge.llm.encoding import slices
 from shipgauge.llm.frames import Rows, documents, materialize
+from shipgauge.llm.words import mix64
 
 # Units of fewer words are not compared; they do not break a run either.
 UNIT_WORDS = 3
-# A run is removed from this many words on. Passages of 50 words and more hold such
-# a run also where they begin and end within a sentence.
+# A run of sentences is removed from this many words on.
 RUN_WORDS = 30
-UNITS = "doc_id long, row long, unit int, begin int, finish int, words int, digest binary"
+# Words of a window, and of the grams among which its anchor is the smallest.
+WINDOW = 50
+GRAM = 20
+# Bits of each of two filters, 16 MB.
+FILTER_BITS = 1 << 27
+# A stretch's unit is -1; windows are null unless they may have to be compared.
+UNITS = "doc_id long, row long, unit int, begin int, finish int, words int, word int, digest binary, anchor long, windows array<struct<digest:bigint,begin:int,finish:int>>"
+_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.int64(), pa.list_(pa.struct([("digest", pa.int64()), ("begin", pa.int32()), ("finish", pa.int32())]))]
 _CUT = re.compile(r"[.!?]+\s+|\n\s*")
+_WORD = re.compile(r"\S+")
+_NO_ID = (1 << 63) - 1
 
 
 def text_units(text: str):
@@ -38,40 +58,183 @@ def text_units(text: str):
         at = cut[1]
 
 
-def _units(batches):
-    names = [c.split()[0] for c in UNITS.split(", ")]
+def _units(repeated: np.ndarray, unlike: np.ndarray):
+    """Sentences of all texts, and their stretches that may repeat."""
+    names = ["doc_id", "row", "unit", "begin", "finish", "words", "word", "digest", "anchor", "windows"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))))
+                out = [[] for _ in names]
+                for (doc_id, row, text), h in zip(rows, _word_hashes([t for *_, t in rows])):
+                    at, word = 0, 0
+                    for k, (a, b, n, plain) in enumerate(text_units(text)):
+                        word += len(text[at:a].split())
+                        at = a
+                        for column, v in zip(out, (doc_id, row, k, a, b, n, word, xxhash.xxh3_128_digest(plain), None, None)):
+                            column.append(v)
+                    if h is None:
+                        continue
+                    starts, ends, anchors = _stretches(h)
+                    live, single = _inside(repeated, anchors), _inside(unlike, anchors)
+                    if not live.any():
+                        continue
+                    spans = [m.span() for m in _WORD.finditer(text)]
+                    windows = _joined(h, WINDOW).view(np.int64) if single.any() else None
+                    for a, b, one, anchor in zip(*(x[live].tolist() for x in (starts, ends, single, anchors.view(np.int64)))):
+                        last = b + WINDOW - 1  # words a to last - 1
+                        own = [dict(digest=d, begin=spans[i][0], finish=spans[i + WINDOW - 1][1]) for i, d in enumerate(windows[a:b].tolist(), a)] if one else None
+                        values = doc_id, row, -1, spans[a][0], spans[last - 1][1], last - a, a, xxhash.xxh3_128_digest(h[a:last].tobytes()), anchor, own
+                        for column, v in zip(out, values):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS)], names=names)
+
+    return run
+
+
+def _stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window + 1 and anchor of each stretch."""
+    least = _sliding(_joined(h, GRAM), WINDOW - GRAM + 1, np.minimum)
+    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    return starts, np.append(starts[1:], len(least)), least[starts]
+
+
+def _inside(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    at = (anchors % np.uint64(FILTER_BITS)).astype(np.int64)
+    return ((bits[at >> 3] >> (at & 7)) & 1).astype(bool)
+
+
+def _sliding(values: np.ndarray, n: int, take) -> np.ndarray:
+    """The smallest (np.minimum) or largest (np.maximum) of each n neighbours."""
+    width = 1
+    while width * 2 <= n:
+        values, width = take(values[:-width], values[width:]), width * 2
+    return take(values[:len(values) - (n - width)], values[n - width:]) if n > width else values
+
+
+def _joined(h: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each n neighbours."""
+    out, width, left = None, 1, n
+    at = 0
+    while left:
+        if left & 1:
+            end = len(h) - (n - at - width) if n > at + width else len(h)
+            piece = h[at:end]
+            if out is None:
+                out = piece
+            else:
+                m = min(len(out), len(piece))
+                out = mix64(out[:m] * np.uint64(0x9E3779B97F4A7C15) + piece[:m])
+            at += width
+        left >>= 1
+        if left:
+            h, width = mix64(h[:-width] * np.uint64(0x9E3779B97F4A7C15) + h[width:]), width * 2
+    return out
+
+
+def _word_hashes(texts: list[str]):
+    """Per text the hashes of its words in lower case, sentence ends left out."""
+    known: dict[str, int] = {}
+    for text in texts:
+        words = text.lower().split()
+        if len(words) < WINDOW:
+            yield None
+            continue
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w.rstrip(".!?") or w)
+        yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _anchors(batches):
+    """Anchor and digest of every stretch, and whether a window comes twice in it."""
     for batch in batches:
         for part in slices(batch, "text"):
-            out = [[] for _ in names]
-            for doc_id, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                for k, (a, b, n, plain) in enumerate(text_units(text)):
-                    for column, v in zip(out, (doc_id, row, k, a, b, n, xxhash.xxh3_128_digest(plain))):
-                        column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            anchors, digests, loops = [np.zeros(0, np.uint64)], [], []
+            for h in _word_hashes(part.column("text").to_pylist()):
+                if h is None:
+                    continue
+                starts, ends, own = _stretches(h)
+                windows, bounds = _joined(h, WINDOW), list(zip(starts.tolist(), ends.tolist()))
+                anchors.append(own)
+                digests += [xxhash.xxh3_64_intdigest(h[a:b + WINDOW - 1].tobytes()) for a, b in bounds]
+                loop = len(np.unique(windows)) < len(windows)
+                loops += [loop and len(np.unique(windows[a:b])) < b - a for a, b in bounds]
+            columns = np.concatenate(anchors).view(np.int64), np.array(digests, np.uint64).view(np.int64), np.array(loops, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "digest", "loop"])
+
+
+def _filters(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """As bytes, a bit for each anchor that occurs more than once, and for each that has unlike stretches."""
+    found = texts.select("text").mapInArrow(_anchors, "anchor long, digest long, loop boolean").groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("unlike"), F.max("loop").alias("loop"))
+    cell = F.shiftright(F.pmod(F.col("anchor"), F.lit(FILTER_BITS)), 5).alias("cell")
+    one = F.expr("shiftleft(1L, cast(pmod(anchor, 32) as int))")
+    other = F.when(F.col("unlike") | F.col("loop"), one).otherwise(F.lit(0))
+    bits = found.where((F.col("n") > 1) | F.col("loop")).groupBy(cell).agg(F.bit_or(one).alias("repeated"), F.bit_or(other).alias("unlike"))
+    cells, out = bits.toArrow(), []  # at most FILTER_BITS / 32 rows
+    for name in ("repeated", "unlike"):
+        of = np.zeros(FILTER_BITS // 32, "<u4")
+        of[cells.column("cell").to_numpy()] = cells.column(name).to_numpy().astype(np.uint32)
+        out.append(of.view(np.uint8))
+    return out[0], out[1]
+
+
+def _place() -> Column:
+    return F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("row").alias("row"), F.col("begin").alias("begin"))
+
+
+def _later(units: DataFrame) -> DataFrame:
+    """Of units with equal digests, all but the first."""
+    firsts = units.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return units.join(firsts, "digest").where(_place() != F.col("first")).drop("digest")
+
+
+def _single_windows(units: DataFrame) -> DataFrame:
+    """The windows of the first stretch of each kind, where an anchor has unlike ones; of the others the one that says where they occur first."""
+    able = units.where("windows IS NOT NULL")
+    firsts = able.groupBy("digest").agg(F.min(_place()).alias("first")).select("digest", F.col("first.row").alias("row"), F.col("first.begin").alias("begin"), F.lit(True).alias("head"))
+    windows = F.when(F.col("head"), F.col("windows")).otherwise(F.slice("windows", 1, 1))
+    own = able.join(firsts, ["digest", "row", "begin"], "left").select("doc_id", "row", "word", F.posexplode(windows).alias("k", "w"))
+    return own.select(
+        "doc_id", "row", F.lit(-1).alias("unit"), F.col("w.begin").alias("begin"), F.col("w.finish").alias("finish"),
+        F.lit(WINDOW).alias("words"), (F.col("word") + F.col("k")).alias("word"), F.col("w.digest").alias("digest"))
 
 
 def _runs(texts: DataFrame, run_words: int) -> DataFrame:
-    """The runs that go, from doc_id, row and text. Digests move, texts do not."""
-    units = materialize(texts.mapInArrow(_units, UNITS), "units")
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row").alias("row"), F.col("begin").alias("begin"))
-    firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = units.join(firsts, "digest").where(place != F.col("first"))
-    run = F.col("unit") - F.row_number().over(W.partitionBy("row").orderBy("unit"))  # within one document
-    return (
-        later.withColumn("run", run).groupBy("row", "run").agg(
-            F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("finish").alias("finish"),
-            F.count(F.lit(1)).alias("units"), F.sum("words").alias("words"), F.min_by("first", "unit").alias("first"))
-        .where(F.col("words") >= run_words)
-    )
+    """The runs that go, from doc_id, row and text; where sentences and windows overlap, as one. Digests move, texts do not."""
+    units = materialize(texts.mapInArrow(_units(*_filters(texts)), UNITS), "units")
+    later = _later(units.drop("anchor", "windows")).unionByName(_later(_single_windows(units))).withColumn("window", F.col("unit") < 0)
+    by_word = W.partitionBy("row", "window").orderBy("word", "words")  # within one document
+    end = F.col("word") + F.col("words")
+    apart = F.coalesce((F.col("word") > F.max(end).over(by_word.rowsBetween(W.unboundedPreceding, -1))).cast("long"), F.lit(0))
+    numbered = later.withColumns({"apart": apart, "n": F.row_number().over(by_word)})
+    run = F.when(F.col("window"), F.sum("apart").over(by_word.rowsBetween(W.unboundedPreceding, 0))).otherwise((F.col("unit") - F.col("n")).cast("long"))
+    words = F.when(F.col("window"), F.max(end) - F.min("word")).otherwise(F.sum("words"))
+    runs = numbered.withColumn("run", run).groupBy("row", "window", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("finish").alias("finish"),
+        F.sum((~F.col("window")).cast("long")).alias("units"), words.alias("words"), F.min("word").alias("word"), F.min(F.struct("word", "first")).alias("head"))
+    order = W.partitionBy("row").orderBy("begin", F.desc("finish"), "window")  # within one document
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    new = F.coalesce((F.col("begin") >= F.max("finish").over(before)).cast("int"), F.lit(1))
+    # Of a run that overlaps earlier ones, the words beyond them.
+    more = F.greatest(F.lit(0), F.least(F.col("words"), end - F.coalesce(F.max(end).over(before), F.lit(0))))
+    placed = runs.where(F.col("window") | (F.col("words") >= run_words)).withColumns({"new": new, "more": more})
+    rank = F.struct("begin", -F.col("finish"), "window")
+    return placed.withColumn("span", F.sum("new").over(order)).groupBy("row", "span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.sum("units").alias("units"),
+        F.sum(F.when(F.col("new") == 1, F.col("words")).otherwise(F.col("more"))).alias("words"), F.min_by("head.first", rank).alias("first"))
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """One row per removed run: doc_id, begin, finish, units, words, first_doc_id, first_begin.
 
     begin and finish are character offsets in the original text, finish excluded;
-    first_doc_id and first_begin are where the run's first unit occurs first, which
-    stays and may lie in the same document. Documents rank by doc_id (null last),
+    units are the sentences in a run, 0 where it lies within sentences, and words the
+    words of these and of repeated windows. Whatever repeats 50 words or more goes, line
+    ends and sentence ends aside; shorter repeats go where whole sentences of 30 words
+    and more repeat. first_doc_id and first_begin are where the run's first unit or
+    window occurs first, which stays and may lie in the same document. Documents rank by doc_id (null last),
     repeated rows by their place in the table. Null and empty texts have no units; a
     document without repeated runs and an empty table give no rows. Other columns
     are not looked at.
@@ -79,7 +242,7 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     texts = documents(docs).withColumn("row", F.monotonically_increasing_id())
     return _runs(texts.select("doc_id", "row", "text"), run_words).select(
         "doc_id", "begin", "finish", "units", "words",
-        F.nullif(F.col("first.id"), F.lit((1 << 63) - 1)).alias("first_doc_id"), F.col("first.begin").alias("first_begin"))
+        F.nullif(F.col("first.id"), F.lit(_NO_ID)).alias("first_doc_id"), F.col("first.begin").alias("first_begin"))
 
 
 def drop_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:

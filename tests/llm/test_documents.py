@@ -241,6 +241,34 @@ def test_repeated_passages(spark):
     assert {r.first_doc_id for r in got if r.doc_id == 4} == {1}
 
 
+def test_passages_that_begin_and_end_within_sentences(spark):
+    """Every window of 50 words that has occurred before goes, against brute force, and nothing else."""
+    rnd = random.Random(13)
+    shared = sentence(rnd, 54, 9000), sentence(rnd, 155, 9000), sentence(rnd, 49, 9000)
+    rows = []
+    for i in range(18):
+        own = [sentence(rnd, 7, 9000), sentence(rnd, 33, 9000), sentence(rnd, 3, 9000), sentence(rnd, 5, 9000)]
+        rows.append((i, f"{own[0]}. {own[1]} {shared[i % 3]}\n{own[2]} {own[3]}."))
+    # Lines of two words, a line end in another place, a loop of 30 words, an id that is null.
+    lines = "\n".join(f"a{i} b{i}" for i in range(40))
+    loop = sentence(rnd, 30, 9000)
+    rows += [(30, f"x1 {lines}\ny1 z1"), (31, f"x2 {lines}\ny2 z2"), (32, shared[1].upper().replace(" ", " \n", 3)), (33, " ".join([loop] * 5)), (None, shared[0])]
+    first, want = {}, {}
+    for d, text in rows:  # in the order of their ids
+        words = [(w.lower().rstrip(".!?"), m.span()) for m in re.finditer(r"\S+", text) for w in [m.group()]]
+        gone = set()
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(w for w, _ in words[k:k + 50]), (d, k)) != (d, k):
+                gone.update(range(k, k + 50))
+        if gone:
+            assert len(gone) == max(gone) - min(gone) + 1
+            want[d] = (words[min(gone)][1][0], words[max(gone)][1][1], len(gone))
+    got = repeated_passages(docs(spark, rows).repartition(3)).collect()
+    assert {r.doc_id: (r.begin, r.finish, r.words) for r in got} == want and len(got) == len(want)
+    assert set(want) == {i for i in range(3, 18) if i % 3 < 2} | {31, 32, 33, None}
+    assert {r.first_doc_id for r in got if r.doc_id in (4, 32)} == {1}
+
+
 def test_drop_passages(spark, case_sensitive):
     rnd = random.Random(5)
     shared = ". ".join(sentence(rnd, 9, 9000) for _ in range(7)) + "."
