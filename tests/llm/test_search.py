@@ -72,7 +72,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     own = [n for n in contract.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in own] == [f"op{i}" for i in range(1, 11)] and "pipeline" in contract.queries()
+    assert [n.split("_")[0] for n in own] == [f"op{i}" for i in range(1, 14)] and "pipeline" in contract.queries()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
