@@ -30,9 +30,8 @@ from shipgauge.llm.words import mix64
 DEPTH = 5
 LEAST = 100
 TOP = 2_000
-# Suffixes of a group, and rows that a task holds before it passes them on.
+# Suffixes of a group, and of the rows that a task holds before it passes them on.
 BUDGET = 1 << 18
-HELD = 1 << 20
 # Bits of a filter: 16 a key, at most 2 ** FILTER_LOG.
 FILTER_LOG = 26
 WORD_COUNTS = "h long, lang string, word string, n long"
@@ -45,7 +44,7 @@ _LOWER[65:91] += 32
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Words of all texts as bytes, the piece of each (numbers differ between pieces) and its text."""
+    """Words of all texts (under 2 GB) as bytes, the piece of each (numbers differ between pieces) and its text."""
     raw = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
@@ -58,9 +57,9 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     start = inside.copy()
     start[1:] &= ~inside[:-1] | begins[1:]
     at = np.flatnonzero(start)
-    piece = np.cumsum((kind == 2) | begins)[at]
+    piece = np.cumsum((kind == 2) | begins, dtype=np.int32)[at]
     kept = _LOWER[data[inside]]
-    bounds = np.append(np.cumsum(inside)[at] - 1, len(kept)).astype(np.int64)
+    bounds = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
     return words, piece, np.searchsorted(offsets, at, side="right") - 1
 
@@ -120,17 +119,17 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(mix64(a) * np.uint64(31) + b)
 
 
-def _word_counts(seed: tuple[int, int]):
+def _word_counts(seed: tuple[int, int], held_rows: int):
     def run(batches):
         held, rows = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 held.append(Coded(part, seed, count=True).counts)
                 rows += held[-1].num_rows
-                if rows > HELD:
+                if rows > held_rows:
                     held = [_added(held)]
                     rows = held[0].num_rows
-                    if rows > HELD // 2:
+                    if rows > held_rows // 2:
                         yield from held[0].to_batches()
                         held, rows = [], 0
         if held:
@@ -144,7 +143,7 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return total.rename_columns([c.removesuffix("_sum") for c in total.column_names]).select(["h", "lang", "word", "n"]).combine_chunks()
 
 
-def _pair_counts(seed: tuple[int, int], words):
+def _pair_counts(seed: tuple[int, int], words, held_rows: int):
     def run(batches):
         held, rows = [], 0
 
@@ -167,10 +166,10 @@ def _pair_counts(seed: tuple[int, int], words):
                     continue
                 held.append(np.unique(pair_key(c.hashes[:-1][both], c.hashes[1:][both]), return_counts=True))
                 rows += len(held[-1][0])
-                if rows > HELD:
+                if rows > held_rows:
                     held = [added()]
                     rows = len(held[0][0])
-                    if rows > HELD // 2:
+                    if rows > held_rows // 2:
                         yield out(*held[0])
                         held, rows = [], 0
         if held:
@@ -189,7 +188,7 @@ def merged(rows: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarr
     return rows[at], np.add.reduceat(n, at) if len(at) else n, *[m[at] for m in more]
 
 
-def _suffixes(seed: tuple[int, int], pairs, hot_words, hot_pairs, groups: int, depth: int):
+def _suffixes(seed: tuple[int, int], pairs, hot_words, hot_pairs, groups: int, depth: int, held_rows: int):
     """Suffixes by group: distinct ones of a stretch of texts, sorted, as one binary row a group."""
     def dealt(held):
         rows = np.concatenate(held)
@@ -226,7 +225,7 @@ def _suffixes(seed: tuple[int, int], pairs, hot_words, hot_pairs, groups: int, d
                     rows[on, d] = c.hashes[at[on] + d]
                 held.append(rows)
                 size += len(rows)
-                if size > HELD:
+                if size > held_rows:
                     yield dealt(held)
                     held, size = [], 0
         if held:
@@ -281,7 +280,7 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, bu
     texts = pick(docs, text="string", lang="string").select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     seed = (0, bits)
     while True:
-        counted = texts.mapInArrow(_word_counts(seed), WORD_COUNTS).groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
+        counted = texts.mapInArrow(_word_counts(seed, budget), WORD_COUNTS).groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
         table = Stored(counted, "words")
         if table.df.groupBy("h").count().where("count > 1").isEmpty():
             break
@@ -291,14 +290,14 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, bu
     share = spark.sparkContext.broadcast
     frequent = table.df.where(F.col("n") >= least)
     known = share(Bits.of(frequent, "h"))
-    paired = Stored(texts.mapInArrow(_pair_counts(seed, known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
+    paired = Stored(texts.mapInArrow(_pair_counts(seed, known, budget), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
     pairs = share(Bits.of(paired.df, "key"))
     # A prefix that begins more than a part of what a group may hold is made longer.
     hot_words = share(Bits.of(frequent.where(F.col("n") > budget // 4), "h"))
     hot_pairs = share(Bits.of(paired.df.where(F.col("n") > budget // 4), "key"))
     total = paired.df.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // budget))
-    dealt = texts.mapInArrow(_suffixes(seed, pairs, hot_words, hot_pairs, groups, depth), "group int, suffixes binary")
+    dealt = texts.mapInArrow(_suffixes(seed, pairs, hot_words, hot_pairs, groups, depth, budget), "group int, suffixes binary")
     nodes = dealt.groupBy("group").applyInArrow(_tree(depth, least), "key binary, n long")
     phrases = materialize(nodes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
     paired.drop()
