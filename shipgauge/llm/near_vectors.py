@@ -5,7 +5,8 @@ dimensions after a fixed rotation, a linked pair is, in one block at least, no f
 apart than that block's share of the squared distance (its share of the dimensions).
 Each block is joined on its own: cells cut its space at quantiles, a vector is at home
 in one cell and visits those of higher number that its ball reaches, and a cell's
-home vectors meet one another and the visitors. A pair counts in the first block
+home vectors meet one another and the visitors. A cell is one task's, a large one is
+split into tiles that are joined pair by pair. A pair counts in the first block
 that finds it, after its cosine has been computed from the vectors themselves, so the
 union over blocks has every pair once.
 
@@ -19,6 +20,7 @@ are exact in doubles, so all tasks place and measure a vector alike.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -30,16 +32,21 @@ from pyspark.sql import DataFrame, functions as F
 from shipgauge.llm.frames import Stored, materialize, pick
 from shipgauge.llm.graph import components
 from shipgauge.llm.vectors import sound
+from shipgauge.session import tune
 
 COSINE = 0.95
 BLOCKS = 8
 # Vectors at home in a cell, on average; vectors of a tile.
 CELL = 2_048
 TILE = 2_048
+# Beyond so many vectors a cell is split.
+LARGE = 32 * TILE
+# Tiles that a task keeps at hand while it meets those of a cell.
+TILES_SEEN = 16
 UNIT = 1 << 20
 _NO_ID = (1 << 63) - 1
 KEY = "dims int, block int, cell long"
-ROUTED = f"{KEY}, home boolean, place int, node long, n long, v binary"
+ROUTED = f"{KEY}, home boolean, share int, place int, node long, n long, v binary"
 TILED = f"{KEY}, home boolean, tile long, size int, nodes binary, n binary, v binary"
 
 
@@ -118,54 +125,80 @@ def _nodes(batches):
             names=["row", "vec_id", "dims", "digest", "v"])
 
 
-def _route(cosine: float, blocks: int, bits: dict[int, int]):
+def _routes(batches, cosine: float, blocks: int, bits: dict[int, int]):
+    """Batches of one length with, block by block, which vector enters which cell and whether it is at home there."""
+    for batch in batches:
+        dims = batch.column("dims").to_numpy()
+        for d in np.unique(dims).tolist():
+            part = batch.filter(pa.array(dims == d))
+            space, x = Space(d, cosine, blocks, bits.get(d, 0)), rotated(_matrix(part.column("v").to_pylist(), d))
+            for block in range(len(space.blocks)):
+                yield part, x, d, block, *space.route(x, block)
+
+
+def _sizes(cosine: float, blocks: int, bits: dict[int, int]):
     def run(batches):
-        for batch in batches:
-            dims = batch.column("dims").to_numpy()
-            for d in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == d))
-                space, x = Space(d, cosine, blocks, bits.get(d, 0)), rotated(_matrix(part.column("v").to_pylist(), d))
-                # Neighbours in a tile should be near one another: by the signs of the first dimensions.
-                place = ((x[:, :24] > 0) @ (1 << np.arange(min(d, 24)))).astype(np.int32)
-                for block in range(len(space.blocks)):
-                    who, cell, home = space.route(x, block)
-                    for a in range(0, len(who), TILE):
-                        some = pa.array(who[a:a + TILE])
-                        size = len(some)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(size, d, np.int32)), pa.array(np.full(size, block, np.int32)), pa.array(cell[a:a + TILE]), pa.array(home[a:a + TILE]),
-                            pa.array(place[who[a:a + TILE]]), *[part.column(c).take(some) for c in ("node", "n", "v")]],
-                            names=[c.split()[0] for c in ROUTED.split(", ")])
+        for _, _, d, block, _, cell, _ in _routes(batches, cosine, blocks, bits):
+            cells, n = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), d, np.int32)), pa.array(np.full(len(n), block, np.int32)), pa.array(cells), pa.array(n)], names=["dims", "block", "cell", "n"])
+
+    return run
+
+
+def _route(cosine: float, blocks: int, bits: dict[int, int], large: dict[tuple[int, int], dict[int, int]], want: bool):
+    """Vectors by cell, of large cells (with the share of a cell that a vector is in) or of the others."""
+    def run(batches):
+        for part, x, d, block, who, cell, home in _routes(batches, cosine, blocks, bits):
+            # Neighbours in a tile should be near one another: by the signs of the first dimensions.
+            place = ((x[:, :24] > 0) @ (1 << np.arange(min(d, 24)))).astype(np.int32)
+            parts = large.get((d, block), {})
+            split = np.array([parts.get(c, 0) for c in cell.tolist()], np.int64) if parts else np.zeros(len(cell), np.int64)
+            who, cell, home, split = (x[(split > 0) == want] for x in (who, cell, home, split))
+            share = ((part.column("node").to_numpy()[who] * 2654435761 >> 8) % np.maximum(split, 1)).astype(np.int32)
+            for a in range(0, len(who), TILE):
+                some, size = pa.array(who[a:a + TILE]), len(who[a:a + TILE])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(size, d, np.int32)), pa.array(np.full(size, block, np.int32)), pa.array(cell[a:a + TILE]), pa.array(home[a:a + TILE]),
+                    pa.array(share[a:a + TILE]), pa.array(place[who[a:a + TILE]]), *[part.column(c).take(some) for c in ("node", "n", "v")]],
+                    names=[c.split()[0] for c in ROUTED.split(", ")])
 
     return run
 
 
-def _tiles(batches):
-    """Up to TILE neighbouring rows of one cell as one row."""
-    held, key = [], None
+def _tiles(batches, most: int = TILE):
+    """Up to ``most`` neighbouring rows of one cell as one row."""
+    held, key, size = [], None, 0
 
     def tile():
-        nodes, n, v = (sum((h[i] for h in held), []) for i in range(3))
-        wide = max(map(len, v)) == 8 * key[0]
-        data = _matrix(v, key[0]).astype("<f8" if wide else "<f4")
-        columns = [*key, 0, len(nodes), np.array(nodes, "<i8").tobytes(), np.array(n, "<i8").tobytes(), data.tobytes()]
+        d = key[0]
+        nodes, n = (b"".join(np.ascontiguousarray(h[i], "<i8").tobytes() for h in held) for i in (0, 1))
+        wide = any(len(h[2]) > 4 * d * len(h[0]) for h in held)
+        v = b"".join(h[2] if len(h[2]) == (8 if wide else 4) * d * len(h[0]) else _matrix(h[3].to_pylist(), d).astype("<f8").tobytes() for h in held)
+        columns = [*key, 0, size, nodes, n, v]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in TILED.split(", ")])
 
-    size = 0
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("dims", "block", "cell", "home"))))
-        rows = [batch.column(c).to_pylist() for c in ("node", "n", "v")]
+        keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("dims", "block", "cell")] + [batch.column("home").cast(pa.int8()).to_numpy(zero_copy_only=False)], axis=1)
+        nodes, n, v = batch.column("node").to_numpy(), batch.column("n").to_numpy(), batch.column("v")
+        large = v.cast(pa.large_binary())
+        raw, offsets = large.buffers()[2], np.frombuffer(large.buffers()[1], np.int64)[large.offset:large.offset + len(v) + 1]
+        ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)).tolist() if len(keys) else []
         a = 0
-        for b in range(1, len(keys) + 1):
-            if b == len(keys) or keys[b] != keys[a] or size + b - a == TILE:
-                if held and (key != keys[a] or size == TILE):
+        for end in ends:
+            own = (int(keys[a, 0]), int(keys[a, 1]), int(keys[a, 2]), bool(keys[a, 3]))
+            if held and own != key:
+                yield tile()
+                held, size = [], 0
+            key = own
+            while a < end:
+                b = min(end, a + most - size)
+                held.append((nodes[a:b], n[a:b], raw[int(offsets[a]):int(offsets[b])].to_pybytes(), v.slice(a, b - a)))
+                size, a = size + b - a, b
+                if size == most:
                     yield tile()
                     held, size = [], 0
-                key = keys[a]
-                held.append([r[a:b] for r in rows])
-                size += b - a
-                a = b
     if held:
         yield tile()
 
@@ -178,6 +211,11 @@ class Tile:
         self.v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])  # by powers of two, which changes no cosine
         self.norms = np.sqrt((self.v * self.v).sum(axis=1))
 
+    def wide(self, lo: int, hi: int, right: bool) -> np.ndarray:
+        x = (self.x[:, lo:hi] / UNIT).astype(np.float32)
+        square, one = (x * x).sum(axis=1)[:, None], np.ones((len(x), 1), np.float32)
+        return np.concatenate([-2 * x, one, square] if right else [x, square, one], axis=1)
+
     def ball(self, a: int, b: int) -> tuple[np.ndarray, float]:
         centre = self.x[:, a:b].mean(axis=0)
         return centre, float(np.sqrt(((self.x[:, a:b] - centre) ** 2).sum(axis=1).max()))
@@ -202,12 +240,11 @@ def compare(a: Tile, b: Tile, same: bool, space: Space, block: int, cosine: floa
             return int(a.n.sum()) - a.n, np.zeros(len(b.n), np.int64), star[1:len(a.n)]
         return np.full(len(a.n), b.n.sum()), np.full(len(b.n), a.n.sum()), star[1:]
     lo, hi = space.blocks[block]
-    p, q = a.x[:, lo:hi], b.x[:, lo:hi]
-    apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T)
-    near = apart <= space.budget[block]
+    # A coarse look at all pairs in 4-byte floats, in products of (x, x^2, 1) and (-2 y, 1, y^2); what rounding may add is far below a thousandth.
+    near = a.wide(lo, hi, False) @ b.wide(lo, hi, True).T <= np.float32(space.budget[block] / UNIT ** 2 * 1.001 + 1e-6)
     if same:
         near = np.triu(near, 1)
-    i, j = np.nonzero(near)
+    i, j = np.divmod(np.flatnonzero(near), near.shape[1])
     # The distances of all blocks tell whether the pair is near enough at all, and which block counts it.
     keep = np.zeros(len(i), bool)
     for s in range(0, len(i), 1 << 15):
@@ -242,31 +279,68 @@ def _forest(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return edges[edges[:, 0] != edges[:, 1]]
 
 
+def _result(pairs) -> pa.RecordBatch | None:
+    """Counts and edges of (tile, other tile, what compare gives)."""
+    nodes, counts, edges = [], [], []
+    for a, b, (in_a, in_b, forest) in pairs:
+        for t, n in ((a, in_a), (b, in_b)):
+            nodes.append(t.nodes[n > 0])
+            counts.append(n[n > 0])
+        edges.append(forest)
+    if not edges:
+        return None
+    edges, linked = np.concatenate(edges), sum(map(len, nodes))
+    columns = [np.concatenate([*x, edges[:, k]]).astype(np.int64) for k, x in ((0, nodes), (1, counts))]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns[0])) >= linked), *map(pa.array, columns)], names=["edge", "a", "b"])
+
+
+def _cells(cosine: float, blocks: int, bits: dict[int, int], most: int):
+    """Cells one after the other: tiles at home meet one another, then each tile of visitors meets them."""
+    def run(batches):
+        spaces, homes, key = {}, [], None
+        for row in (b.to_pylist()[0] for b in _tiles(batches, most)):
+            d, block = row["dims"], row["block"]
+            if d not in spaces:
+                spaces[d] = Space(d, cosine, blocks, bits.get(d, 0))
+            if key != (d, block, row["cell"]):
+                key, homes = (d, block, row["cell"]), []
+            if row["home"] or homes:
+                tile = Tile(d, row["nodes"], row["n"], row["v"])
+                if row["home"]:
+                    homes.append(tile)
+                out = _result((home, tile, compare(home, tile, home is tile, spaces[d], block, cosine)) for home in homes)
+                if out is not None and len(out):
+                    yield out
+
+    return run
+
+
 def _meet(cosine: float, blocks: int, bits: dict[int, int]):
+    """Pairs of tiles of large cells."""
     def run(batches):
-        space, tile, key = {}, None, None
+        spaces, seen = {}, OrderedDict()
+
+        def tile(key, d, *data):
+            if key not in seen:
+                seen[key] = Tile(d, *data)
+                if len(seen) > TILES_SEEN:
+                    seen.popitem(last=False)
+            seen.move_to_end(key)
+            return seen[key]
+
         for batch in batches:
             for at in range(len(batch)):
                 row = batch.slice(at, 1).to_pylist()[0]
                 d = row["dims"]
-                if d not in space:
-                    space[d] = Space(d, cosine, blocks, bits.get(d, 0))
-                if key != row["tile"]:
-                    key, tile = row["tile"], Tile(d, row["nodes"], row["n"], row["v"])
-                same = row["b_tile"] == key
-                other = tile if same else Tile(d, row["b_nodes"], row["b_n"], row["b_v"])
-                in_a, in_b, edges = compare(tile, other, same, space[d], row["block"], cosine)
-                sides = [(tile, in_a), (other, in_b)]
-                counts = [(t.nodes[n > 0], n[n > 0]) for t, n in sides]
-                columns = [np.concatenate([*[c[k] for c in counts], edges[:, k]]) for k in (0, 1)]
-                linked = sum(len(c[0]) for c in counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(columns[0])) >= linked), *[pa.array(c.astype(np.int64)) for c in columns]], names=["edge", "a", "b"])
+                if d not in spaces:
+                    spaces[d] = Space(d, cosine, blocks, bits.get(d, 0))
+                a, b = (tile(row[f"{p}tile"], d, row[f"{p}nodes"], row[f"{p}n"], row[f"{p}v"]) for p in ("", "b_"))
+                yield _result([(a, b, compare(a, b, a is b, spaces[d], row["block"], cosine))])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, cell: int = CELL, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors``.
 
     Two rows are linked if the cosine of their vectors, in double precision, is at
@@ -279,9 +353,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     there is no other: then component_id is null and kept is true. An empty table gives
     an empty result. Other columns are not looked at.
 
-    ``cell`` sets how fine the cells are; it changes the work, not the result.
+    ``cell`` and ``tile`` set how many vectors cells and tiles have; they change the work, not the result.
     """
-    spark = vectors.sparkSession
+    tune(vectors.sparkSession)
     rows = pick(vectors, vec_id="long", embedding="array<double>").select(
         F.monotonically_increasing_id().alias("row"), "vec_id", F.coalesce("embedding", F.array().cast("array<double>")).alias("embedding"),
         F.coalesce(sound(), F.lit(False)).alias("good"))
@@ -292,15 +366,23 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     stored.drop()
     bits = {r["dims"]: max(0, math.ceil(math.log2(r["count"] / cell))) for r in nodes.df.groupBy("dims").count().where(F.col("count") > cell).collect()}
     key = ["dims", "block", "cell"]
-    routed = nodes.df.select("dims", "node", "n", "v").mapInArrow(_route(cosine, blocks, bits), ROUTED)
-    # Adaptive execution splits a cell that is too large and joins small ones; tiles need not have all of it.
-    dealt = routed.hint("rebalance", *[F.col(c) for c in key]).sortWithinPartitions(*key, "home", "place")
-    tiles = Stored(dealt.mapInArrow(_tiles, TILED).withColumn("tile", F.monotonically_increasing_id()), "tiles")
-    home = tiles.df.where("home").drop("home", "size")
-    other = tiles.df.select(*key, "home", *[F.col(c).alias(f"b_{c}") for c in ("tile", "nodes", "n", "v")])
-    met = home.join(other, key).where(~F.col("home") | (F.col("tile") <= F.col("b_tile"))).drop("home")
-    found = Stored(met.mapInArrow(_meet(cosine, blocks, bits), "edge boolean, a long, b long"), "found")
-    tiles.drop()
+    plain = nodes.df.select("dims", "node", "n", "v")
+    # Cells of very many vectors, at most a few thousandths of what there is, are dealt over several tasks.
+    sizes = plain.mapInArrow(_sizes(cosine, blocks, bits), f"{KEY}, n long").groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") > LARGE)
+    large: dict[tuple[int, int], dict[int, int]] = {}
+    for r in sizes.collect():
+        large.setdefault((r["dims"], r["block"]), {})[r["cell"]] = -(-r["n"] // LARGE)
+    links_of = "edge boolean, a long, b long"
+    dealt = plain.mapInArrow(_route(cosine, blocks, bits, large, False), ROUTED).repartition(*key).sortWithinPartitions(*key, F.desc("home"), "place")
+    found = dealt.mapInArrow(_cells(cosine, blocks, bits, tile), links_of)
+    if large:
+        dealt = plain.mapInArrow(_route(cosine, blocks, bits, large, True), ROUTED).repartition(*key, "share").sortWithinPartitions(*key, "home", "share", "place")
+        tiles = materialize(dealt.mapInArrow(lambda batches: _tiles(batches, tile), TILED).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+        home = tiles.where("home").drop("home", "size")
+        other = tiles.select(*key, "home", *[F.col(c).alias(f"b_{c}") for c in ("tile", "nodes", "n", "v")])
+        met = home.join(other, key).where(~F.col("home") | (F.col("tile") <= F.col("b_tile"))).drop("home")
+        found = found.union(met.mapInArrow(_meet(cosine, blocks, bits), links_of))
+    found = Stored(found, "found")
     nodes.drop()
     links = found.df.where("NOT edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = components(found.df.where("edge").select("a", "b").distinct())

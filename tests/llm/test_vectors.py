@@ -61,11 +61,13 @@ def odd():
         (13, [1.0, 0.0, 0.0, 0.0, 0.0]), (14, far), (15, [19.0, 5.001, 3.0, 2.0, 1.0]), (16, [3.0]), (17, [7.0]), (18, [-7.0]), (19, [2.0 ** 0.5] * 3), (20, [1.0] * 3)]
 
 
-@pytest.mark.parametrize("dims, blocks, cell, tile", [(64, 8, 2048, 2048), (64, 8, 8, 16), (64, 3, 2, 7), (7, 4, 4, 9), (2, 8, 10, 50), (1, 8, 1, 5)])
-def test_near_vectors(spark, dims, blocks, cell, tile, monkeypatch):
-    monkeypatch.setattr(nv, "TILE", tile)
+@pytest.mark.parametrize("dims, blocks, cell, tile, large", [
+    (64, 8, 2048, 2048, 1 << 16), (64, 8, 8, 16, 40), (64, 3, 2, 7, 5), (7, 4, 4, 9, 1), (2, 8, 10, 50, 20), (1, 8, 1, 5, 20)])
+def test_near_vectors(spark, dims, blocks, cell, tile, large, monkeypatch):
+    """Cells of any size, whole or split into tiles, give the same."""
+    monkeypatch.setattr(nv, "LARGE", large)
     rows = planted(dims, dims, 300 if dims > 7 else 60)
-    got = nv.near_vectors(table(spark, rows), blocks=blocks, cell=cell).collect()
+    got = nv.near_vectors(table(spark, rows), blocks=blocks, cell=cell, tile=tile).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 0.95)
 
 
@@ -168,9 +170,8 @@ def test_whitening_of_small_and_flat_tables(spark):
         wh.whiten(table(spark, [(1, [1e30]), (2, [1.0])])).collect()
 
 
-def test_products_are_whole_whatever_their_size(spark, monkeypatch):
-    monkeypatch.setattr(wh, "ROWS", 3)
-    rows = [(i, [random.Random(i).uniform(-1e6, 1e6) for _ in range(3)]) for i in range(50)]
+def test_products_are_whole_whatever_their_size(spark):
+    rows = [(i, [random.Random(i).uniform(-1e5, 1e5) for _ in range(3)]) for i in range(50)]
     check_whitening(rows, wh.whiten(table(spark, rows)).collect())
 
 
