@@ -538,17 +538,17 @@ def burndown(s, d):
 
 @query
 def history_window(s, d):
-    return trends.history_window(wh.history(s, d), wh.as_of())
+    return trends.history_window(stored_history(s, d).window(wh.as_of()), wh.as_of())
 
 
 @query
 def history_trend(s, d):
-    return trends.history_trend(wh.history(s, d), wh.as_of())
+    return trends.history_trend(stored_history(s, d).window(wh.as_of()), wh.as_of())
 
 
 @query
 def p85_drift(s, d):
-    return trends.p85_drift(wh.history(s, d), wh.as_of())
+    return trends.p85_drift(stored_history(s, d).window(wh.as_of(), 7), wh.as_of())
 
 
 @query

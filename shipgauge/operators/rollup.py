@@ -55,11 +55,11 @@ def _count_measures(cfg: Settings, as_of: Column) -> list[Column]:
 def group_facts(
     items: DataFrame, as_of: Column, cfg: Settings = Settings(), by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """All measures per project and the columns ``by`` (size, item_type)."""
+    """All measures per project and the columns ``by`` (size, item_type, or any as it is)."""
     names = {"size": F.coalesce("size", F.lit("")), "item_type": _shown_type()}
     grouped = (
         with_sample(items)
-        .groupBy("project_key", *[names[n].alias(n) for n in by])
+        .groupBy("project_key", *[names.get(n, F.col(n)).alias(n) for n in by])
         .agg(*_count_measures(cfg, as_of))
     )
     return stats.resolve(grouped, ("cycle_sum_ms", "cost_ms"), ("cycle_sq_ms",))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shipgauge.functions.times import days_before
 from shipgauge.operators.trends import retained
+from shipgauge.sources.manifest import Manifest
 from shipgauge.sources.schemas import HISTORY, ITEM, ITEM_FILE, REF_ITEMS, REF_PROJECTS
 
 # Name of a per-project item file and its text for "no time".
@@ -116,21 +118,15 @@ def read_item_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _put(df: DataFrame, path: str, batch: str) -> None:
-    """Add a batch. Running the same batch again replaces it instead of doubling it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
 class ReferenceStore:
     """Reference classes: projects and their items, added in batches.
 
-    Items are written before their projects, and a reader only sees items whose
-    project row exists in the same batch: the project rows are the commit.
+    A batch's projects and items become visible together; a batch that is added again
+    replaces what it added before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self._projects, self._items = f"{root}/projects", f"{root}/items"
+        self.spark, self._table = spark, Manifest(spark, root)
 
     def add(self, projects: DataFrame, items: DataFrame, batch: str) -> None:
         """``projects``: project_key, name, type, completed_at, team_size.
@@ -141,51 +137,69 @@ class ReferenceStore:
         """
         numbered = projects.withColumn("project_id", F.xxhash64(F.lit(batch), "project_key"))
         owned = items.join(numbered.select("project_key", "project_id"), "project_key")
-        _put(conform(owned, REF_ITEMS), self._items, batch)
-        _put(conform(numbered, REF_PROJECTS), self._projects, batch)
+        path = self._table.new_folder(batch)
+        conform(owned, REF_ITEMS).write.parquet(self._table.absolute(f"{path}/items"))
+        conform(numbered, REF_PROJECTS).write.parquet(self._table.absolute(f"{path}/projects"))
+        self._table.change(lambda parts, notes: parts.update({batch: {"path": path}}))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self._table.read([f"{p['path']}/{name}" for p in self._table.parts().values()], schema)
 
     def projects(self) -> DataFrame:
-        return read_or_empty(self.spark, self._projects, REF_PROJECTS)
+        return self._read("projects", REF_PROJECTS)
 
     def items(self) -> DataFrame:
-        return read_or_empty(self.spark, self._items, REF_ITEMS).join(
-            self.projects().select("project_id"), "project_id", "left_semi"
-        )
+        return self._read("items", REF_ITEMS)
 
 
 class HistoryStore:
-    """Report history per project, added in batches.
+    """Report history per project, added in batches and laid out by day.
 
-    Retention is applied when reading; clearing a project appends a mark that
-    hides its entries up to a time. ``compact`` writes what is visible to a new
-    place, so no reader ever sees a half-rewritten table.
+    Retention is applied when reading; clearing a project adds a mark that hides its
+    entries up to a time. A batch is visible whole or not at all, and one that is
+    added again replaces what it added before. ``compact`` writes what is visible to a
+    new place.
     """
 
     MARKS = "project_key STRING, cleared_until TIMESTAMP"
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 100):
-        self.spark, self.keep = spark, keep
-        self._entries, self._marks = f"{root}/entries", f"{root}/cleared"
+        self.spark, self.keep, self._table = spark, keep, Manifest(spark, root)
 
     def append(self, entries: DataFrame, batch: str) -> None:
-        _put(conform(entries, HISTORY), self._entries, batch)
+        path = self._table.new_folder(batch)
+        rows = conform(entries, HISTORY).withColumn("day", F.to_date("ts"))
+        rows.hint("rebalance", "day").write.partitionBy("day").parquet(self._table.absolute(path))
+        self._table.change(lambda parts, notes: parts.update({f"entries {batch}": {"path": path, "kind": "entries"}}))
 
     def clear(self, projects: DataFrame, until: Column) -> None:
         """``projects``: project_key."""
-        projects.select("project_key", until.cast("timestamp").alias("cleared_until")).write.mode(
-            "append"
-        ).parquet(self._marks)
-
-    def visible(self) -> DataFrame:
-        entries = read_or_empty(self.spark, self._entries, HISTORY)
-        marks = (
-            read_or_empty(self.spark, self._marks, self.MARKS)
-            .groupBy("project_key").agg(F.max("cleared_until").alias("cleared_until"))
-        )
-        kept = entries.join(marks, "project_key", "left").where(
-            F.col("cleared_until").isNull() | (F.col("ts") > F.col("cleared_until"))
-        )
-        return retained(kept.drop("cleared_until"), self.keep)
+        path = self._table.new_folder("cleared")
+        projects.select("project_key", until.cast("timestamp").alias("cleared_until")).write.parquet(self._table.absolute(path))
+        self._table.change(lambda parts, notes: parts.update({path: {"path": path, "kind": "cleared"}}))
+
+    def visible(self, since: Column | None = None) -> DataFrame:
+        """Entries that are retained and not cleared, only those after ``since`` if given.
+
+        Retention keeps the newest, so it can be decided among these alone; a constant
+        ``since`` leaves out whole days before anything is read.
+        """
+        paths: dict[str, list[str]] = {"entries": [], "cleared": []}
+        for p in self._table.parts().values():
+            paths[p["kind"]].append(p["path"])
+        entries = self._table.read(paths["entries"], f"{HISTORY}, day DATE", partitioned=True)
+        if since is not None:
+            entries = entries.where((F.col("day").isNull() | (F.col("day") >= F.to_date(since))) & (F.col("ts") > since))
+        entries = entries.drop("day")
+        if paths["cleared"]:
+            marks = self._table.read(paths["cleared"], self.MARKS).groupBy("project_key").agg(F.max("cleared_until").alias("cleared_until"))
+            entries = entries.join(marks, "project_key", "left").where(
+                F.col("cleared_until").isNull() | (F.col("ts") > F.col("cleared_until"))).drop("cleared_until")
+        return retained(entries, self.keep)
+
+    def window(self, as_of: Column, days: int = 30) -> DataFrame:
+        """Visible entries strictly after ``as_of`` minus ``days``."""
+        return self.visible(days_before(as_of, days))
 
     def read(self) -> DataFrame:
         """Visible entries, by project and time."""
@@ -193,7 +207,7 @@ class HistoryStore:
 
     def compact(self, root: str) -> HistoryStore:
         new = HistoryStore(self.spark, root, self.keep)
-        new.append(self.visible().hint("rebalance", "project_key"), "compacted")
+        new.append(self.visible(), "compacted")
         return new
 
 
