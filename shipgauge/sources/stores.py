@@ -152,8 +152,15 @@ class ReferenceStore:
         return self._read("items", REF_ITEMS)
 
 
+def _month(time: Column) -> Column:
+    """Months since year 0 in UTC, whatever the session's zone: a table is one for all its readers."""
+    day = F.floor(F.unix_micros(time) / F.lit(86_400_000_000)).cast("int")
+    date = F.date_from_unix_date(day)
+    return F.year(date) * 12 + F.month(date)
+
+
 class HistoryStore:
-    """Report history per project, added in batches and laid out by day.
+    """Report history per project, added in batches and laid out by month and time.
 
     Retention is applied when reading; clearing a project adds a mark that hides its
     entries up to a time. A batch is visible whole or not at all, and one that is
@@ -168,8 +175,8 @@ class HistoryStore:
 
     def append(self, entries: DataFrame, batch: str) -> None:
         path = self._table.new_folder(batch)
-        rows = conform(entries, HISTORY).withColumn("day", F.to_date("ts"))
-        rows.hint("rebalance", "day").write.partitionBy("day").parquet(self._table.absolute(path))
+        rows = conform(entries, HISTORY).withColumn("month", _month(F.col("ts"))).hint("rebalance", "month")
+        rows.sortWithinPartitions("month", "ts").write.partitionBy("month").parquet(self._table.absolute(path))
         self._table.change(lambda parts, notes: parts.update({f"entries {batch}": {"path": path, "kind": "entries"}}))
 
     def clear(self, projects: DataFrame, until: Column) -> None:
@@ -182,15 +189,15 @@ class HistoryStore:
         """Entries that are retained and not cleared, only those after ``since`` if given.
 
         Retention keeps the newest, so it can be decided among these alone; a constant
-        ``since`` leaves out whole days before anything is read.
+        ``since`` leaves out whole months, and within one the files' row groups, before anything is read.
         """
         paths: dict[str, list[str]] = {"entries": [], "cleared": []}
         for p in self._table.parts().values():
             paths[p["kind"]].append(p["path"])
-        entries = self._table.read(paths["entries"], f"{HISTORY}, day DATE", partitioned=True)
+        entries = self._table.read(paths["entries"], f"{HISTORY}, month INT", partitioned=True)
         if since is not None:
-            entries = entries.where((F.col("day").isNull() | (F.col("day") >= F.to_date(since))) & (F.col("ts") > since))
-        entries = entries.drop("day")
+            entries = entries.where((F.col("month") >= _month(since)) & (F.col("ts") > since))
+        entries = entries.drop("month")
         if paths["cleared"]:
             marks = self._table.read(paths["cleared"], self.MARKS).groupBy("project_key").agg(F.max("cleared_until").alias("cleared_until"))
             entries = entries.join(marks, "project_key", "left").where(

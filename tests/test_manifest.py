@@ -83,14 +83,15 @@ def entries(spark, *rows):
     return spark.createDataFrame(data, HISTORY)
 
 
-def test_history_of_a_window_reads_its_days_only(spark, tmp_path):
+def test_history_of_a_window_reads_its_months_only(spark, tmp_path):
     store = stores.HistoryStore(spark, str(tmp_path))
-    store.append(entries(spark, *[(p, ago(days=d), 5) for d in range(60) for p in "PQ"]), "a")
+    store.append(entries(spark, *[(p, ago(days=d), 5) for d in range(90) for p in "PQ"]), "a")
     store.append(entries(spark, ("P", NOW, 9), (None, NOW, 1)), "b")
     window = store.window(now(), 7)
     plan = window._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert window.count() == 16 and store.visible().count() == 122
+    assert "PartitionFilters: [" in plan and "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PushedFilters: [" in plan and "GreaterThan(ts" in plan
+    assert window.count() == 16 and store.visible().count() == 182
     assert sorted(map(str, window.collect())) == sorted(map(str, trends.in_window(store.visible(), now(), 7).collect()))
     store.clear(spark.createDataFrame([("P",)], "project_key STRING"), F.lit(ago(days=2)))
     assert store.window(now(), 7).where("project_key = 'P'").count() == 3
