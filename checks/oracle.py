@@ -299,12 +299,6 @@ view("v_task_items", "v_tasks", body="""
 SELECT key AS item_id, type AS item_type, summary AS description, size, norm AS status, created, in_progress_ts, done_ts,
        p_brand AS assignee, tracker_key, coalesce((epoch_us(done_ts) - epoch_us(in_progress_ts)) / 3600000000.0, 0.0) AS cycle_hours FROM v_tasks""")
 
-view("v_page_first", "v_issues", body="""
-SELECT issue_key,
-       CASE WHEN raw_status IN ('In Development') THEN created END AS in_progress_ts,
-       CASE WHEN raw_status IN ('Done') THEN created END AS done_ts FROM v_issues""")
-item_view("v_page_items", "v_issues", "v_page_first")
-
 view("v_changes", body="""
 SELECT user_id AS issue_key, 'PROJECT_' || CAST(user_id % 25 AS VARCHAR) AS project_key, ts, event_id,
        CASE event_type WHEN 'signup' THEN 'To Do' WHEN 'view' THEN 'In Progress' WHEN 'click' THEN 'In Development'
@@ -350,26 +344,36 @@ FROM v_facts JOIN v_quant USING (project_key) WHERE n > 0""")
 
 ORACLE: dict[str, str] = {
     "items_scan": sql(f"SELECT {STORED_COLUMNS} FROM v_items", "v_items"),
+    "item_files": sql(f"""
+SELECT {STORED_COLUMNS}, FALSE AS asked FROM v_items
+UNION ALL SELECT {STORED_COLUMNS}, TRUE FROM v_items WHERE project_key IN ('NATION_3', 'NATION_11', 'NATION_7')""", "v_items"),
     "items_replaced": sql(f"""
 SELECT {STORED_COLUMNS} FROM v_items
 WHERE right(project_key, 1) NOT IN ('0', '2', '4', '6', '8') OR (status = 'Done' AND size = 'M')""", "v_items"),
     "projects_with_data": sql("SELECT DISTINCT project_key FROM v_items", "v_items"),
     "issues_scan": sql("""
-SELECT 'ORD' AS project_key, 'ORD-' || CAST(issue_key AS VARCHAR) AS issue_key, summary, raw_status,
-       'Story' AS issue_type, concat_ws(',', kind_label, 'team', size_label) AS labels, assignee, created,
+SELECT project_key, project_key || '-' || CAST(issue_key AS VARCHAR) AS issue_key, epic_key, parent_key, summary, raw_status,
+       'Story' AS issue_type, concat_ws(',', kind_label, 'team', size_label) AS labels, assignee, created, updated,
        time_spent_s, override_hours, story_points FROM v_issues""", "v_issues"),
+    "issue_rejects": sql("""
+SELECT 'page' AS level, NULL AS issue_key, 'not JSON' AS reason, '{"issues":[{"key":"BROKEN-' || CAST(r_regionkey AS VARCHAR) AS record FROM region
+UNION ALL SELECT 'issue', NULL, 'no key', '{"summary":"no key ' || CAST(r_regionkey AS VARCHAR) || '"}' FROM region
+UNION ALL SELECT DISTINCT 'change', project_key || '-' || CAST(issue_key AS VARCHAR), 'time not readable', 'yesterday Done'
+FROM v_issues JOIN v_trans USING (issue_key) WHERE issue_key % 13 = 0""", "v_issues", "v_trans"),
     "links_flat": sql("""
-SELECT 'ORD-' || CAST(issue_key AS VARCHAR) AS issue_key, 'L' || CAST(issue_key AS VARCHAR) AS link_id,
+SELECT project_key || '-' || CAST(issue_key AS VARCHAR) AS issue_key, 'L' || CAST(issue_key AS VARCHAR) AS link_id,
        'Blocks' AS link_type, CASE WHEN issue_key % 3 = 2 THEN 'blocks' ELSE 'is blocked by' END AS verb,
-       'ORD-' || CAST(issue_key + issue_key % 3 AS VARCHAR) AS target_key
+       project_key || '-' || CAST(issue_key + issue_key % 3 AS VARCHAR) AS target_key,
+       'Open ' || CAST((issue_key + issue_key % 3) % 4 AS VARCHAR) AS target_status,
+       'Order ' || CAST(issue_key + issue_key % 3 AS VARCHAR) AS target_summary
 FROM v_issues WHERE issue_key % 3 <> 0""", "v_issues"),
     "attachments_flat": sql("""
-SELECT 'ORD-' || CAST(issue_key AS VARCHAR) AS issue_key, CAST(issue_key AS VARCHAR) AS attachment_id,
+SELECT project_key || '-' || CAST(issue_key AS VARCHAR) AS issue_key, CAST(issue_key AS VARCHAR) AS attachment_id,
        'plan.pdf' AS filename, issue_key * 10 AS size, strftime(created, '%Y-%m-%d') AS created_day,
        assignee AS author FROM v_issues WHERE issue_key % 10 = 0""", "v_issues"),
     "pages_to_items": sql("""
-SELECT 'ORD' AS project_key, 'ORD-' || CAST(item_id AS VARCHAR) AS item_id, item_type, size, status, done_ts, cycle_hours
-FROM v_page_items""", "v_page_items"),
+SELECT * REPLACE (project_key || '-' || CAST(item_id AS VARCHAR) AS item_id, project_key || '-' || CAST(tracker_key AS VARCHAR) AS tracker_key)
+FROM (SELECT """ + ITEM_COLUMNS + """ FROM v_items)""", "v_items"),
     "refclass_append": sql(f"""
 SELECT project_type AS type, count(DISTINCT project_key) AS project_count, count(ms) AS item_count,
        CAST(sum(ms) AS DOUBLE) / (count(ms) * 3600000.0) AS avg_hours,

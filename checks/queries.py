@@ -65,11 +65,19 @@ def text(name: str) -> Column:
     return F.concat_ws(",", name).alias(name)
 
 
-def pages(s: SparkSession, d: str) -> DataFrame:
-    """Issue pages written as JSON lines and read back through the page reader."""
+def page_files(s: SparkSession, d: str) -> str:
+    """Issue pages written as JSON lines."""
     path = scratch.new_path(s, "pages")
     wh.issue_pages(s, d).write.text(path)
-    return issue_source.read_issue_pages(s, path)
+    return path
+
+
+def pages(s: SparkSession, d: str) -> DataFrame:
+    return issue_source.read_issue_pages(s, page_files(s, d), strict=False)
+
+
+# Custom fields of the written pages.
+PAGE_FIELDS = ("customfield_10001", "customfield_10002", "customfield_10014")
 
 
 def stored_history(s: SparkSession, d: str) -> stores.HistoryStore:
@@ -96,6 +104,16 @@ def items_scan(s, d):
     return store.read().select(*ITEM_COLUMNS)
 
 
+@query
+def item_files(s, d):
+    """Items written as a JSON array per project and read back, those of three projects by their names."""
+    folder = scratch.new_path(s, "item-files")
+    wh.write_item_files(s, d, items(s, d), folder)
+    some = [f"NATION_{n}" for n in (3, 11, 7)]
+    named = stores.read_item_files(s, folder, some).withColumn("asked", F.lit(True))
+    return stores.read_item_files(s, folder).withColumn("asked", F.lit(False)).union(named)
+
+
 @query
 def items_replaced(s, d):
     """All projects with an even last digit are synchronised again; of theirs only Done components remain."""
@@ -117,18 +135,17 @@ def projects_with_data(s, d):
 
 @query
 def issues_scan(s, d):
-    issues = issue_source.issues_table(pages(s, d), "customfield_10001", "customfield_10002")
-    return issues.select(
-        "project_key", "issue_key", "summary", "raw_status", "issue_type", text("labels"),
-        "assignee", "created", "time_spent_s", "override_hours", "story_points",
-    )
+    return issue_source.issues_table(pages(s, d), *PAGE_FIELDS).withColumn("labels", text("labels"))
+
+
+@query
+def issue_rejects(s, d):
+    return issue_source.issue_rejects(s, page_files(s, d))
 
 
 @query
 def links_flat(s, d):
-    return issue_source.links_flat(pages(s, d)).select(
-        "issue_key", "link_id", "link_type", "verb", "target_key"
-    )
+    return issue_source.links_flat(pages(s, d))
 
 
 @query
@@ -140,10 +157,7 @@ def attachments_flat(s, d):
 def pages_to_items(s, d):
     """Export to items without any table in between."""
     p = pages(s, d)
-    return ingest.items_from_issues(
-        issue_source.issues_table(p, "customfield_10001", "customfield_10002"),
-        issue_source.transitions_table(p), wh.CFG,
-    ).select("project_key", "item_id", "item_type", "size", "status", "done_ts", "cycle_hours")
+    return ingest.items_from_issues(issue_source.issues_table(p, *PAGE_FIELDS), issue_source.transitions_table(p), wh.CFG)
 
 
 @query

@@ -159,7 +159,3 @@ def sync_summary(items: DataFrame) -> DataFrame:
 def total_level() -> Column:
     """Tells the grand total of a rollup by project from a project without a key."""
     return F.when(F.grouping_id() == 0, "project").otherwise("all").alias("level")
-
-
-def projects_with_data(items: DataFrame) -> DataFrame:
-    return items.select("project_key").distinct()

@@ -251,8 +251,3 @@ def report_full(sections: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def project_detail(issues: DataFrame, n: int = 5) -> DataFrame:
-    """Most recently updated issues per project, the lower half of the dashboard."""
-    return series.recent_items(issues, n)

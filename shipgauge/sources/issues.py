@@ -6,25 +6,62 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shipgauge.functions.fields import number_field
 from shipgauge.functions.times import parse_tracker_time
-from shipgauge.sources.schemas import ATTACHMENTS, LINKS, PAGE
+from shipgauge.sources.schemas import ATTACHMENTS, KNOWN_FIELDS, LINKS, PAGE, REJECTS
 
 
-def read_issue_pages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+_UNREADABLE = "unreadable"
+
+
+def _pages(spark: SparkSession, path: str, multiline: bool, mode: str) -> DataFrame:
+    reader = spark.read.schema(f"{PAGE}, {_UNREADABLE} STRING").option("columnNameOfCorruptRecord", _UNREADABLE)
+    return reader.option("mode", mode).option("multiLine", multiline).json(path)
+
+
+def read_issue_pages(spark: SparkSession, path: str, multiline: bool = False, strict: bool = True) -> DataFrame:
     """One row per issue: issue_key, fields VARIANT, changelog.
 
-    One page per line keeps large files splittable; ``multiline`` reads files
-    that hold one formatted page each. Invalid JSON fails the job.
+    One page per line keeps large files splittable; ``multiline`` reads files that
+    hold one formatted page each. A page is parsed once, its fields into a VARIANT.
+    Invalid JSON fails the job; without ``strict`` such pages and issues without a key
+    are left out, and ``issue_rejects`` tells which.
     """
-    pages = (
-        spark.read.schema(PAGE).option("mode", "FAILFAST").option("multiLine", multiline).json(path)
-    )
-    return pages.select(F.explode("issues").alias("i")).select(
+    pages = _pages(spark, path, multiline, "FAILFAST" if strict else "PERMISSIVE")
+    if not strict:
+        pages = pages.where(F.col(_UNREADABLE).isNull())
+    issues = pages.select(F.explode("issues").alias("i")).select(
         F.col("i.key").alias("issue_key"), "i.fields", "i.changelog"
     )
+    return issues if strict else issues.where(F.col("issue_key").isNotNull())
+
 
+def issue_rejects(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """What an export holds that cannot be used: level, issue_key, reason, record.
+
+    Pages that are not JSON, issues without a key, and status changes at a time that
+    cannot be read (which operators skip). One pass; every page gives its own list.
+    """
+    def rejects(value: str) -> Column:
+        return F.expr(f"CAST({value} AS ARRAY<{REJECTS}>)")
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("fields", f"$.{path}", "string")
+    page = F.when(F.col(_UNREADABLE).isNotNull(), rejects(f"array(named_struct('level', 'page', 'issue_key', NULL, 'reason', 'not JSON', 'record', {_UNREADABLE}))"))
+    keyless = F.transform(
+        F.filter("issues", lambda i: i["key"].isNull()),
+        lambda i: _reject("issue", F.lit(None).cast("string"), "no key", i["fields"].cast("string")))
+
+    def undated(i: Column) -> Column:
+        late = F.filter(i["changelog"]["histories"], lambda h: parse_tracker_time(h["created"]).isNull())
+        return F.flatten(F.transform(late, lambda h: F.transform(
+            F.filter(h["items"], lambda c: c["field"] == "status"),
+            lambda c: _reject("change", i["key"], "time not readable", F.concat_ws(" ", h["created"], c["toString"])))))
+
+    changes = F.flatten(F.transform("issues", lambda i: F.coalesce(undated(i), rejects("array()"))))
+    usable = F.when(F.col(_UNREADABLE).isNull(), F.concat(keyless, changes))
+    lists = _pages(spark, path, multiline, "PERMISSIVE").select(F.coalesce(page, usable, rejects("array()")).alias("r"))
+    return lists.select(F.explode("r").alias("r")).select("r.*")
+
+
+def _reject(level: str, key: Column, reason: str, record: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), key.alias("issue_key"), F.lit(reason).alias("reason"), record.alias("record"))
 
 
 def issues_table(
@@ -33,24 +70,27 @@ def issues_table(
 ) -> DataFrame:
     """Typed issues as the operators expect them.
 
-    Known and custom fields are read from the variant once, here; everything
-    downstream works on plain columns.
+    The known fields leave the variant as one struct, in one walk through it; custom
+    fields are looked up by name. Everything downstream works on plain columns.
     """
     def number(name: str | None) -> Column:
         return number_field(F.col("fields"), name) if name else F.lit(None).cast("double")
-    return pages.select(
+
+    epic = F.try_variant_get("fields", f"$.{epic_field}", "string") if epic_field else F.lit(None).cast("string")
+    k = F.col("known")
+    return pages.withColumn("known", F.try_variant_get("fields", "$", KNOWN_FIELDS)).select(
         F.regexp_extract("issue_key", r"^(.*)-\d+$", 1).alias("project_key"),
         "issue_key",
-        (_text(epic_field) if epic_field else F.lit(None).cast("string")).alias("epic_key"),
-        _text("parent.key").alias("parent_key"),
-        F.coalesce(_text("summary"), F.lit("")).alias("summary"),
-        F.coalesce(_text("status.name"), F.lit("")).alias("raw_status"),
-        _text("issuetype.name").alias("issue_type"),
-        F.coalesce(F.try_variant_get("fields", "$.labels", "array<string>"), F.array().cast("array<string>")).alias("labels"),
-        F.coalesce(_text("assignee.displayName"), F.lit("")).alias("assignee"),
-        parse_tracker_time(_text("created")).alias("created"),
-        parse_tracker_time(_text("updated")).alias("updated"),
-        F.coalesce(F.try_variant_get("fields", "$.timespent", "bigint"), F.lit(0)).alias("time_spent_s"),
+        epic.alias("epic_key"),
+        k["parent"]["key"].alias("parent_key"),
+        F.coalesce(k["summary"], F.lit("")).alias("summary"),
+        F.coalesce(k["status"]["name"], F.lit("")).alias("raw_status"),
+        k["issuetype"]["name"].alias("issue_type"),
+        F.coalesce(k["labels"], F.array().cast("array<string>")).alias("labels"),
+        F.coalesce(k["assignee"]["displayName"], F.lit("")).alias("assignee"),
+        parse_tracker_time(k["created"]).alias("created"),
+        parse_tracker_time(k["updated"]).alias("updated"),
+        F.coalesce(k["timespent"], F.lit(0)).alias("time_spent_s"),
         number(cycle_field).alias("override_hours"),
         number(points_field).alias("story_points"),
     )
@@ -94,8 +134,3 @@ def attachments_flat(pages: DataFrame) -> DataFrame:
         F.substring("a.created", 1, 10).alias("created_day"),
         F.coalesce("a.author.displayName", F.lit("")).alias("author"),
     )
-
-
-def custom_field_values(pages: DataFrame) -> DataFrame:
-    """issue_key and raw fields for the field profile."""
-    return pages.select("issue_key", F.col("fields").alias("raw"))

@@ -32,11 +32,16 @@ CHANGELOG = (
     "items: ARRAY<STRUCT<field: STRING, fieldtype: STRING, `from`: STRING, fromString: STRING, "
     "`to`: STRING, toString: STRING>>>>>"
 )
-# ``fields`` stays a VARIANT: it holds both the known fields and any custom one.
+# ``fields`` is a VARIANT: it holds both the known fields, which are taken out of it as one struct, and any custom one.
+KNOWN_FIELDS = (
+    "STRUCT<summary: STRING, status: STRUCT<name: STRING>, issuetype: STRUCT<name: STRING>, labels: ARRAY<STRING>, "
+    "assignee: STRUCT<displayName: STRING>, parent: STRUCT<key: STRING>, created: STRING, updated: STRING, timespent: BIGINT>"
+)
 PAGE = (
     f"issues ARRAY<STRUCT<key: STRING, fields: VARIANT, changelog: {CHANGELOG}>>, "
     "total BIGINT, nextPageToken STRING, isLast BOOLEAN"
 )
+REJECTS = "STRUCT<level: STRING, issue_key: STRING, reason: STRING, record: STRING>"
 
 LINKS = (
     "ARRAY<STRUCT<id: STRING, type: STRUCT<name: STRING, inward: STRING, outward: STRING>, "

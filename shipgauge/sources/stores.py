@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -88,27 +90,42 @@ class ItemStore:
         return self.read().select("project_key").distinct()
 
 
-def read_item_files(spark: SparkSession, folder: str) -> DataFrame:
+# Between two records of an indented array: text never holds a line break, which JSON writes as an escape.
+RECORD_BREAK = "\n  },\n  {\n"
+
+
+def read_item_files(spark: SparkSession, folder: str, projects: list[str] | None = None) -> DataFrame:
     """Per-project item files ``data-{key}.json``, each one JSON array.
 
-    An import path for existing files: an array is not splittable, so large
-    projects belong in ``ItemStore``. ``data.json`` has the project key ''. A folder
-    that does not exist holds no items.
+    An array indented by two spaces, as the files are written, is cut between records,
+    so several tasks read one file and no task holds it; any other layout is read
+    whole. ``data.json`` has the project key ''. With ``projects`` only their files are
+    listed. Anything but an array of records is an error. A folder that does not exist
+    holds no items.
     """
     c = F.col
+    names = "data*.json" if projects is None else "{%s}" % ",".join(
+        "data.json" if key == "" else "data-%s.json" % re.sub(r"([\[\]{}*?,\\\\])", r"\\\1", key) for key in projects)
     try:
-        files = (
-            spark.read.schema(ITEM_FILE).option("mode", "FAILFAST").option("multiLine", True)
-            .option("pathGlobFilter", "data*.json").json(folder)
-        )
+        files = spark.read.option("lineSep", RECORD_BREAK).option("pathGlobFilter", names).text(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], ITEM)
-    raw = files.select("*", F.col("_metadata.file_name").alias("_file"))
+    text = F.when(F.trim(c("value")) == "null", "[]").otherwise(c("value"))
+    opened = F.when(F.ltrim(text).startswith("["), text).otherwise(F.concat(F.lit("[{"), text))
+    other_layout = F.ltrim(text).startswith("[") & ~text.startswith("[\n  {\n")
+    last = text.rlike(r"\n  \}\n\]\s*$") | other_layout
+    array = F.when(last, opened).otherwise(F.concat(opened, F.lit("}]")))
+    records = F.from_json(array, f"ARRAY<STRUCT<{ITEM_FILE}>>", {"mode": "FAILFAST"})
+    # The file's name comes as part of a URI.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    raw = files.select(name.alias("_file"), records.alias("r")).where(c("_file").rlike(ITEM_FILE_NAME)).select("_file", F.explode("r").alias("r")).select("_file", "r.*")
+
     def time(name: str) -> Column:
         return F.nullif(c(name), F.lit(NO_TIME)).cast("timestamp")
-    return raw.where(c("_file").rlike(ITEM_FILE_NAME)).select(
+
+    return raw.select(
         F.regexp_extract("_file", ITEM_FILE_NAME, 1).alias("project_key"),
         c("ID").alias("item_id"), c("Type").alias("item_type"), c("Description").alias("description"),
         c("Size").alias("size"), F.coalesce(c("Status"), F.lit("")).alias("status"), time("Created").alias("created"),

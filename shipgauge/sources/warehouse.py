@@ -8,7 +8,7 @@ use this mapping.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pyspark.sql.types import StructType
 
@@ -254,50 +254,111 @@ def raw_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(key.alias("issue_key"), F.parse_json(text).alias("raw"))
 
 
+def _histories(spark: SparkSession, d: str) -> DataFrame:
+    """Changelog of every issue: a history per status change, with a second item for every third part.
+
+    Every issue whose key 13 divides also has a change to Done at a time that nobody can read.
+    """
+    t = transitions(spark, d)
+    change = F.struct(F.col("field"), F.col("from_status").alias("fromString"), F.col("to_status").alias("toString"))
+    other = F.struct(F.lit("assignee").alias("field"), F.lit("").alias("fromString"), F.col("author").alias("toString"))
+    history = F.struct(
+        F.date_format("ts", STAMP).alias("created"), F.struct(F.col("author").alias("displayName")).alias("author"),
+        F.when(F.col("seq.l_partkey") % 3 == 0, F.array(other, change)).otherwise(F.array(change)).alias("items"),
+    )
+    broken = F.struct(
+        F.lit("yesterday").alias("created"), F.struct(F.lit("nobody").alias("displayName")).alias("author"),
+        F.array(F.struct(F.lit("status").alias("field"), F.lit("To Do").alias("fromString"), F.lit("Done").alias("toString"))).alias("items"),
+    )
+    return t.groupBy("issue_key").agg(F.array_sort(F.collect_list(F.struct("seq", history.alias("h")))).alias("_h")).select(
+        "issue_key",
+        F.concat(F.when(F.col("issue_key") % 13 == 0, F.array(broken)).otherwise(F.slice(F.array(broken), 1, 0)), F.col("_h.h")).alias("histories"),
+    )
+
+
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"
+
+
 def issue_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Search pages of up to 100 issues as JSON text, one page per row.
+    """Search pages of up to 100 issues as JSON text, one page per row, and some that are broken.
 
-    Issue keys are numbers, so a page is a range of them and no group exceeds
-    its page size; a page holds an issue's latest changes only.
+    Issue keys are numbers, so a page is a range of them and no group exceeds its
+    page size. Every region adds a page that breaks off and one with an issue that has
+    no key.
     """
     key = F.col("issue_key")
-    named = F.concat(F.lit("ORD-"), key.cast("string"))
-    stamp = F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'")
+
+    def named(number: Column) -> Column:
+        return F.concat("project_key", F.lit("-"), number.cast("string"))
+
+    def linked(number: Column) -> Column:
+        return F.struct(
+            named(number).alias("key"),
+            F.struct(F.concat(F.lit("Order "), number.cast("string")).alias("summary"), F.struct(F.concat(F.lit("Open "), (number % 4).cast("string")).alias("name")).alias("status")).alias("fields"))
+
+    created, updated = F.date_format("created", STAMP), F.date_format("updated", STAMP)
     links = F.array(F.struct(
         F.concat(F.lit("L"), key.cast("string")).alias("id"),
         F.struct(F.lit("Blocks").alias("name"), F.lit("is blocked by").alias("inward"), F.lit("blocks").alias("outward")).alias("type"),
-        F.when(key % 3 == 1, F.struct(F.concat(F.lit("ORD-"), (key + 1).cast("string")).alias("key"))).alias("inwardIssue"),
-        F.when(key % 3 == 2, F.struct(F.concat(F.lit("ORD-"), (key + 2).cast("string")).alias("key"))).alias("outwardIssue"),
+        F.when(key % 3 == 1, linked(key + 1)).alias("inwardIssue"),
+        F.when(key % 3 == 2, linked(key + 2)).alias("outwardIssue"),
     ))
     files = F.array(F.struct(
         key.cast("string").alias("id"), F.lit("plan.pdf").alias("filename"),
-        (key * 10).alias("size"), stamp.alias("created"),
+        (key * 10).alias("size"), created.alias("created"),
         F.struct(F.col("assignee").alias("displayName")).alias("author"),
     ))
     fields = F.struct(
         "summary", F.struct(F.col("raw_status").alias("name")).alias("status"),
         F.struct(F.lit("Story").alias("name")).alias("issuetype"), "labels",
         F.struct(F.col("assignee").alias("displayName")).alias("assignee"),
-        stamp.alias("created"), stamp.alias("updated"), F.col("time_spent_s").alias("timespent"),
+        F.struct(F.col("parent_key").alias("key")).alias("parent"),
+        created.alias("created"), updated.alias("updated"), F.col("time_spent_s").alias("timespent"),
         F.col("override_hours").alias("customfield_10001"),
         F.col("story_points").alias("customfield_10002"),
+        F.col("epic_key").alias("customfield_10014"),
         links.alias("issuelinks"),
         F.when(key % 10 == 0, files).alias("attachment"),
     )
-    change = F.struct(
-        stamp.alias("created"), F.struct(F.col("assignee").alias("displayName")).alias("author"),
-        F.array(F.struct(
-            F.lit("status").alias("field"), F.lit("").alias("fromString"), F.col("raw_status").alias("toString"),
-        )).alias("items"),
-    )
     issue = F.struct(
-        named.alias("key"), fields.alias("fields"), F.struct(F.array(change).alias("histories")).alias("changelog")
+        named(key).alias("key"), fields.alias("fields"), F.struct(F.col("histories")).alias("changelog")
     )
     page = F.floor(key / 100)
-    return (
-        issues(spark, d).groupBy(page.alias("page")).agg(F.collect_list(issue).alias("issues"))
+    pages = (
+        issues(spark, d).join(_histories(spark, d), "issue_key", "left")
+        .groupBy(page.alias("page")).agg(F.collect_list(issue).alias("issues"))
         .select(F.to_json(F.struct("issues", F.size("issues").alias("total"), F.lit(True).alias("isLast"))).alias("value"))
     )
+    number = F.col("r_regionkey").cast("string")
+    broken = F.array(
+        F.concat(F.lit('{"issues":[{"key":"BROKEN-'), number),
+        F.concat(F.lit('{"issues":[{"fields":{"summary":"no key '), number, F.lit('"}}],"isLast":true}')),
+    )
+    return pages.union(table(spark, d, "region").select(F.explode(broken)))
+
+
+def write_item_files(spark: SparkSession, d: str, items: DataFrame, folder: str) -> None:
+    """``items`` as one indented JSON array a project, in files named after the projects."""
+    def time(name: str, none: str | None = None) -> Column:
+        return F.coalesce(F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(none))
+
+    record = F.struct(
+        F.col("item_id").cast("string").alias("ID"), F.col("item_type").alias("Type"), F.col("description").alias("Description"), F.col("size").alias("Size"),
+        F.col("status").alias("Status"), time("created", "0001-01-01T00:00:00Z").alias("Created"), time("in_progress_ts").alias("InProgress"),
+        time("done_ts").alias("Done"), F.col("cycle_hours").alias("CycleTime"), F.col("assignee").alias("Assignee"), F.col("tracker_key").cast("string").alias("JiraKey"))
+    order = W.partitionBy("project_key").orderBy("item_id")
+    body = F.concat(F.lit("  "), F.replace(F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"}), F.lit("\n"), F.lit("\n  ")))
+    first, last = F.lag("item_id").over(order).isNull(), F.lead("item_id").over(order).isNull()
+    lines = items.select("project_key", "item_id", F.concat(F.when(first, "[\n").otherwise(""), body, F.when(last, "\n]").otherwise(",")).alias("value"))
+    lines.repartition("project_key").sortWithinPartitions("project_key", "item_id").drop("item_id").write.partitionBy("project_key").text(folder)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for project in fs.listStatus(root):
+        if project.isDirectory():
+            key = project.getPath().getName().removeprefix("project_key=")
+            for part in fs.listStatus(project.getPath()):
+                fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/data-{key}.json"))
 
 
 def workflow(spark: SparkSession, d: str) -> DataFrame:

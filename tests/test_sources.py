@@ -44,6 +44,44 @@ def test_item_files(spark, tmp_path):
     assert got["mono", "T-2"]["created"] is None
 
 
+def test_one_array_is_read_by_several_tasks(spark, tmp_path):
+    """An indented array of 2 MB, with braces and breaks in its texts, equals what the multi-line reader gives."""
+    rows = [{"ID": f"T-{i}", "Type": "x", "Description": "a \\n  },\n  {\n [\"}]" * (i % 3), "Size": "M", "Status": "Done", "Created": "2025-12-04T05:24:06Z",
+             "InProgress": None, "Done": None, "CycleTime": i, "Assignee": "", "JiraKey": "", "More": [{"a": i}, []], "Last": ["]"]} for i in range(6000)]
+    (tmp_path / "data-big.json").write_text(json.dumps(rows, indent=2))
+    (tmp_path / "data-[x],{y}.json").write_text(json.dumps(rows[:2], indent=2))
+    for name, text in (("none", "[]"), ("null", "null"), ("tabs", json.dumps(rows[:3], indent="\t")), ("crlf", json.dumps(rows[:4], indent=2).replace("\n", "\r\n"))):
+        (tmp_path / f"data-{name}.json").write_text(text, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        got = stores.read_item_files(spark, str(tmp_path), ["big"])
+        parts = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) >= 5 and max(r["count"] for r in parts) < 2500
+        whole = spark.read.option("multiLine", True).json(str(tmp_path / "data-big.json"))
+        columns = ["ID", "Description", "CycleTime"]
+        assert sorted(map(tuple, got.select("item_id", "description", "cycle_hours").collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    counts = {r["project_key"]: r["count"] for r in stores.read_item_files(spark, str(tmp_path)).groupBy("project_key").count().collect()}
+    assert counts == {"big": 6000, "[x],{y}": 2, "tabs": 3, "crlf": 4}
+    assert {r["project_key"] for r in stores.read_item_files(spark, str(tmp_path), ["[x],{y}", "tabs", "gone"]).collect()} == {"[x],{y}", "tabs"}
+
+
+def test_unusable_records_of_an_export(spark, tmp_path):
+    """Strict reading fails; otherwise what is usable is kept and the rest is listed with its reason."""
+    keyless = {"issues": [{"fields": {"summary": "s"}}, {"key": "X-3", "fields": {"labels": "not a list", "timespent": "x", "summary": "t"}}]}
+    (tmp_path / "p.json").write_text("\n".join([json.dumps(PAGE), '{"issues": [{"key": "X-7"', json.dumps(keyless)]))
+    with pytest.raises(Exception):
+        issue_source.read_issue_pages(spark, str(tmp_path)).collect()
+    pages = issue_source.read_issue_pages(spark, str(tmp_path), strict=False)
+    got = by(issue_source.issues_table(pages), "issue_key")
+    assert set(got) == {"X-1", "X-2", "X-3"}
+    assert (got["X-3"]["labels"], got["X-3"]["time_spent_s"], got["X-3"]["summary"]) == ([], 0, "t")  # a field of the wrong kind alone is missing
+    rejects = [tuple(r) for r in issue_source.issue_rejects(spark, str(tmp_path)).collect()]
+    assert sorted(rejects, key=str) == sorted([
+        ("page", None, "not JSON", '{"issues": [{"key": "X-7"'), ("issue", None, "no key", '{"summary":"s"}'), ("change", "X-1", "time not readable", "junk Done")], key=str)
+
+
 def test_bad_json_fails(spark, tmp_path):
     (tmp_path / "data-x.json").write_text("{not json")
     with pytest.raises(Exception):
