@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shipgauge.llm.encoding import slices
 from shipgauge.llm.frames import Rows, Stored, documents, materialize
+from shipgauge.llm.graph import components
 from shipgauge.llm.words import mix64, word_hashes
 
 # Of pairs with random word edits, these find 97 % and more at similarity 0.8 and 99 % and more from 0.85 on
@@ -35,8 +36,9 @@ TAKE = 2
 SKETCHES = 32
 SIMILARITY = 0.8
 # Nodes of a block in the comparison of what stars leave over, and bins of a node's word counts there.
-BLOCK = 256
-BINS = 128
+BLOCK = 512
+BINS = 2048
+COARSE = 128
 # Beyond so many edits the alignment goes row by row.
 DIAGONAL_EDITS = 32
 SKETCHED = "row long, id long, digest binary, n_words int, sketches array<long>, words binary"
@@ -224,7 +226,8 @@ def _compare(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         ids, words = table.column("row").to_pylist(), [np.frombuffer(w, "<u4") for w in table.column("words").to_pylist()]
         over = np.array(table.column("over").to_pylist(), bool)
-        lengths, bins = np.array([len(w) for w in words]), np.stack([_bins(w) for w in words])
+        lengths, bins = np.array([len(w) for w in words]), np.stack([_bins(w) for w in words]).astype(np.int32)
+        coarse = bins.reshape(len(bins), -1, COARSE).sum(axis=1)
         root = list(range(len(ids)))
 
         def find(i):
@@ -243,7 +246,8 @@ def _compare(similarity: float):
         for i in np.flatnonzero(over):
             longer = np.maximum(lengths, lengths[i])
             limit, apart = np.floor((1 - similarity) * longer + 1e-9), np.abs(lengths - lengths[i])
-            near = np.flatnonzero(np.abs(bins - bins[i]).sum(axis=1) + apart <= 2 * limit)
+            near = np.flatnonzero(np.abs(coarse - coarse[i]).sum(axis=1) + apart <= 2 * limit)
+            near = near[np.abs(bins[near] - bins[i]).sum(axis=1) + apart[near] <= 2 * limit[near]]
             for j in near:
                 if find(i) != find(j) and similar(words[i], words[j], similarity):
                     root[find(i)] = find(j)
@@ -263,15 +267,21 @@ def linked_roots(nodes: DataFrame, words: DataFrame, similarity: float = SIMILAR
     """
     bands = nodes.select("row", F.explode("sketches").alias("key"))
     stars = bands.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(bands.join(stars, "key").select("key", "a", F.col("row").alias("b"), "n"), "members")
-    pairs = materialize(members.where("a != b").select("a", "b").distinct(), "pairs")
+    tables = []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        tables.append(Stored(df, name, "zstd"))
+        return tables[-1].df
+
+    members = stored(bands.join(stars, "key").select("key", "a", F.col("row").alias("b"), "n"), "members")
+    pairs = stored(members.where("a != b").select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    words = materialize(words.join(ends.hint("shuffle_hash"), "row", "left_semi"), "words")
+    words = stored(words.join(ends.hint("shuffle_hash"), "row", "left_semi"), "words")
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
     roots = components(_linked(first, words, similarity))
-    roots = _extended(roots, materialize(_linked(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"), words, similarity), "links"))
+    roots = _extended(roots, stored(_linked(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"), words, similarity), "links"))
     # What the stars leave over: each such node meets all nodes of its bucket, block by block.
-    left = materialize(members.join(_apart(pairs, roots), ["a", "b"]).select("key", "b", "n"), "left")
+    left = stored(members.join(_apart(pairs, roots), ["a", "b"]).select("key", "b", "n"), "left")
     dirty = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     blocks_left = F.greatest(F.lit(1), F.ceil(F.col("n_left") / block)).cast("int")
@@ -283,7 +293,10 @@ def linked_roots(nodes: DataFrame, words: DataFrame, similarity: float = SIMILAR
         "key", F.col("b").alias("row"), F.coalesce("over", F.lit(False)).alias("over"), F.explode(F.sequence(F.lit(0), blocks_left - 1)).alias("i"), F.pmod(part, blocks).alias("j"))
     both = side_left.union(side_all.select(side_left.columns)).distinct()
     more = both.join(words, "row").groupBy("key", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
-    return _extended(roots, materialize(more.distinct(), "more"))
+    roots = materialize(_extended(roots, stored(more.distinct(), "more")), "roots")
+    for t in tables:
+        t.drop()
+    return roots
 
 
 def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -306,32 +319,9 @@ def _extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return roots if edges.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges.select("a", "b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) of every node of ``edges`` (a, b).
-
-    Every node takes its smallest neighbour, twice over, and edges are drawn anew
-    between what has been taken, until none is left; stars end in one round.
-    """
-    edges, whole = materialize(edges.where("a != b"), "edges"), None
-    while True:
-        step = (
-            edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-            .select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-        step = materialize(step, "roots")
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        taken = materialize(step.join(jump, "root").select("node", F.col("up").alias("root")), "roots")
-        to = taken.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        whole = taken if whole is None else materialize(whole.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        for end in ("a", "b"):
-            edges = edges.join(taken.select(F.col("node").alias(end), F.col("root").alias("to")), end).withColumn(end, F.col("to")).drop("to")
-        edges = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return whole
-
-
 def _classes(texts: DataFrame, kmer: int, take: int, sketches: int, similarity: float) -> DataFrame:
     """row, id, root, least (the class's smallest id and row) and size, one per row of ``texts`` (row, id, text)."""
-    table = Stored(texts.mapInArrow(_sketch(kmer, take, sketches), SKETCHED), "sketches")
+    table = Stored(texts.mapInArrow(_sketch(kmer, take, sketches), SKETCHED), "sketches", "zstd")
     sketched = table.df
     firsts = materialize(sketched.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     # One node of equal words carries their sketches.
