@@ -58,9 +58,9 @@ class Rows:
 class Stored:
     """A table written once to the shared folder, which can be taken away again when nothing reads it any more."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -1,18 +1,18 @@
-"""Repeated passages by hashes of sentences and of windows of words.
+"""Repeated passages by hashes of lines or sentences and of windows of words.
 
-Units are the sentences of each line. Normalised units are grouped by digest over
-all documents and the earliest one by (doc_id, place) stays; a run of later ones
-that is long enough is removed, with its offsets in the original text.
+Units are lines, or the sentences of each line. Normalised units are grouped by digest
+over all documents and the earliest one by (doc_id, place) stays; later ones, in runs
+that may have to have some length, are removed, with their offsets in the original text.
 
-Passages that begin or end inside a sentence are found by windows of WINDOW words:
+Passages that begin or end inside a unit are found by windows of WINDOW words:
 each window that has occurred before is removed, so every repeat of so many words
 goes, to the word. Windows are not compared one by one: each has an anchor, the
 smallest hash among its grams of GRAM words, and neighbours with the same anchor form
 a stretch. Equal windows have equal anchors, so stretches whose anchor occurs once go
 no further, a stretch that has occurred before goes as a whole, and single windows are
 compared only where an anchor has unlike stretches, that is at the ends of passages,
-once for each kind of stretch. Both sets of anchors are filters of fixed size. A full
-filter costs time, never a passage.
+once for each kind of stretch. Both sets of anchors, and that of lines that occur more
+than once, are filters of fixed size. A full filter costs time, never a passage.
 """
 
 from __future__ import annotations
@@ -25,28 +25,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shipgauge.llm.encoding import slices
-from shipgauge.llm.frames import Rows, documents, materialize
+from shipgauge.llm.frames import Rows, Stored, documents, materialize, position
 from shipgauge.llm.words import mix64
 
-# Units of fewer words are not compared; they do not break a run either.
+# Sentences of fewer words are not compared; they do not break a run either. A line has one word at least.
 UNIT_WORDS = 3
-# A run of sentences is removed from this many words on.
+# A run of sentences is removed from this many words on; lines go whatever their length (1).
 RUN_WORDS = 30
+# Texts that a task takes apart at a time.
+SLICE_BYTES = 3 << 20
 # Words of a window, and of the grams among which its anchor is the smallest.
 WINDOW = 50
 GRAM = 20
-# Bits of each of two filters, 16 MB.
+# Bits of each of three filters, 16 MB.
 FILTER_BITS = 1 << 27
 # A stretch's unit is -1; windows are null unless they may have to be compared.
 UNITS = "doc_id long, row long, unit int, begin int, finish int, words int, word int, digest binary, anchor long, windows array<struct<digest:bigint,begin:int,finish:int>>"
 _KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.int64(), pa.list_(pa.struct([("digest", pa.int64()), ("begin", pa.int32()), ("finish", pa.int32())]))]
 _CUT = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+")
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
 _NO_ID = (1 << 63) - 1
 
 
+def text_lines(text: str):
+    """begin, end, words and normalised form (letter case and white space aside) of each line that has a word."""
+    for m in _LINE.finditer(text):
+        words = m.group().lower().split()
+        yield m.start(), m.end(), len(words), " ".join(words)
+
+
 def text_units(text: str):
-    """begin, end, words and normalised form of each unit of a text; offsets in characters."""
+    """begin, end, words and normalised form of each sentence of a text; offsets in characters."""
     at = 0
     for cut in [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]:
         words = text[at:cut[0]].lower().rstrip(".!?").split()
@@ -58,20 +68,23 @@ def text_units(text: str):
         at = cut[1]
 
 
-def _units(repeated: np.ndarray, unlike: np.ndarray):
-    """Sentences of all texts, and their stretches that may repeat."""
+def _units(filters, lines: bool):
+    """Lines or sentences of all texts, and their stretches that may repeat."""
     names = ["doc_id", "row", "unit", "begin", "finish", "words", "word", "digest", "anchor", "windows"]
 
     def run(batches):
+        repeated, unlike, twice = filters.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))))
                 out = [[] for _ in names]
                 for (doc_id, row, text), h in zip(rows, _word_hashes([t for *_, t in rows])):
                     at, word = 0, 0
-                    for k, (a, b, n, plain) in enumerate(text_units(text)):
+                    for k, (a, b, n, plain) in enumerate(text_lines(text) if lines else text_units(text)):
                         word += len(text[at:a].split())
                         at = a
+                        if lines and not _inside(twice, np.array([_line_hash(plain)], np.uint64))[0]:
+                            continue
                         for column, v in zip(out, (doc_id, row, k, a, b, n, word, xxhash.xxh3_128_digest(plain), None, None)):
                             column.append(v)
                     if h is None:
@@ -146,10 +159,22 @@ def _word_hashes(texts: list[str]):
         yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def _line_hash(plain: str) -> int:
+    return xxhash.xxh3_64_intdigest(plain)
+
+
+def _line_hashes(batches):
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_BYTES):
+            own = np.array([_line_hash(plain) for text in part.column("text").to_pylist() for *_, plain in text_lines(text)], np.uint64)
+            hashes, n = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+
 def _anchors(batches):
     """Anchor and digest of every stretch, and whether a window comes twice in it."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             anchors, digests, loops = [np.zeros(0, np.uint64)], [], []
             for h in _word_hashes(part.column("text").to_pylist()):
                 if h is None:
@@ -164,20 +189,27 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "digest", "loop"])
 
 
-def _filters(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """As bytes, a bit for each anchor that occurs more than once, and for each that has unlike stretches."""
+def _filters(texts: DataFrame, lines: bool) -> list[np.ndarray]:
+    """As bytes, a bit for each anchor that occurs more than once, each that has unlike stretches, and each line that comes more than once."""
     found = texts.select("text").mapInArrow(_anchors, "anchor long, digest long, loop boolean").groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("unlike"), F.max("loop").alias("loop"))
-    cell = F.shiftright(F.pmod(F.col("anchor"), F.lit(FILTER_BITS)), 5).alias("cell")
     one = F.expr("shiftleft(1L, cast(pmod(anchor, 32) as int))")
     other = F.when(F.col("unlike") | F.col("loop"), one).otherwise(F.lit(0))
-    bits = found.where((F.col("n") > 1) | F.col("loop")).groupBy(cell).agg(F.bit_or(one).alias("repeated"), F.bit_or(other).alias("unlike"))
-    cells, out = bits.toArrow(), []  # at most FILTER_BITS / 32 rows
-    for name in ("repeated", "unlike"):
+    out = _bits(found.where((F.col("n") > 1) | F.col("loop")), repeated=one, unlike=other)
+    if lines:
+        of_lines = texts.select("text").mapInArrow(_line_hashes, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+        return out + _bits(of_lines.where("n > 1"), twice=one)
+    return [*out, np.zeros(0, np.uint8)]
+
+
+def _bits(anchors: DataFrame, **masks: Column) -> list[np.ndarray]:
+    cell = F.shiftright(F.pmod(F.col("anchor"), F.lit(FILTER_BITS)), 5).alias("cell")
+    cells, out = anchors.groupBy(cell).agg(*[F.bit_or(m).alias(n) for n, m in masks.items()]).toArrow(), []  # at most FILTER_BITS / 32 rows
+    for name in masks:
         of = np.zeros(FILTER_BITS // 32, "<u4")
         of[cells.column("cell").to_numpy()] = cells.column(name).to_numpy().astype(np.uint32)
         out.append(of.view(np.uint8))
-    return out[0], out[1]
+    return out
 
 
 def _place() -> Column:
@@ -201,9 +233,9 @@ def _single_windows(units: DataFrame) -> DataFrame:
         F.lit(WINDOW).alias("words"), (F.col("word") + F.col("k")).alias("word"), F.col("w.digest").alias("digest"))
 
 
-def _runs(texts: DataFrame, run_words: int) -> DataFrame:
+def _runs(texts: DataFrame, run_words: int, lines: bool) -> DataFrame:
     """The runs that go, from doc_id, row and text; where sentences and windows overlap, as one. Digests move, texts do not."""
-    units = materialize(texts.mapInArrow(_units(*_filters(texts)), UNITS), "units")
+    units = Stored(texts.mapInArrow(_units(texts.sparkSession.sparkContext.broadcast(_filters(texts, lines)), lines), UNITS), "units", "zstd").df
     later = _later(units.drop("anchor", "windows")).unionByName(_later(_single_windows(units))).withColumn("window", F.col("unit") < 0)
     by_word = W.partitionBy("row", "window").orderBy("word", "words")  # within one document
     end = F.col("word") + F.col("words")
@@ -226,36 +258,37 @@ def _runs(texts: DataFrame, run_words: int) -> DataFrame:
         F.sum(F.when(F.col("new") == 1, F.col("words")).otherwise(F.col("more"))).alias("words"), F.min_by("head.first", rank).alias("first"))
 
 
-def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> DataFrame:
     """One row per removed run: doc_id, begin, finish, units, words, first_doc_id, first_begin.
 
     begin and finish are character offsets in the original text, finish excluded;
-    units are the sentences in a run, 0 where it lies within sentences, and words the
+    units are the lines or sentences in a run, 0 where it lies within them, and words the
     words of these and of repeated windows. Whatever repeats 50 words or more goes, line
-    ends and sentence ends aside; shorter repeats go where whole sentences of 30 words
-    and more repeat. first_doc_id and first_begin are where the run's first unit or
+    ends and sentence ends aside. Of shorter repeats go runs of whole sentences from
+    ``run_words`` on; with ``lines`` units are lines, and with ``run_words`` 1 every line
+    goes that is, letter case and white space aside, one that has come before. first_doc_id and first_begin are where the run's first unit or
     window occurs first, which stays and may lie in the same document. Documents rank by doc_id (null last),
     repeated rows by their place in the table. Null and empty texts have no units; a
     document without repeated runs and an empty table give no rows. Other columns
     are not looked at.
     """
     texts = documents(docs).withColumn("row", F.monotonically_increasing_id())
-    return _runs(texts.select("doc_id", "row", "text"), run_words).select(
+    return _runs(texts.select("doc_id", "row", "text"), run_words, lines).select(
         "doc_id", "begin", "finish", "units", "words",
         F.nullif(F.col("first.id"), F.lit(_NO_ID)).alias("first_doc_id"), F.col("first.begin").alias("first_begin"))
 
 
-def drop_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def drop_passages(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> DataFrame:
     """``docs`` with the removed runs cut out of their texts; all rows and columns stay."""
     rows = Rows(docs)
     kept = materialize(rows.df.withColumn("row", F.monotonically_increasing_id()), "texts")
     text = rows.col("text").cast("string")
     source = kept.select(rows.col("doc_id").cast("long").alias("doc_id"), "row", F.coalesce(text, F.lit("")).alias("text"))
-    spans = _runs(source, run_words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias("spans"))
+    spans = _runs(source, run_words, lines).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias("spans"))
     # The pieces between the runs: after each run up to the next one's begin.
     starts = F.concat(F.array(F.lit(0)), F.expr("transform(spans, s -> s.finish)"))
     ends = F.concat(F.expr("transform(spans, s -> s.begin)"), F.array(F.char_length(text)))
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"]))
-    name = rows.inner[rows.names.index("text")]
+    name = rows.inner[position(docs, "text")]
     cut = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(pieces, ""))
     return rows.restore(kept.join(spans, "row", "left").withColumn(name, cut))

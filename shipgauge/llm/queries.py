@@ -50,7 +50,8 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Every line that has come before, and every window of 50 words."""
+    return repeated_passages(table(spark, sf_dir, "documents"), run_words=1, lines=True)
 
 
 def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

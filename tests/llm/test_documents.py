@@ -241,6 +241,29 @@ def test_repeated_passages(spark):
     assert {r.first_doc_id for r in got if r.doc_id == 4} == {1}
 
 
+def test_repeated_lines(spark):
+    """Lines as units: every one that has come before goes, also single words; the 17-word line of 300 documents stays once."""
+    rnd = random.Random(4)
+    line = sentence(rnd, 17, 9000)
+    rows = [(i, f"{sentence(rnd, 9, 9000)}\n  {line.upper() if i % 2 else line} \n\nEnd {i}\nok") for i in range(300)]
+    rows += [(None, f"{line}\n\t\n"), (400, None), (401, "\n \n"), (402, "ok"), (402, "ok")]
+    got = repeated_passages(docs(spark, rows).coalesce(1), run_words=1, lines=True).collect()
+    seen, want = set(), {}
+    for n, (d, text) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
+        for m in re.finditer(r"\S(?:[^\n]*\S)?", text or ""):
+            plain = " ".join(m.group().lower().split())
+            if plain in seen:
+                want.setdefault(n, []).append((d, m.start(), m.end()))
+            seen.add(plain)
+    flat = [x for spans in want.values() for x in spans]
+    assert sum(r.units for r in got) == len(flat) and sum(r.words for r in got) == 17 * 300 + 299 + 2
+    covered = Counter((d, i) for d, a, b in flat for i in range(a, b))
+    mine = Counter((r.doc_id, i) for r in got for i in range(r.begin, r.finish))
+    assert set(covered) <= set(mine) and all(mine[k] == v for k, v in covered.items())
+    kept = {r.doc_id: r.text for r in drop_passages(docs(spark, rows), run_words=1, lines=True).collect()}
+    assert line in kept[0] and all(line not in kept[i].lower() for i in range(1, 300)) and "End 7" in kept[7]
+
+
 def test_passages_that_begin_and_end_within_sentences(spark):
     """Every window of 50 words that has occurred before goes, against brute force, and nothing else."""
     rnd = random.Random(13)
