@@ -222,10 +222,10 @@ FROM v_plans, unnest(range(1, weeks + 1)) AS t(week)""")
 def eva_view(name: str, after_end: str) -> None:
     view(name, "v_plans", "v_schedule", body=f"""
 SELECT project_key, weeks AS planned_weeks, week, pv, ev, ac, sv, cv, spi, cpi,
-       CASE WHEN sv > 0 THEN 'Ahead of schedule' WHEN sv < 0 THEN 'Behind schedule' ELSE 'On schedule' END AS sv_band,
-       CASE WHEN spi >= 1 THEN 'On or ahead of schedule' WHEN spi >= 0.9 THEN 'Slightly behind schedule'
-            WHEN spi >= 0.8 THEN 'Behind schedule - attention needed'
-            ELSE 'Significantly behind schedule' END AS spi_band,
+       CASE WHEN sv > 0 THEN 'ahead' WHEN sv < 0 THEN 'behind' ELSE 'on' END AS sv_band,
+       CASE WHEN spi >= 1 THEN 'kept' WHEN spi >= 0.9 THEN 'slipping'
+            WHEN spi >= 0.8 THEN 'late'
+            ELSE 'far-off' END AS spi_band,
        CASE WHEN spi = 0 THEN 0 ELSE CAST(trunc(weeks / spi) AS BIGINT) END AS completion_week
 FROM (SELECT *, ev - pv AS sv, ev - ac AS cv, CASE WHEN pv > 0 THEN ev / pv ELSE 0.0 END AS spi,
              CASE WHEN ac > 0 THEN ev / ac ELSE 0.0 END AS cpi

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from checks import warehouse as wh
 from shipgauge.functions import fields
 from shipgauge.functions.labels import first_mapped, first_prefixed
 from shipgauge.functions.status import normalize_status, normalize_task_status
@@ -15,7 +16,7 @@ from shipgauge.operators import (
 )
 from shipgauge.plans import reports
 from shipgauge.session import tune
-from shipgauge.sources import issues as issue_source, scratch, stores, warehouse as wh
+from shipgauge.sources import issues as issue_source, scratch, stores
 from shipgauge.streaming import status as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]

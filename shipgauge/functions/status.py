@@ -51,19 +51,21 @@ def progress_pct(done: Column, total: Column) -> Column:
 
 
 def schedule_band(sv: Column) -> Column:
+    """ahead, behind or on the plan."""
     return (
-        F.when(sv > 0, "Ahead of schedule")
-        .when(sv < 0, "Behind schedule")
-        .when(sv == 0, "On schedule")
+        F.when(sv > 0, "ahead")
+        .when(sv < 0, "behind")
+        .when(sv == 0, "on")
     )
 
 
 def spi_band(spi: Column) -> Column:
+    """kept (1 and more), slipping (0.9), late (0.8) or far-off."""
     return (
-        F.when(spi >= 1.0, "On or ahead of schedule")
-        .when(spi >= 0.9, "Slightly behind schedule")
-        .when(spi >= 0.8, "Behind schedule - attention needed")
-        .when(spi.isNotNull(), "Significantly behind schedule")
+        F.when(spi >= 1.0, "kept")
+        .when(spi >= 0.9, "slipping")
+        .when(spi >= 0.8, "late")
+        .when(spi.isNotNull(), "far-off")
     )
 
 

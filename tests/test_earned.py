@@ -85,7 +85,7 @@ def test_week_and_bands(spark):
     got = eva(spark, *rows)
     assert (got["planned_weeks"], got["week"], got["pv"]) == (4, 2, 2)
     assert (got["sv"], got["spi"], got["completion_week"]) == (-1, 0.5, 8)
-    assert got["sv_band"] == "Behind schedule" and got["spi_band"] == "Significantly behind schedule"
+    assert got["sv_band"] == "behind" and got["spi_band"] == "far-off"
 
 
 def test_after_the_planned_end(spark):
