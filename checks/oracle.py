@@ -446,6 +446,31 @@ SELECT CASE o_orderkey % 4 WHEN 0 THEN 'R' || n || 'X-' || k WHEN 1 THEN 'r' ||
 FROM (SELECT *, CAST(o_orderkey % 7 AS VARCHAR) AS n, CAST(o_orderkey AS VARCHAR) AS k FROM orders)
 LEFT JOIN region ON r_regionkey = o_orderkey % 7""",
     "size_distribution_effective": sql("SELECT * FROM v_dist", "v_dist"),
+    "size_distribution_backed": sql(f"""
+SELECT * FROM (WITH own AS (
+  SELECT project_key, item_type, size, n, CASE WHEN n > 0 THEN CAST(sx AS DOUBLE) / (n * 3600000.0) END AS mean,
+         CASE WHEN n > 1 THEN sqrt(CAST(n * sxx - sx * sx AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1))) / 3600000.0
+              WHEN n = 1 THEN 0.0 END AS stddev, in_progress + to_do AS remaining
+  FROM (SELECT project_key, item_type, size, {MEASURES} FROM v_ms GROUP BY project_key, item_type, size)
+), done AS (
+  SELECT project_type AS type, item_type, size, ms FROM v_ms JOIN v_projects USING (project_key)
+  WHERE status = 'Done' AND cycle_hours > 0 AND project_type NOT IN ('ASIA', 'EUROPE') AND size <> 'XL' AND (item_type <> 'Fix' OR size = 'S')
+), c3 AS (
+  SELECT type, item_type, size, CAST(sum(ms) AS DOUBLE) / (count(*) * 3600000.0) AS mean, {POPULATION.format(n="count(*)")} AS stddev FROM done GROUP BY ALL
+), c2 AS (
+  SELECT type, size, CAST(sum(ms) AS DOUBLE) / (count(*) * 3600000.0) AS mean, {POPULATION.format(n="count(*)")} AS stddev FROM done GROUP BY ALL
+), c1 AS (
+  SELECT type, CAST(sum(ms) AS DOUBLE) / (count(*) * 3600000.0) AS mean, {POPULATION.format(n="count(*)")} AS stddev FROM done GROUP BY ALL
+)
+SELECT project_key, o.item_type, o.size, remaining,
+       CASE WHEN n > 0 THEN 'observed' WHEN c3.mean IS NOT NULL THEN 'class' WHEN c2.mean IS NOT NULL THEN 'class-size'
+            WHEN c1.mean IS NOT NULL THEN 'class-type' ELSE 'default' END AS source,
+       coalesce(CASE WHEN n > 0 THEN o.mean END, c3.mean, c2.mean, c1.mean,
+                CASE o.size WHEN 'S' THEN 1.5 WHEN 'M' THEN 4.0 WHEN 'L' THEN 8.0 WHEN 'XL' THEN 16.0 ELSE 4.0 END) AS mean,
+       coalesce(CASE WHEN n > 0 THEN o.stddev END, c3.stddev, c2.stddev, c1.stddev,
+                CASE o.size WHEN 'S' THEN 0.5 WHEN 'M' THEN 1.5 WHEN 'L' THEN 2.5 WHEN 'XL' THEN 5.0 ELSE 2.0 END) AS stddev
+FROM own o JOIN v_projects p USING (project_key) LEFT JOIN c3 ON c3.type = project_type AND c3.item_type = o.item_type AND c3.size = o.size
+LEFT JOIN c2 ON c2.type = project_type AND c2.size = o.size LEFT JOIN c1 ON c1.type = project_type)""", "v_ms", "v_projects"),
     "bulk_transition_plan": sql("""
 SELECT issue_key, raw_status AS from_status, 'Done' AS requested,
        CASE WHEN raw_status <> 'Canceled' THEN '21' END AS transition_id,

@@ -389,6 +389,18 @@ def size_distribution_effective(s, d):
     return quantiles.effective_distribution(rollup.size_distribution(size_facts(s, d)))
 
 
+@query
+def size_distribution_backed(s, d):
+    """By size and item type, backed by the finished items of all projects of a region; those of two regions have no class."""
+    all_items, projects = items(s, d), wh.projects(s, d)
+    typed = projects.select("project_key", F.col("project_type").alias("type"), "config_order")
+    old = typed.where(~F.col("type").isin("ASIA", "EUROPE")).select(F.col("project_key").alias("project_id"), "type")
+    done = refclass.refclass_items(all_items).where("size <> 'XL' AND (item_type <> 'Fix' OR size = 'S')")
+    classes = scratch.materialize(refclass.backoff_distribution(old, done.withColumnRenamed("project_key", "project_id")), "classes")
+    facts = rollup.group_facts(all_items, wh.as_of(), wh.CFG, ("size", "item_type"))
+    return quantiles.backed_distribution(rollup.size_distribution(facts), typed, classes)
+
+
 @query
 def bulk_transition_plan(s, d):
     return audit.bulk_transition_plan(wh.issues(s, d), wh.workflow(s, d), "Done")

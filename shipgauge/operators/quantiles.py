@@ -23,6 +23,13 @@ from shipgauge.settings import (
 PAIRS_PER_UNIT = 1 << 18
 
 
+def _default(index: int) -> Column:
+    out = F.when(F.lit(False), F.lit(0.0))
+    for size, pair in DEFAULT_SIZE_HOURS.items():
+        out = out.when(F.col("size") == size, F.lit(pair[index]))
+    return out.otherwise(F.lit(OTHER_SIZE_HOURS[index]))
+
+
 def effective_distribution(sizes: DataFrame) -> DataFrame:
     """Observed distribution of each size, or its default without samples.
 
@@ -30,17 +37,38 @@ def effective_distribution(sizes: DataFrame) -> DataFrame:
     a size sit on the same row and the defaults are four literals, so nothing
     is joined here.
     """
-    def default(index: int) -> Column:
-        out = F.when(F.lit(False), F.lit(0.0))
-        for size, pair in DEFAULT_SIZE_HOURS.items():
-            out = out.when(F.col("size") == size, F.lit(pair[index]))
-        return out.otherwise(F.lit(OTHER_SIZE_HOURS[index]))
-
     observed = F.col("n") > 0
     return sizes.select(
         "project_key", "size", "remaining", observed.alias("is_observed"),
-        F.when(observed, F.col("mean")).otherwise(default(0)).alias("mean"),
-        F.when(observed, F.col("stddev")).otherwise(default(1)).alias("stddev"),
+        F.when(observed, F.col("mean")).otherwise(_default(0)).alias("mean"),
+        F.when(observed, F.col("stddev")).otherwise(_default(1)).alias("stddev"),
+    )
+
+
+def backed_distribution(sizes: DataFrame, projects: DataFrame, classes: DataFrame) -> DataFrame:
+    """As ``effective_distribution``, with reference classes between observed and default.
+
+    ``sizes``: ``rollup.size_distribution`` by size and item type. ``projects``:
+    project_key, type. ``classes``: ``refclass.backoff_distribution``; the finest level
+    that has items counts: (type, item type, size), then (type, size), then the type.
+    ``source`` names what was taken: observed, class, class-size, class-type or default.
+    Classes number a few rows a type, and so do rows of ``sizes`` a project; a project
+    without a type goes by the default.
+    """
+    rows = sizes.join(projects.select("project_key", "type"), "project_key", "left")
+    names = {3: ("class", ("type", "item_type", "size")), 2: ("class-size", ("type", "size")), 1: ("class-type", ("type",))}
+    source = F.when(F.col("n") > 0, "observed")
+    found = {c: F.when(F.col("n") > 0, F.col(c)) for c in ("mean", "stddev")}
+    for level, (name, keys) in names.items():
+        own = classes.where(F.col("level") == level).select(
+            *keys, F.struct("mean", "stddev").alias(f"level_{level}"))
+        rows = rows.join(own, list(keys), "left")
+        hit = F.col(f"level_{level}")
+        source = source.when(hit.isNotNull(), name)
+        found = {c: F.coalesce(v, hit[c]) for c, v in found.items()}
+    return rows.select(
+        "project_key", "item_type", "size", "remaining", source.otherwise("default").alias("source"),
+        *[F.coalesce(found[c], _default(i)).alias(c) for i, c in enumerate(("mean", "stddev"))],
     )
 
 

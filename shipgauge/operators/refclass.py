@@ -52,6 +52,29 @@ def refclass_distribution(ref_projects: DataFrame, ref_items: DataFrame) -> Data
     )
 
 
+def backoff_distribution(ref_projects: DataFrame, ref_items: DataFrame) -> DataFrame:
+    """Mean and population deviation at three levels, from one aggregate.
+
+    Level 3 is (project type, item type, size), level 2 (project type, size), level 1
+    the project type alone; columns that a level adds up over are NULL.
+    """
+    n, total, sq = F.col("n"), F.col("sum_ms"), F.col("sq_ms")
+    sums = (
+        _per_project(ref_items, "item_type", "size")
+        .join(ref_projects.select("project_id", "type"), "project_id")
+        .groupBy("type", "item_type", "size").agg(*_added())
+    )
+    sets = [[F.col("type"), F.col("item_type"), F.col("size")], [F.col("type"), F.col("size")], [F.col("type")]]
+    level = F.when(F.grouping("size") == 1, 1).when(F.grouping("item_type") == 1, 2).otherwise(3)
+    return (
+        sums.groupingSets(sets, "type", "item_type", "size").agg(*_added(), level.alias("level"))
+        .select(
+            "type", "item_type", "size", "level", "n",
+            stats.mean_hours(total, n).alias("mean"), stats.sd_population_hours(total, sq, n).alias("stddev"),
+        )
+    )
+
+
 def refclass_summary(ref_projects: DataFrame, ref_items: DataFrame) -> DataFrame:
     """Projects, items, average and population deviation per project type.
 

@@ -135,10 +135,10 @@ def type_stats(facts: DataFrame) -> DataFrame:
 
 
 def size_distribution(facts: DataFrame) -> DataFrame:
-    """Mean and sample deviation of completed work and open items, per size."""
+    """Mean and sample deviation of completed work and open items, per size (and item type if the facts have it)."""
     n, total, sq = F.col("cycle_n"), F.col("cycle_sum_ms"), F.col("cycle_sq_ms")
     return facts.select(
-        "project_key", "size", n.alias("n"),
+        "project_key", *(c for c in ("item_type",) if c in facts.columns), "size", n.alias("n"),
         stats.mean_hours(total, n).alias("mean"),
         stats.sd_sample_hours(total, sq, n).alias("stddev"),
         (F.col("in_progress") + F.col("to_do")).alias("remaining"),

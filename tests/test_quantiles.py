@@ -134,3 +134,25 @@ def test_a_unit_is_the_sum_of_its_items(spark):
     sums = [draws.block_totals(11, 22, 3, n, 5.0, 2.0, its) for n in range(1, 9)]
     steps = np.diff(np.array(sums), axis=0)
     assert (steps >= 1_800_000).all() and len(np.unique(steps)) == steps.size
+
+
+def test_classes_stand_between_observed_and_default(spark):
+    """The finest level that has items; a project without a type, or of one without a class, goes by the default."""
+    from shipgauge.operators import refclass
+
+    old = spark.createDataFrame([(1, "web"), (2, "web"), (3, "app")], "project_id INT, type STRING")
+    done = spark.createDataFrame(
+        [(1, "Fix", "S", 2.0), (2, "Fix", "S", 4.0), (1, "Api", "S", 9.0), (2, "Api", "L", 10.0), (9, "Fix", "S", 99.0)],
+        "project_id INT, item_type STRING, size STRING, cycle_hours DOUBLE")
+    classes = refclass.backoff_distribution(old, done)
+    got = by(classes, "type", "level", "item_type", "size")
+    assert len(got) == 6 and got["web", 3, "Fix", "S"]["mean"] == 3.0 and got["web", 3, "Fix", "S"]["stddev"] == 1.0
+    assert got["web", 2, None, "S"]["mean"] == 5.0 and got["web", 1, None, None]["n"] == 4
+    sizes = spark.createDataFrame(
+        [("P", "Fix", "S", 2, 7.0, 1.0, 1), ("P", "Fix", "L", 0, None, None, 2), ("P", "Fix", "XL", 0, None, None, 3), ("P", "Api", "L", 0, None, None, 4),
+         ("Q", "Fix", "S", 0, None, None, 5), ("R", "Fix", "M", 0, None, None, 6)],
+        "project_key STRING, item_type STRING, size STRING, n INT, mean DOUBLE, stddev DOUBLE, remaining INT")
+    projects = spark.createDataFrame([("P", "web"), ("Q", "app"), ("R", None)], "project_key STRING, type STRING")
+    rows = quantiles.backed_distribution(sizes, projects, classes).collect()
+    assert {r["remaining"]: (r["source"], r["mean"]) for r in rows} == {
+        1: ("observed", 7.0), 2: ("class-size", 10.0), 3: ("class-type", 6.25), 4: ("class", 10.0), 5: ("default", 1.5), 6: ("default", 4.0)}
