@@ -18,11 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shipgauge.llm.encoding import slices
-from shipgauge.llm.frames import Rows, documents, pick
+from shipgauge.llm.frames import Rows, documents, pick, position
 
 ORDER = 4
 # Documents learned from, per language: those with the smallest hashes of their ids. Whole texts count.
 TRAIN_ROWS = 400
+PARTS = 64
 # Text scored at once: every byte of it takes some 60 bytes meanwhile.
 SLICE_BYTES = 3 << 20
 UND = "und"
@@ -34,14 +35,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """lang and text of at most ``rows`` documents per language that are not held out."""
+    """lang and text of at most ``rows`` documents per language that are not held out; repeated rows count once."""
     known = pick(docs, doc_id="long", text="string", lang="string").where(
         F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").rlike("\\p{L}") & ~held_out(F.col("doc_id")))
-    keyed = known.select("lang", F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("id")).alias("key"))
-    # A rank filter, which Spark also applies before the shuffle.
-    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key")))
-    ids = ranked.where(F.col("rank") <= rows).select("lang", F.col("key.id").alias("doc_id")).distinct()
-    return known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")  # rows per language at most
+    known = known.withColumn("of_text", F.xxhash64("text"))
+    keyed = known.select("lang", F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("id"), "of_text").alias("key")).distinct()
+    # Rank filters, which Spark also applies before the shuffle: by parts of a language first, so that none is one task's.
+    parts = W.partitionBy("lang", F.pmod(F.col("key.hash"), F.lit(PARTS))).orderBy("key")
+    some = keyed.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= rows)
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key")))
+    ids = ranked.where(F.col("rank") <= rows).select("lang", F.col("key.id").alias("doc_id"), F.col("key.of_text").alias("of_text"))
+    # Rows per language at most, also where rows repeat.
+    return known.join(F.broadcast(ids), ["lang", "doc_id", "of_text"]).dropDuplicates(["lang", "doc_id", "of_text"]).select("lang", "text")
 
 
 class Model:
@@ -203,15 +208,18 @@ def language_id(docs: DataFrame, train_rows: int = TRAIN_ROWS, order: int = ORDE
 def keep_known_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS, order: int = ORDER) -> DataFrame:
     """The rows of ``docs`` that have a language; a null lang becomes the predicted one.
 
-    Rejected are texts without a letter and texts that no language codes in fewer
-    than the 8 bits that a byte takes anyway.
+    Rejected are texts without a letter (null and empty ones too) and texts that no
+    language codes in fewer than the 8 bits that a byte takes anyway. Where no row has
+    a language to learn from, texts with a letter stay as they are. Repeated rows are
+    decided alike, all columns are kept whatever their names, an empty table stays
+    empty. A text is scored whole, at about 60 bytes of memory a byte.
     """
     model = learn(training_rows(docs, train_rows), order)
     rows = Rows(docs)
-    text, lang = rows.col("text"), rows.inner[rows.names.index("lang")]
+    text, lang = rows.col("text"), rows.inner[position(docs, "lang")]
     tagged = rows.df.withColumn("p_text", F.coalesce(text.cast("string"), F.lit(""))).withColumn("p_worded", F.col("p_text").rlike("\\p{L}"))
     schema = tagged.schema
-    found = tagged.where("p_worded").mapInArrow(_accept(model, lang), schema) if model.langs else tagged.limit(0)
+    found = tagged.where("p_worded").mapInArrow(_accept(model, lang), schema) if model.langs else tagged.where("p_worded")
     return rows.restore(found)
 
 

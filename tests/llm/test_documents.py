@@ -370,6 +370,21 @@ def test_language_does_not_look_at_lang_of_held_out_rows(spark):
     assert {r.doc_id: (r.lang_pred, r.score) for r in language_id(docs(spark, changed)).collect()} == base
 
 
+def test_training_rows_of_repeats(spark):
+    """One id 300 times, with one text or with several, gives no more rows than asked for."""
+    rows = [(2, "one text", "en")] * 300 + [(3, f"text {i}", "en") for i in range(300)] + [(4, "ein Text", "de")]
+    from shipgauge.llm.language import training_rows
+    got = Counter(r.lang for r in training_rows(docs(spark, rows), 20).collect())
+    assert got["en"] <= 20 and sum(got.values()) == len({(r.lang, r.text) for r in training_rows(docs(spark, rows), 20).collect()})
+
+
+def test_no_language_to_learn_from(spark):
+    rows = [(1, "some words", None), (2, "more", None), (3, "12 !", None), (4, None, None)]
+    assert {r.doc_id for r in keep_known_languages(docs(spark, rows)).collect()} == {1, 2}
+    upper = docs(spark, rows).toDF("DOC_ID", "TEXT", "LANG", "source", "n_chars")
+    assert keep_known_languages(upper).count() == 2 and keep_known_languages(upper).columns[2] == "LANG"
+
+
 def test_keep_known_languages(spark, case_sensitive):
     rows = language_rows()
     junk = [(700, "\x01\x02\x7f" * 40 + "q", None), (701, "123", None), (702, None, None), (703, "der Hund und", None)]
