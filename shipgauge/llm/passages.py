@@ -74,6 +74,7 @@ def _units(filters, lines: bool):
 
     def run(batches):
         repeated, unlike, twice = filters.value
+        twice = memoryview(twice)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))))
@@ -83,8 +84,10 @@ def _units(filters, lines: bool):
                     for k, (a, b, n, plain) in enumerate(text_lines(text) if lines else text_units(text)):
                         word += len(text[at:a].split())
                         at = a
-                        if lines and not _inside(twice, np.array([_line_hash(plain)], np.uint64))[0]:
-                            continue
+                        if lines:
+                            bit = _line_hash(plain) % FILTER_BITS
+                            if not twice[bit >> 3] >> (bit & 7) & 1:
+                                continue
                         for column, v in zip(out, (doc_id, row, k, a, b, n, word, xxhash.xxh3_128_digest(plain), None, None)):
                             column.append(v)
                     if h is None:
