@@ -25,8 +25,8 @@ from shipgauge.sources.manifest import Manifest
 SNAPSHOT_EVERY = 20
 # Runs of one size that are merged into one of the next.
 FAN_IN = 8
-# Parts of the issue state, and parts over which one project's issues are spread.
-BUCKETS = 256
+# Parts of the issue state (as many as keep one near 100 MB), and parts over which one project's issues are spread.
+BUCKETS = 64
 SPREAD = 16
 ANCHORS = "issue_key STRING, in_progress_ts TIMESTAMP, done_ts TIMESTAMP"
 
