@@ -21,6 +21,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,11 +37,12 @@ TAKE = 2
 SKETCHES = 32
 SIMILARITY = 0.8
 # Nodes of a block in the comparison of what stars leave over, and bins of a node's word counts there.
-BLOCK = 512
+BLOCK = 1024
 BINS = 2048
 COARSE = 128
-# Beyond so many edits the alignment goes row by row.
-DIAGONAL_EDITS = 32
+# Bits that the words of one band may take, and words from which on a cheaper upper bound is worth its time.
+BAND_BITS = 1 << 29
+LONG = 2000
 SKETCHED = "row long, id long, digest binary, n_words int, sketches array<long>, words binary"
 _NO_ID = (1 << 63) - 1
 
@@ -78,39 +80,61 @@ def _occurrence(grams: np.ndarray) -> np.ndarray:
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """Word edits from a to b if they are at most ``limit``: furthest-reaching diagonals, then rows of the band."""
-    if abs(len(a) - len(b)) > limit:
+    """Word edits from a to b if they are at most ``limit``.
+
+    The columns of the band are bits of one integer (Hyyrö's form of Myers' algorithm),
+    so that a word of the shorter one costs a few integer operations. Where the bits of
+    all words that the band holds would pass BAND_BITS, rows of numbers take their place.
+    """
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    if len(long) - len(short) > limit:
+        return None
+    differs = np.flatnonzero(long[:len(short)] != short)
+    at = int(differs[0]) if len(differs) else len(short)
+    long, short = long[at:], short[at:]
+    differs = np.flatnonzero(long[len(long) - len(short):][::-1] != short[::-1])
+    at = int(differs[0]) if len(differs) else len(short)
+    long, short = long[:len(long) - at], short[:len(short) - at]
+    if not len(short):
+        return len(long)
+    if limit == 0:
         return None
-    n, m, end = len(a), len(b), len(b) - len(a)
-
-    def slide(i: int, j: int) -> int:
-        width = 16
-        while True:
-            w = min(width, n - i, m - j)
-            if w <= 0:
-                return i
-            differs = np.flatnonzero(a[i:i + w] != b[j:j + w])
-            if len(differs):
-                return i + int(differs[0])
-            i, j, width = i + w, j + w, width * 4
-
-    reach = {0: slide(0, 0)}
-    if end == 0 and reach[0] == n:
-        return 0
-    for e in range(1, min(limit, DIAGONAL_EDITS) + 1):
-        ahead = {}
-        for d in range(-e, e + 1):
-            if abs(end - d) > limit - e:
-                continue
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            i = min(i, n, m - d)
-            if i < 0 or i + d < 0:
-                continue
-            ahead[d] = slide(i, i + d)
-        if ahead.get(end, -1) >= n:
-            return e
-        reach = ahead
-    return None if limit <= DIAGONAL_EDITS else _band(a, b, limit)
+    limit = min(limit, len(long))
+    if len(long) * (2 * limit + 1) > BAND_BITS:
+        return _band(long, short, limit)
+    return _bits(long.tolist(), short.tolist(), limit)
+
+
+def _bits(long: list[int], short: list[int], limit: int) -> int | None:
+    """Edit distance in a band whose bit k in column j stands for row j - limit + k of ``long``."""
+    m, n = len(long), len(short)
+    top, mask = 1 << 2 * limit, (1 << 2 * limit + 1) - 1
+    # Where a word stands in the band: bits, and the column that they belong to.
+    places: dict[int, tuple[int, int]] = {}
+    for i in range(limit):
+        _, bits = places.get(long[i], (0, 0))
+        places[long[i]] = (0, bits | 1 << i + 1 + limit)
+    up, down = mask ^ ((1 << limit) - 1), 0  # rows that are one more, one less than the row above
+    edits, most = limit, 2 * limit - (m - n)
+    for j in range(1, n + 1):
+        if j + limit <= m:
+            word = long[j + limit - 1]
+            since, bits = places.get(word, (j, 0))
+            places[word] = (j, bits >> j - since | top)
+        since, bits = places.get(short[j - 1], (j, 0))
+        match = bits >> j - since
+        level = ((((match & up) + up) ^ up) | match | down) & mask  # as large as the cell before, a row up
+        right_up, right_down = down | (mask ^ (level | up)), level & up
+        if j + limit <= m:
+            edits += not level & top
+            if edits > most:
+                return None
+        else:
+            at = m - j + limit
+            edits += (right_up >> at & 1) - (right_down >> at & 1)
+        level >>= 1
+        up, down = right_down | (mask ^ (level | right_up)), level & right_up
+    return edits if edits <= limit else None
 
 
 def _band(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -137,15 +161,15 @@ def _band(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """1 - edits / words of the longer one reaches ``similarity``."""
-    longer = max(len(a), len(b))
-    limit = math.floor((1 - similarity) * longer + 1e-9)
+    limit = math.floor((1 - similarity) * max(len(a), len(b)) + 1e-9)
     # Edits are at least the words that one of them has beyond the other.
     least = (int(np.abs(_bins(a) - _bins(b)).sum()) + abs(len(a) - len(b))) // 2
-    if least > limit:
-        return False
-    if _script(a, b) <= limit:
-        return True
-    return (_band(a, b, limit) if least > DIAGONAL_EDITS else edits_within(a, b, limit)) is not None
+    return least <= limit and _aligned(a, b, limit)
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
+    """At most ``limit`` edits; of long ones the alignment over unique words is tried first."""
+    return max(len(a), len(b)) > LONG and _script(a, b) <= limit or edits_within(a, b, limit) is not None
 
 
 def _script(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,10 +248,14 @@ def _align(similarity: float):
 def _compare(similarity: float):
     """Links between the left-over nodes of a block and those of another, one per pair of groups that they join."""
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(pc.binary_length(table.column("words")).to_numpy(), kind="stable"))
         ids, words = table.column("row").to_pylist(), [np.frombuffer(w, "<u4") for w in table.column("words").to_pylist()]
         over = np.array(table.column("over").to_pylist(), bool)
-        lengths, bins = np.array([len(w) for w in words]), np.stack([_bins(w) for w in words]).astype(np.int32)
-        coarse = bins.reshape(len(bins), -1, COARSE).sum(axis=1)
+        lengths = np.array([len(w) for w in words])
+        bins = np.zeros((len(words), BINS), np.int16 if lengths[-1] < 1 << 14 else np.int32)
+        for i, w in enumerate(words):
+            bins[i] = _bins(w)
+        coarse = bins.reshape(len(bins), -1, COARSE).sum(axis=1, dtype=np.int32)
         root = list(range(len(ids)))
 
         def find(i):
@@ -243,15 +271,20 @@ def _compare(similarity: float):
         for i, x in enumerate(ids):
             root[find(i)] = find(same.setdefault(x, i))
         links = []
+        # Those within reach of a node's length stand side by side; of two nodes left over the first meets the second.
+        reach = np.stack([np.searchsorted(lengths, np.floor(similarity * lengths)), np.searchsorted(lengths, np.ceil(lengths / similarity), "right")])
         for i in np.flatnonzero(over):
-            longer = np.maximum(lengths, lengths[i])
-            limit, apart = np.floor((1 - similarity) * longer + 1e-9), np.abs(lengths - lengths[i])
-            near = np.flatnonzero(np.abs(coarse - coarse[i]).sum(axis=1) + apart <= 2 * limit)
-            near = near[np.abs(bins[near] - bins[i]).sum(axis=1) + apart[near] <= 2 * limit[near]]
-            for j in near:
-                if find(i) != find(j) and similar(words[i], words[j], similarity):
-                    root[find(i)] = find(j)
-                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            j = np.arange(*reach[:, i])
+            j = j[(j > i) | ~over[j]]
+            limit = np.floor((1 - similarity) * np.maximum(lengths[j], lengths[i]) + 1e-9)
+            spare = 2 * limit - np.abs(lengths[j] - lengths[i])
+            for counts in (coarse, bins):
+                near = np.abs(counts[j] - counts[i]).sum(axis=1, dtype=np.int32) <= spare
+                j, limit, spare = j[near], limit[near], spare[near]
+            for x, most in zip(j.tolist(), limit.astype(int).tolist()):
+                if find(i) != find(x) and _aligned(words[i], words[x], most):
+                    root[find(i)] = find(x)
+                    links.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
