@@ -133,10 +133,11 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
     has weight 0; a null doc_id stays null and is never in the target; labels with
     nulls or contradictions are not good ones; without good labels all weights are
     differences to an even spread; an empty table or a fraction of 0 gives an empty
-    sample. Other columns are not looked at.
+    sample, one of 1 or more all rows. Other columns are not looked at.
     """
     weights = materialize(importance_weights(docs, good_documents(labels, target_rows), buckets, smoothing), "weights")
     fraction = good_share(labels) if fraction is None else fraction
-    k = round(fraction * weights.count())
+    rows = weights.count()
+    k = min(round(fraction * rows), rows)
     chosen = weights.limit(0) if k <= 0 else weights.where(F.col("place") >= F.lit(kth_largest(weights, "place", k)))
     return chosen.select("doc_id", "log_weight", "sort_key", F.lit(True).alias("kept"))

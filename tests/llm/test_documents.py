@@ -91,6 +91,19 @@ def test_edits_within():
         assert near_dup.similar(a, b, 0.8) == (full_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_long_texts_and_wide_bands(monkeypatch):
+    r = np.random.default_rng(2)
+    monkeypatch.setattr(near_dup, "BAND_BITS", 200)  # wider bands go by rows of numbers
+    monkeypatch.setattr(near_dup, "LONG", 10)
+    for t in range(200):
+        a = r.integers(0, 4, r.integers(0, 25)).astype(np.uint32)
+        b = np.delete(a, r.integers(len(a))) if t % 2 and len(a) else r.integers(0, 4, r.integers(0, 25)).astype(np.uint32)
+        limit = int(r.integers(0, 25))
+        want = full_distance(a, b)
+        assert near_dup.edits_within(a, b, limit) == (want if want <= limit else None)
+        assert near_dup._aligned(a, b, limit) == (want <= limit)
+
+
 def test_sketches_keep_order_and_occurrences():
     words = np.arange(1, 9, dtype=np.uint64)
     same = lambda a, b: bool((near_dup.sketch(a, 1, 8, 4) == near_dup.sketch(b, 1, 8, 4)).any())
@@ -473,6 +486,7 @@ def test_resample_of_awkward_rows(spark, case_sensitive):
     assert resample(docs(spark, awkward()), labels, fraction=0.0).collect() == []
     assert resample(docs(spark, []), labels).collect() == resample(docs(spark, []), labels.limit(0)).collect() == []
     assert resample(docs(spark, awkward()), labels.limit(0), fraction=1.0).count() == len(awkward())
+    assert resample(docs(spark, awkward()), labels, fraction=1.5).count() == len(awkward())
 
 
 TARGETS = {"q0t0": 0.1, "q1t0": 0.8, "q1t1": 0.1}
