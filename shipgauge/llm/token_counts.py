@@ -61,7 +61,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: TokenCache, limit: int
     result and adds nothing. Other columns are not looked at.
 
     The texts that miss are moved once, by doc_id and digest, to meet the list of
-    distinct misses; nothing else moves but digests.
+    distinct misses; nothing else moves but digests. Rows that share both meet in one
+    task, which encodes the first of them; where adaptive execution splits so hot a
+    task, each of its parts encodes one, and reading the cache unites them.
     """
     collapse = _collapses(tokenizer)
     texts = documents(docs).withColumn("content", content_digest(F.col("text"), collapse))
@@ -84,9 +86,19 @@ def _collapses(tokenizer: str) -> bool:
 
 
 def _count(tokenizer: str):
+    """Counts of the texts of a task, those of a repeated content once."""
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
+                fresh = []
+                for content in part.column("content").to_pylist():
+                    fresh.append(content not in seen)
+                    seen.add(content)
+                if not any(fresh):
+                    continue
+                if not all(fresh):
+                    part = part.filter(pa.array(fresh))
                 n = encoder(tokenizer).count(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(n, pa.int64())], names=["content", "n_tokens"])
 

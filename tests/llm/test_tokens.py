@@ -74,6 +74,15 @@ def test_only_distinct_misses_are_encoded_and_kept(spark):
     assert TokenCache(spark, cache.folder.rsplit("/", 1)[0], BYTE).counts().count() == 0  # another version has its own
 
 
+def test_repeated_rows_are_encoded_once(spark):
+    texts = ["one two", "three", "four five six"]
+    rows = [(i % 3, texts[i % 3]) for i in range(81)] + [(None, "no id")] * 40
+    cache = TokenCache(spark, new_path(spark, "cache"), WORD)
+    got = token_counts(docs(spark, rows).repartition(4), WORD, cache).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((d, len(ids(WORD, t))) for d, t in rows), key=str)
+    assert spark.read.parquet(cache.folder).count() == cache.counts().count() == 4
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert token_counts(none, WORD, TokenCache(spark, new_path(spark, "cache"), WORD)).collect() == []
