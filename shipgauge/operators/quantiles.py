@@ -2,7 +2,9 @@
 
 For every project and iteration the hours of all remaining items are drawn by
 size, summed and divided by the capacity; the quantiles are taken over the
-iterations.
+iterations. Sums are first drawn as bounds, in 4-byte floats; those whose bounds
+leave open whether they have an asked rank are drawn again, exactly. The result is
+that of drawing every sum exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from shipgauge.settings import (
     PERCENTILES,
     Settings,
 )
+from shipgauge.sources.scratch import materialize
 
 # Item pairs times iterations in one unit of work, about 50 milliseconds.
 PAIRS_PER_UNIT = 1 << 18
@@ -72,17 +75,13 @@ def backed_distribution(sizes: DataFrame, projects: DataFrame, classes: DataFram
     )
 
 
-def iteration_totals(
-    distribution: DataFrame, iterations: int, seed: int, tasks: int | None = None
-) -> DataFrame:
-    """(project_key, iteration, total_ms): drawn work of all remaining items.
+def _units(distribution: DataFrame, count: Column, listed: Column, seed: int, tasks: int | None) -> DataFrame:
+    """Units of at most PAIRS_PER_CHUNK item pairs times as many iterations as make PAIRS_PER_UNIT.
 
-    The work is cut into units of at most PAIRS_PER_CHUNK item pairs times as
-    many iterations as make PAIRS_PER_UNIT, before anything is drawn, and the
-    units are dealt over ``tasks`` partitions; one large project therefore
-    occupies the whole cluster. The count is explicit because units are few and
-    small and would be coalesced into one task. Sums are combined on the map
-    side: only (project, iteration) partial sums are shuffled.
+    ``count`` is the number of a row's iterations, ``listed`` their numbers, or NULL for
+    those from 0 on. Work is cut before anything is drawn, and the units are dealt over
+    ``tasks`` partitions; one large project therefore occupies the whole cluster. The
+    count is explicit because units are few and small and would be coalesced into one task.
     """
     spark = distribution.sparkSession
     if tasks is None:
@@ -95,20 +94,36 @@ def iteration_totals(
     per_chunk = 2 * draws.PAIRS_PER_CHUNK
     last_chunk = F.ceil(c("remaining") / F.lit(per_chunk)) - 1
     per_unit = F.greatest(
-        F.lit(1), F.least(F.lit(iterations), F.floor(F.lit(2 * PAIRS_PER_UNIT) / c("items")))
+        F.lit(1), F.least(c("_count"), F.floor(F.lit(2 * PAIRS_PER_UNIT) / c("items")))
     ).cast("int")
-    units = (
-        distribution.where(c("remaining") > 0)
+    return (
+        distribution.withColumn("_count", count).where((c("remaining") > 0) & (c("_count") > 0))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
         .withColumn("items", F.least(c("remaining") - c("chunk") * per_chunk, F.lit(per_chunk)))
         .withColumn("_per_unit", per_unit)
-        .withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), c("_per_unit"))))
+        .withColumn("first", F.explode(F.sequence(F.lit(0), c("_count") - 1, c("_per_unit"))))
         .select(
             "project_key", key_a.alias("key_a"), key_b.alias("key_b"), "chunk", "items", "mean", "stddev",
-            "first", F.least(c("first") + c("_per_unit") - 1, F.lit(iterations - 1)).alias("last"),
+            "first", F.least(c("first") + c("_per_unit") - 1, c("_count") - 1).alias("last"),
+            F.slice(listed, c("first") + 1, c("_per_unit")).alias("listed"),
         )
         .repartition(tasks, "project_key", "key_a", "chunk", "first")
     )
+
+
+def iteration_totals(
+    distribution: DataFrame, iterations: int, seed: int, tasks: int | None = None, wanted: DataFrame | None = None
+) -> DataFrame:
+    """(project_key, iteration, total_ms): drawn work of all remaining items.
+
+    ``wanted`` (project_key, listed) names the iterations to draw of each project, all
+    without it. Sums are combined on the map side: only (project, iteration) partial
+    sums are shuffled.
+    """
+    if wanted is None:
+        units = _units(distribution, F.lit(iterations), F.lit(None).cast("array<int>"), seed, tasks)
+    else:
+        units = _units(distribution.join(wanted, "project_key"), F.size("listed"), F.col("listed"), seed, tasks)
     return (
         units.mapInArrow(draws.unit_totals, draws.TOTALS)
         .groupBy("project_key", "iteration")
@@ -116,6 +131,41 @@ def iteration_totals(
     )
 
 
+def open_iterations(
+    distribution: DataFrame, iterations: int, seed: int, ranks: list[int], tasks: int | None = None
+) -> DataFrame:
+    """(project_key, listed, places): iterations whose sums have to be known for ``ranks``.
+
+    ``places`` holds for each rank the rank that its sum has among those of ``listed``.
+    The sum at a rank lies between the low and the high bound at this rank. An iteration
+    whose bounds lie beyond both for every rank is left out, and counts for the ranks that
+    it lies below. A project's rows are as many as ``iterations``, a number set by the
+    caller, and its sorts spill.
+    """
+    c = F.col
+    bounds = (
+        _units(distribution, F.lit(iterations), F.lit(None).cast("array<int>"), seed, tasks)
+        .mapInArrow(draws.unit_bounds, draws.BOUNDS)
+        .groupBy("project_key", "iteration")
+        .agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    )
+    project = Window.partitionBy("project_key")
+    ranked = bounds.withColumns({f"_{b}": F.row_number().over(project.orderBy(b)) for b in ("low", "high")})
+    ends = {f"{b}_{k}": F.max(F.when(c(f"_{b}") == k, c(b))).over(project) for b in ("low", "high") for k in ranks}
+    below = {k: c("high") < c(f"low_{k}") for k in ranks}
+    settled = F.lit(True)
+    for k in ranks:
+        settled = settled & (below[k] | (c("low") > c(f"high_{k}")))
+    return (
+        ranked.withColumns(ends).withColumn("_settled", settled)
+        .groupBy("project_key")
+        .agg(
+            F.collect_list(F.when(~c("_settled"), c("iteration"))).alias("listed"),
+            F.array(*[F.lit(k) - F.count_if(c("_settled") & below[k]) for k in ranks]).alias("places"),
+        )
+    )
+
+
 def rank_of(pct: int, iterations: int, rank_mode: str) -> int:
     """1-based rank of a percentile among the sorted iterations."""
     nearest = max(1, -(-iterations * pct // 100))
@@ -139,24 +189,25 @@ def completion_quantiles(
 
     ``capacities``: project_key, capacity (NULL for the default). A project with
     nothing left needs 0 days. Milliseconds are ranked instead of days, which
-    is the same order, and turned into days once at the end. Ranking sorts one
-    project's ``iterations`` rows, a number set by the caller, and spills.
+    is the same order, and turned into days once at the end. Distributions and
+    the iterations to draw exactly, a row a project, are stored once.
     """
     if iterations < 1 or not percentiles:
         raise ValueError("iterations and percentiles must not be empty")
-    totals = iteration_totals(effective_distribution(sizes), iterations, seed)
+    distribution = materialize(effective_distribution(sizes), "distribution")
     ranks = {p: rank_of(p, iterations, rank_mode) for p in percentiles}
+    asked_ranks = sorted(set(ranks.values()))
+    chosen = materialize(open_iterations(distribution, iterations, seed, asked_ranks), "iterations")
+    totals = iteration_totals(distribution, iterations, seed, wanted=chosen.select("project_key", "listed"))
+    order = Window.partitionBy("project_key").orderBy("total_ms", "iteration")
     wanted = F.array(*[
-        F.struct(F.lit(p).alias("pct"), F.lit(k).alias("rank")) for p, k in ranks.items()
+        F.struct(F.lit(p).alias("pct"), F.col("places")[asked_ranks.index(k)].alias("rank")) for p, k in ranks.items()
     ])
-
-
-    order = Window.partitionBy("project_key").orderBy("total_ms", "iteration")
+    places = chosen.select("project_key", F.explode(wanted).alias("w")).select("project_key", F.col("w.pct").alias("pct"), F.col("w.rank").alias("_rank"))
     ranked = (
-        totals.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank").isin(*sorted(set(ranks.values()))))
-        .withColumn("_hit", F.explode(F.filter(wanted, lambda x: x["rank"] == F.col("_rank"))))
-        .select("project_key", F.col("_hit.pct").alias("pct"), "total_ms")
+        totals.withColumn("_rank", F.row_number().over(order).cast("bigint"))
+        .join(places, ["project_key", "_rank"])
+        .select("project_key", "pct", "total_ms")
     )
     asked = capacities.select(
         "project_key",

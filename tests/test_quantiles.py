@@ -2,6 +2,7 @@
 
 import statistics
 
+import numpy as np
 import pytest
 
 from shipgauge.functions import draws
@@ -156,3 +157,33 @@ def test_classes_stand_between_observed_and_default(spark):
     rows = quantiles.backed_distribution(sizes, projects, classes).collect()
     assert {r["remaining"]: (r["source"], r["mean"]) for r in rows} == {
         1: ("observed", 7.0), 2: ("class-size", 10.0), 3: ("class-type", 6.25), 4: ("class", 10.0), 5: ("default", 1.5), 6: ("default", 4.0)}
+
+
+@pytest.mark.parametrize("mean,stddev", [(4.0, 1.5), (26.0, 14.5), (0.2, 0.1), (0.2, 3.0), (-50.0, 1.0), (-5.0, 9.0), (3.0, 0.0), (300.0, 900.0)])
+def test_bounds_hold_the_exact_sums(mean, stddev):
+    for items, rows in ((1, 200), (2, 50), (7, 50), (3_001, 20), (40_000, 3)):
+        iterations = np.arange(9, 9 + rows, dtype=np.int32)
+        exact = draws.block_totals(11, 22, 3, items, mean, stddev, iterations)
+        low, high = draws.block_bounds(11, 22, 3, items, mean, stddev, iterations)
+        assert (low <= exact).all() and (exact <= high).all(), items
+        assert (high - low <= 2 * items + 2 + 5e-5 * 3_600_000 * items * (stddev + abs(mean))).all()
+
+
+@pytest.mark.parametrize("mode", ["nearest", "compat"])
+def test_quantiles_are_ranks_of_all_exact_sums(spark, mode):
+    """Few sums are drawn exactly, and the quantiles are those of drawing all of them."""
+    sizes = spark.createDataFrame(
+        [("P", "S", 5, 30.0, 14.0, 4_001), ("P", "M", 5, 2.0, 3.0, 977), ("Q", "S", 5, 4.0, 0.0, 50), ("R", "S", 5, 4.0, 1.0, 1), (None, "S", 5, 4.0, 1.0, 3)],
+        "project_key STRING, size STRING, n BIGINT, mean DOUBLE, stddev DOUBLE, remaining BIGINT")
+    caps = spark.createDataFrame([(p, 8.0) for p in "PQRS"], CAPACITY)
+    iterations, levels = 2_000, (1, 50, 95, 100)
+    got = by(quantiles.completion_quantiles(sizes, caps, percentiles=levels, iterations=iterations, rank_mode=mode), "project_key", "pct")
+    every = quantiles.iteration_totals(sizes, iterations, 42).collect()
+    for p in "PQR":
+        ms = sorted(r["total_ms"] for r in every if r["project_key"] == p)
+        assert len(ms) == iterations
+        for pct in levels:
+            assert got[p, pct]["days"] == ms[quantiles.rank_of(pct, iterations, mode) - 1] / (3_600_000.0 * 8.0), (p, pct)
+    assert {got["S", pct]["days"] for pct in levels} == {0.0}
+    drawn = by(quantiles.open_iterations(sizes, iterations, 42, [1_000, 1_900]), "project_key")
+    assert 2 <= len(drawn["P"]["listed"]) < iterations // 10
