@@ -69,7 +69,7 @@ def text(name: str) -> Column:
 def page_files(s: SparkSession, d: str) -> str:
     """Issue pages written as JSON lines."""
     path = scratch.new_path(s, "pages")
-    wh.issue_pages(s, d).write.text(path)
+    issue_source.write_issue_pages(wh.issue_pages(s, d), path)
     return path
 
 

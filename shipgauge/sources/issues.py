@@ -10,6 +10,8 @@ from shipgauge.sources.schemas import ATTACHMENTS, KNOWN_FIELDS, LINKS, PAGE, RE
 
 
 _UNREADABLE = "unreadable"
+# Pages of 100 issues in one written file, some 140 MB of text.
+PAGES_PER_FILE = 1_000
 
 
 def _pages(spark: SparkSession, path: str, multiline: bool, mode: str) -> DataFrame:
@@ -17,10 +19,18 @@ def _pages(spark: SparkSession, path: str, multiline: bool, mode: str) -> DataFr
     return reader.option("mode", mode).option("multiLine", multiline).json(path)
 
 
+def write_issue_pages(pages: DataFrame, path: str) -> None:
+    """Pages of JSON text (one column) as compressed lines.
+
+    A compressed file is read by one task, so a file holds PAGES_PER_FILE pages at most.
+    """
+    pages.write.option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
+
+
 def read_issue_pages(spark: SparkSession, path: str, multiline: bool = False, strict: bool = True) -> DataFrame:
     """One row per issue: issue_key, fields VARIANT, changelog.
 
-    One page per line keeps large files splittable; ``multiline`` reads files that
+    One page per line keeps large plain files splittable; ``multiline`` reads files that
     hold one formatted page each. A page is parsed once, its fields into a VARIANT.
     Invalid JSON fails the job; without ``strict`` such pages and issues without a key
     are left out, and ``issue_rejects`` tells which.

@@ -1,5 +1,6 @@
 """Stores, page and file readers, sinks, streams."""
 
+import gzip
 import json
 from datetime import datetime
 from types import SimpleNamespace
@@ -67,6 +68,20 @@ def test_one_array_is_read_by_several_tasks(spark, tmp_path):
     assert {r["project_key"] for r in stores.read_item_files(spark, str(tmp_path), ["[x],{y}", "tabs", "gone"]).collect()} == {"[x],{y}", "tabs"}
 
 
+def test_written_pages_are_compressed_and_bounded(spark, tmp_path):
+    """A file holds a bounded number of pages, takes a fraction of its text, and reads back whole."""
+    text = F.concat(F.lit('{"issues":[{"key":"X-'), F.col("id").cast("string"), F.lit('","fields":{"summary":"the same words again and again"}}],"isLast":true}'))
+    pages = spark.range(0, 2500, 1, 1).select(text.alias("value")).union(spark.createDataFrame([('{"issues":[{"key":"BROKEN',)], "value STRING"))
+    issue_source.write_issue_pages(pages, str(tmp_path / "pages"))
+    files = list((tmp_path / "pages").glob("part-*"))
+    lines = [gzip.decompress(f.read_bytes()).splitlines() for f in files]
+    assert max(map(len, lines)) <= 1000 and sum(map(len, lines)) == 2501
+    assert sum(f.stat().st_size for f in files) * 5 < sum(len(x) for some in lines for x in some)
+    got = issue_source.read_issue_pages(spark, str(tmp_path / "pages"), strict=False)
+    assert {r["issue_key"] for r in got.collect()} == {f"X-{n}" for n in range(2500)}
+    assert one(issue_source.issue_rejects(spark, str(tmp_path / "pages")))["level"] == "page"
+
+
 def test_unusable_records_of_an_export(spark, tmp_path):
     """Strict reading fails; otherwise what is usable is kept and the rest is listed with its reason."""
     keyless = {"issues": [{"fields": {"summary": "s"}}, {"key": "X-3", "fields": {"labels": "not a list", "timespent": "x", "summary": "t"}}]}
