@@ -32,6 +32,8 @@ LEAST = 100
 TOP = 2_000
 # Suffixes of a group, and of the rows that a task holds before it passes them on.
 BUDGET = 1 << 18
+# Text that is cut into words at once; places, pieces and hashes take some 20 times as much.
+TEXT_BYTES = 2 << 20
 # Bits of a filter: 16 a key, at most 2 ** FILTER_LOG.
 FILTER_LOG = 26
 WORD_COUNTS = "h long, lang string, word string, n long"
@@ -123,7 +125,7 @@ def _word_counts(seed: tuple[int, int], held_rows: int):
     def run(batches):
         held, rows = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 held.append(Coded(part, seed, count=True).counts)
                 rows += held[-1].num_rows
                 if rows > held_rows:
@@ -158,7 +160,7 @@ def _pair_counts(seed: tuple[int, int], words, held_rows: int):
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 c = Coded(part, seed)
                 known = words.value.has(c.hashes)
                 both = known[:-1] & known[1:] & (c.piece[:-1] == c.piece[1:])
@@ -209,7 +211,7 @@ def _suffixes(seed: tuple[int, int], pairs, hot_words, hot_pairs, groups: int, d
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 c = Coded(part, seed)
                 if len(c.hashes) < 2:
                     continue

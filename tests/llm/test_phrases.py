@@ -104,3 +104,14 @@ def test_bits():
             words[p >> 6] |= np.uint64(1 << (p & 63))
     others = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     assert b.has(keys).all() and b.has(others).mean() < 0.01
+
+
+def test_text_is_cut_into_words_in_small_parts(monkeypatch):
+    """A batch of 8 MB never has the places of all its words in memory at once."""
+    sizes, words = [], ph.split_words
+    monkeypatch.setattr(ph, "split_words", lambda texts: sizes.append(texts.nbytes) or words(texts))
+    text = "some words again and again " * 2_000
+    batch = pa.record_batch({"text": pa.array([text] * 150), "lang": pa.array(["en"] * 150)})
+    counted = pa.Table.from_batches(ph._word_counts((0, 64), ph.BUDGET)(iter([batch])))
+    assert max(sizes) < 3 << 20 < sum(sizes)
+    assert dict(zip(counted.column("word").to_pylist(), counted.column("n").to_pylist())) == {w: 300_000 * (1 + (w == "again")) for w in ("some", "words", "again", "and")}
