@@ -22,8 +22,8 @@ from shipgauge.settings import (
 )
 from shipgauge.sources.scratch import materialize
 
-# Item pairs times iterations in one unit of work, about 50 milliseconds.
-PAIRS_PER_UNIT = 1 << 18
+# Item pairs times iterations in one unit of work, about 30 milliseconds.
+PAIRS_PER_UNIT = 1 << 20
 
 
 def _default(index: int) -> Column:

@@ -169,6 +169,26 @@ def test_bounds_hold_the_exact_sums(mean, stddev):
         assert (high - low <= 2 * items + 2 + 5e-5 * 3_600_000 * items * (stddev + abs(mean))).all()
 
 
+def test_bounds_of_many_items_are_near_each_other():
+    """They leave open few ranks: the width a draw is some 7e-6 deviations, and 2 milliseconds."""
+    iterations = np.arange(40, dtype=np.int32)
+    for items in (3_000, 39_999):
+        low, high = draws.block_bounds(11, 22, 3, items, 26.0, 14.5, iterations)
+        assert (high - low <= items * (2.1 + 8e-6 * 14.5 * 3_600_000)).all(), items
+
+
+def test_bounds_do_not_depend_on_units_and_blocks(monkeypatch):
+    """Those of other blocks hold the exact sums too, also where a unit is cut within an iteration."""
+    iterations = np.arange(30, dtype=np.int32)
+    for pairs in (8, 60, 1 << 15):
+        monkeypatch.setattr(draws, "PAIRS_PER_BOUND", pairs)
+        for items in (1, 9, 15, 16, 17, 333):
+            for stddev in (14.5, -14.5):
+                exact = draws.block_totals(5, 6, 1, items, 26.0, stddev, iterations)
+                low, high = draws.block_bounds(5, 6, 1, items, 26.0, stddev, iterations)
+                assert (low <= exact).all() and (exact <= high).all() and (high - low < 200_000).all(), (pairs, items)
+
+
 @pytest.mark.parametrize("mode", ["nearest", "compat"])
 def test_quantiles_are_ranks_of_all_exact_sums(spark, mode):
     """Few sums are drawn exactly, and the quantiles are those of drawing all of them."""
