@@ -128,13 +128,16 @@ class Encoder:
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        sums = np.concatenate([[0], np.cumsum(self._lengths[at])])
+        lengths = self._lengths[at]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.diff(sums[bounds - bounds[0]])
         if not want_ids:
             return counts, None
-        ends = np.concatenate([[0], np.cumsum(self._lengths)])
-        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(self._ids, pa.uint32()))
-        return counts, lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        # An id's place in the memo: its place here, moved by as much as its word is.
+        starts = np.cumsum(self._lengths) - self._lengths
+        places = np.repeat(starts[at] - sums[:-1], lengths)
+        places += np.arange(len(places))
+        return counts, self._ids[places]
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Where the memo holds each of these distinct words; new ones are encoded first."""
@@ -147,7 +150,7 @@ class Encoder:
             found, new = pa.nulls(len(words), pa.int32()), words
         lengths, ids = [], []
         for k in range(0, len(new), WORDS_PER_CALL):
-            some = self._whole(new[k:k + WORDS_PER_CALL].to_pylist())
+            some = self._whole(new[k:k + WORDS_PER_CALL].to_numpy(zero_copy_only=False).tolist())
             lengths.append(np.fromiter(map(len, some), np.int64, len(some)))
             ids.append(np.fromiter(chain.from_iterable(some), np.uint32))
         at = found.to_numpy(zero_copy_only=False).astype(np.float64)

@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -46,12 +47,14 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         digits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        at = ids.astype(np.uint16 if digits <= 16 else np.uint32)
+        at = pa.array(ids.astype(np.uint16 if digits <= 16 else np.uint32))
         planes = []
         for d in range(digits - 1, -1, -1):
-            bits = (at >> d & 1).astype(bool)
-            planes.append(np.packbits(bits, bitorder="little"))
-            at = np.concatenate([at[~bits], at[bits]])
+            digit = at.to_numpy()
+            planes.append(np.packbits(digit & digit.dtype.type(1 << d) != 0, bitorder="little"))
+            if d:  # a plane is laid out as Arrow's booleans are
+                bits = pa.Array.from_buffers(pa.bool_(), len(at), [None, pa.py_buffer(planes[-1])])
+                at = pa.concat_arrays([at.filter(pc.invert(bits)), at.filter(bits)])
         return cls(len(ids), planes)
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
@@ -123,9 +126,11 @@ class WaveletMatrix:
         at = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            ones = at[self.zeros[level]:]
+            ones |= at.dtype.type(1 << (len(self.planes) - 1 - level))
             out = np.empty_like(at)
-            out[~bits], out[bits] = at[:self.zeros[level]], at[self.zeros[level]:]
-            at = out | bits.astype(at.dtype) << (len(self.planes) - 1 - level)
+            out[~bits], out[bits] = at[:self.zeros[level]], ones
+            at = out
         return at.astype(np.uint32)
 
 

@@ -35,6 +35,17 @@ def test_words_one_after_the_other_are_the_text(path, texts):
     assert ENCODERS[path].count(pa.array(texts, pa.string())).tolist() == [len(ids(path, t)) for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_sliced_texts_and_known_words(path):
+    """Slices of an array, texts without words and words met before give the library's ids."""
+    texts = ["", "first words", None, "", "words\nfirst again", " ", "first", ""]
+    whole, own = pa.array(texts), Encoder(path)
+    for a, b in ((0, 8), (2, 5), (3, 4), (5, 8), (0, 0), (1, 7)):
+        flat, starts = own.encode(whole[a:b])
+        assert len(starts) == b - a + 1 and starts[-1] == len(flat) and flat.dtype == np.uint32
+        assert [flat[x:y].tolist() for x, y in zip(starts, starts[1:])] == [list(ids(path, t)) for t in texts[a:b]]
+
+
 def test_memo_starts_anew_when_full(monkeypatch):
     monkeypatch.setattr("shipgauge.llm.encoding.MEMO_WORDS", 5)
     e = Encoder(WORD)
@@ -119,6 +130,19 @@ def test_wavelet_matrix(high):
         w.access([9001])
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 4_095, 4_097])
+@pytest.mark.parametrize("high", [2, 300, 1 << 16, 1 << 20])
+def test_planes_are_stable_partitions(n, high):
+    """Every plane holds a digit of the ids, ordered stably by each digit before; decoding gives the ids."""
+    values = np.random.default_rng(n).integers(0, high, n).astype(np.uint32)
+    matrix, at = WaveletMatrix.build(values), values.copy()
+    for level, plane in enumerate(matrix.planes):
+        bits = at >> (len(matrix.planes) - 1 - level) & 1
+        assert np.unpackbits(plane, count=n, bitorder="little").tolist() == bits.tolist()
+        at = np.concatenate([at[bits == 0], at[bits == 1]])
+    assert matrix.decode().tolist() == values.tolist()
+
+
 def test_wavelet_matrix_of_nothing():
     w = from_bytes(to_bytes([], np.zeros(0, np.int64), np.zeros(0, np.uint32)))[2]
     assert len(w.decode()) == 0 and w.rank(3) == 0
