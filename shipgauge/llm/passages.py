@@ -80,10 +80,11 @@ def _units(filters, lines: bool):
                 rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))))
                 out = [[] for _ in names]
                 for (doc_id, row, text), h in zip(rows, _word_hashes([t for *_, t in rows])):
-                    at, word = 0, 0
+                    at, word, before = 0, 0, 0
                     for k, (a, b, n, plain) in enumerate(text_lines(text) if lines else text_units(text)):
-                        word += len(text[at:a].split())
-                        at = a
+                        # All words of a text are in its lines, not all in its sentences.
+                        word += before if lines else len(text[at:a].split())
+                        at, before = a, n
                         if lines:
                             bit = _line_hash(plain) % FILTER_BITS
                             if not twice[bit >> 3] >> (bit & 7) & 1:
@@ -186,7 +187,8 @@ def _anchors(batches):
                 windows, bounds = _joined(h, WINDOW), list(zip(starts.tolist(), ends.tolist()))
                 anchors.append(own)
                 digests += [xxhash.xxh3_64_intdigest(h[a:b + WINDOW - 1].tobytes()) for a, b in bounds]
-                loop = len(np.unique(windows)) < len(windows)
+                ranked = np.sort(windows)
+                loop = bool((ranked[1:] == ranked[:-1]).any())
                 loops += [loop and len(np.unique(windows[a:b])) < b - a for a, b in bounds]
             columns = np.concatenate(anchors).view(np.int64), np.array(digests, np.uint64).view(np.int64), np.array(loops, bool)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "digest", "loop"])

@@ -218,6 +218,17 @@ def test_links_down_to_the_similarity_are_found(spark, similarity, rate):
 
 # ---- passages
 
+@pytest.mark.parametrize("text", ["", " \n\t", "one", "a b\nc", "\n a  b\x0b c \n\n\x1c d\x85e\u2003f \n", "x\r\ny z\r\n", "İ Σ\nß\u3000\nend "])
+def test_words_before_a_line_are_those_of_the_lines_before(text):
+    from shipgauge.llm.passages import text_lines
+
+    before = 0
+    for begin, _, words, _ in text_lines(text):
+        assert len(text[:begin].split()) == before
+        before += words
+    assert len(text.split()) == before
+
+
 def brute_passages(rows, run_words):
     first, found = {}, []
     ranked = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
