@@ -15,11 +15,17 @@ that went into adding every pair to a hash table.
 
 Where only ranks count, ``unit_bounds`` draws the same items in 4-byte floats, several
 times as fast, and returns two whole numbers that the exact sum lies between.
+
+The first words of an iteration's pairs are 20,000 or fewer neighbours on one circle of
+2^32 words, the same for all projects and sizes. Where a job draws more pairs than the
+circle has words, units are dealt by the range of the circle they begin in, and the
+radii of a range are worked out once for all of them.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +57,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FURTHEST = 6.77
 # Pairs whose bounds are drawn at once: 128 KiB per array of 4 bytes.
 PAIRS_PER_BOUND = 1 << 15
+# Words of the circle in a range: 64 MiB of radii.
+RANGE_BITS = 24
+# Units whose bounds leave a task together.
+UNITS_PER_BATCH = 32
+# Radii are added up between every so many of them.
+STRIDE = 128
+# Turns a first word before its last scramble into its place on the circle.
+INVERSE_A = pow(STEP_A, -1, 1 << 32)
 # Widths of these arrays are multiples of it. So many pairs are added up in 4 bytes, the rest in 8.
 FOLD = 4
 # Directions are looked up by the first bits of an angle; its last ones turn them a little,
@@ -71,6 +85,7 @@ ROUNDING_PAIR = 1.3e-6
 
 TOTALS = "project_key STRING, iteration INT, ms BIGINT"
 BOUNDS = "project_key STRING, iteration INT, low BIGINT, high BIGINT"
+RANGED = "project_key STRING, key_a BIGINT, key_b BIGINT, chunk BIGINT, items BIGINT, mean DOUBLE, stddev DOUBLE, listed ARRAY<INT>, range INT"
 
 
 def keys(seed: int, *parts: Column) -> tuple[Column, Column]:
@@ -153,14 +168,51 @@ def _mix(x: np.ndarray, spare: np.ndarray) -> None:
     np.bitwise_xor(x, spare, out=x)
 
 
+def _radii(words: np.ndarray, spare: np.ndarray, out: np.ndarray) -> None:
+    """Radii of first words before their last scramble; ``words`` and ``spare`` are used up."""
+    _mix(words, spare)
+    np.copyto(out, words, casting="unsafe")
+    out += np.float32(0.5)
+    out *= np.float32(1 / 4294967296.0)
+    np.log(out, out=out)
+    out *= np.float32(-2.0)
+    np.sqrt(out, out=out)
+    small = np.flatnonzero(words > NEAR_ONE)
+    out.reshape(-1)[small] = np.sqrt(np.log((words.reshape(-1)[small] + 0.5) / 4294967296.0) * -2.0)
+
+
+def range_radii(number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Radii of a range of the circle and of as many words after it as a chunk has pairs, and their sums before every STRIDE-th."""
+    size = (1 << RANGE_BITS) + ((PAIRS_PER_CHUNK + FOLD) // STRIDE + 2) * STRIDE
+    out, words, spare = np.empty(size, np.float32), *np.empty((2, PAIRS_PER_BOUND), np.uint32)
+    steps = np.arange(PAIRS_PER_BOUND, dtype=np.uint32) * np.uint32(STEP_A)
+    for left in range(0, size, PAIRS_PER_BOUND):
+        piece = out[left:left + PAIRS_PER_BOUND]
+        first = ((number << RANGE_BITS) + left) * STEP_A & 0xFFFFFFFF
+        np.add(steps, np.uint32(first), out=words)
+        _radii(words[:len(piece)], spare[:len(piece)], piece)
+    sums = np.add.reduce(out.reshape(-1, STRIDE), axis=1, dtype=np.float64)
+    return out, np.concatenate([[0.0], np.cumsum(sums)])
+
+
+def bound_buffers() -> list[np.ndarray]:
+    """The arrays that ``block_bounds`` works in, for PAIRS_PER_BOUND pairs."""
+    kinds = np.uint32, np.uint32, np.int64, np.float32, np.complex64, np.complex64, np.complex64
+    buffers = [np.empty(PAIRS_PER_BOUND, t) for t in kinds]
+    buffers[4].real = ANGLE_UNITS
+    return buffers
+
+
 def block_bounds(
-    key_a: int, key_b: int, chunk: int, items: int, mean: float, stddev: float, iterations: np.ndarray
+    key_a: int, key_b: int, chunk: int, items: int, mean: float, stddev: float, iterations: np.ndarray,
+    radii: tuple[np.ndarray, np.ndarray] | None = None, buffers: list[np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Two whole numbers of milliseconds per iteration; ``block_totals`` lies between them.
 
-    Hours are added up as differences from the mean, whose rounding errors are as small
-    as the spread is. What is rounded to milliseconds counts with one a draw. All is done
-    in arrays of PAIRS_PER_BOUND pairs that are made once and stay in a core's cache.
+    Hours are added up as differences from the mean, in deviations, whose rounding errors are as
+    small as the spread is. What is rounded to milliseconds counts with one a draw. All is done
+    in arrays of PAIRS_PER_BOUND pairs that are made once and stay in a core's cache. ``radii``
+    are those of the range that all of the iterations begin in.
     """
     certain = _certain(items, mean, stddev, iterations)
     if certain is not None:
@@ -169,59 +221,81 @@ def block_bounds(
     padded = -(-pairs // FOLD) * FOLD
     width = min(PAIRS_PER_BOUND, padded)
     rows = min(len(iterations), PAIRS_PER_BOUND // width)
-    lanes = np.stack(_lanes(key_a, key_b, chunk, iterations))[:, :, None]
-    steps = np.arange(padded, dtype=np.uint32) * np.array([[[STEP_A]], [[STEP_B]]], np.uint32)
-    kinds = (np.uint32, 2), (np.uint32, 2), (np.int64, 1), (np.float32, 1), (np.complex64, 1), (np.complex64, 1)
-    buffers = [np.empty(k * rows * width, t) for t, k in kinds]
-    least = np.full(2 * rows * width, (MIN_ITEM_HOURS - mean) * ANGLE_UNITS, np.float32)
+    spread = abs(stddev)
+    lanes = _lanes(key_a, key_b, chunk, iterations)
+    steps = [np.arange(padded, dtype=np.uint32) * np.uint32(step) for step in (STEP_A, STEP_B)]
+    buffers = buffers or bound_buffers()
+    least = buffers[-1].view(np.float32)[:2 * rows * width]
+    least.fill((MIN_ITEM_HOURS - mean) / spread * ANGLE_UNITS)
     off, reach = np.zeros(len(iterations)), np.zeros(len(iterations))
+    if radii is not None:
+        table, sums = radii
+        starts = (lanes[0] * np.uint32(INVERSE_A) & np.uint32((1 << RANGE_BITS) - 1)).astype(np.int64)
+        reach = sums[(starts + pairs - 1) // STRIDE + 1] - sums[starts // STRIDE]
+        starts = starts.tolist()
     for top in range(0, len(iterations), rows):
         some = slice(top, min(top + rows, len(iterations)))
         for left in range(0, pairs, width):
             n = min(width, padded - left)
             size = (some.stop - top) * n
-            words, spare, at, radius, turn, z = (b[:k * size].reshape(-1, n) for b, (_, k) in zip(buffers, kinds))
-            np.add(lanes[:, some], steps[:, :, left:left + n], out=words.reshape(2, -1, n))
+            words, spare, at, radius, turn, z = (b[:size].reshape(-1, n) for b in buffers[:-1])
+            if radii is None:
+                np.add(lanes[0][some, None], steps[0][left:left + n], out=words)
+                _radii(words, spare, radius)
+                reach[some] += np.add.reduce(radius[:, :pairs - left], axis=1)
+            else:
+                for row, start in zip(radius, starts[some]):
+                    row[:] = table[start + left:start + left + n]
+            if stddev < 0:
+                np.negative(radius, out=radius)
+            np.add(lanes[1][some, None], steps[1][left:left + n], out=words)
             _mix(words, spare)
-            a, b = words.reshape(2, -1, n)
-            np.copyto(radius, a, casting="unsafe")
-            radius += np.float32(0.5)
-            radius *= np.float32(1 / 4294967296.0)
-            np.log(radius, out=radius)
-            radius *= np.float32(-2.0 * stddev * stddev)
-            np.sqrt(radius, out=radius)
-            small = np.flatnonzero(a > NEAR_ONE)
-            radius.reshape(-1)[small] = np.sqrt(np.log((words[:len(a)].reshape(-1)[small] + 0.5) / 4294967296.0) * (-2.0 * stddev * stddev))
-            reach[some] += np.einsum("ij->i", radius[:, :pairs - left])
             # Next to a direction, an angle's sine is the angle and its cosine is 1.
-            place, angle = spare[:len(b)], a.view(np.float32)
-            np.right_shift(b, np.uint32(LAST_BITS), out=place)
-            np.copyto(at, place)
-            np.bitwise_and(b, np.uint32((1 << LAST_BITS) - 1), out=b)
-            np.copyto(angle, b.view(np.int32), casting="unsafe")
-            np.multiply(radius, np.float32(ANGLE_UNITS if stddev > 0 else -ANGLE_UNITS), out=turn.real)
-            np.multiply(radius, angle if stddev > 0 else -angle, out=turn.imag)
+            np.right_shift(words, np.uint32(LAST_BITS), out=spare)
+            np.copyto(at, spare)
+            np.bitwise_and(words, np.uint32((1 << LAST_BITS) - 1), out=words)
+            np.copyto(turn.imag, words.view(np.int32), casting="unsafe")
             np.take(DIRECTIONS, at, out=z, mode="clip")
             z *= turn
+            z *= radius
             hours = z.view(np.float32)
             np.maximum(hours, least[:2 * size].reshape(hours.shape), out=hours)
-            hours[:, max(0, items - 2 * left):] = 0
-            off[some] += np.add.reduce(hours.reshape(len(hours), 2 * FOLD, -1), axis=1).sum(axis=1, dtype=np.float64)
-    off /= ANGLE_UNITS
-    middle = (items * mean + off) * MS_PER_HOUR
-    error = ROUNDING * (reach + items * max(MIN_ITEM_HOURS - mean, 0.0)) + ROUNDING_PAIR * pairs * abs(stddev)
+            if items < 2 * (left + n):
+                hours[:, max(0, items - 2 * left):] = 0
+            while hours.shape[1] > n // FOLD:
+                half = hours.shape[1] // 2
+                hours = np.add(hours[:, :half], hours[:, half:], out=hours[:, :half])
+            off[some] += np.add.reduce(hours, axis=1, dtype=np.float64)
+    middle = (items * mean + off * (spread / ANGLE_UNITS)) * MS_PER_HOUR
+    error = ROUNDING * (reach * spread + items * max(MIN_ITEM_HOURS - mean, 0.0)) + ROUNDING_PAIR * pairs * spread
     error *= MS_PER_HOUR
     error += items + 1e-14 * np.abs(middle)
     return np.floor(middle - error).astype(np.int64), np.ceil(middle + error).astype(np.int64)
 
 
+def _unit(unit: dict) -> tuple:
+    """(project, iterations, arguments of a draw before these) of a unit, which lists its iterations or has a first and a last."""
+    listed = unit["listed"]
+    every = np.arange(unit["first"], unit["last"] + 1, dtype=np.int32) if listed is None else np.array(listed, np.int32)
+    return unit["project_key"], every, [unit[c] for c in ("key_a", "key_b", "chunk", "items", "mean", "stddev")]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(project, iterations, arguments of a draw before these) of every unit; a unit lists its iterations or has a first and a last."""
     for batch in batches:
-        for unit in batch.to_pylist():
-            listed = unit["listed"]
-            every = np.arange(unit["first"], unit["last"] + 1, dtype=np.int32) if listed is None else np.array(listed, np.int32)
-            yield unit["project_key"], every, [unit[c] for c in ("key_a", "key_b", "chunk", "items", "mean", "stddev")]
+        yield from map(_unit, batch.to_pylist())
+
+
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: units of work in, the same cut by the ranges that their iterations begin in out."""
+    for project, iterations, unit in _units(batches):
+        own = _lanes(*unit[:3], iterations)[0] * np.uint32(INVERSE_A) >> np.uint32(RANGE_BITS)
+        order = np.argsort(own, kind="stable")
+        ranges, firsts = np.unique(own[order], return_index=True)
+        listed = pa.ListArray.from_arrays(np.append(firsts, len(own)).astype(np.int32), pa.array(iterations[order]))
+        names = "project_key", "key_a", "key_b", "chunk", "items", "mean", "stddev"
+        kinds = pa.string(), *[pa.int64()] * 4, *[pa.float64()] * 2
+        same = {c: pa.repeat(pa.scalar(v, k), len(ranges)) for c, v, k in zip(names, (project, *unit), kinds)}
+        yield pa.record_batch({**same, "listed": listed, "range": ranges.astype(np.int32)})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -240,8 +314,23 @@ def unit_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unit_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow``: units of work in, bounds of the sums per project and iteration out."""
-    for project, iterations, unit in _units(batches):
-        low, high = block_bounds(*unit, iterations)
-        yield pa.record_batch({
-            "project_key": pa.repeat(pa.scalar(project, pa.string()), len(low)), "iteration": iterations, "low": low, "high": high})
+    """For ``mapInArrow``: units of work in, bounds of the sums per project and iteration out.
+
+    The radii of a range serve all units of a batch that begin there, if they have more pairs than it has words.
+    """
+    held, radii, buffers = None, None, bound_buffers()
+    for batch in batches:
+        units, pairs, out = batch.to_pylist(), Counter(), []
+        for unit in units:
+            if "range" in unit:
+                pairs[unit["range"]] += (unit["items"] + 1) // 2 * len(unit["listed"])
+        for unit in units:
+            project, iterations, drawn = _unit(unit)
+            number = unit.get("range")
+            if number != held and pairs[number] > 1 << RANGE_BITS:
+                held, radii = number, range_radii(number)
+            low, high = block_bounds(*drawn, iterations, radii if number is not None and number == held else None, buffers)
+            out.append((pa.repeat(pa.scalar(project, pa.string()), len(low)), *map(pa.array, (iterations, low, high))))
+            if unit is units[-1] or len(out) >= UNITS_PER_BATCH:
+                yield pa.record_batch([pa.concat_arrays(c) for c in zip(*out)], names=["project_key", "iteration", "low", "high"])
+                out = []

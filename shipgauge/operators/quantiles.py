@@ -24,6 +24,8 @@ from shipgauge.sources.scratch import materialize
 
 # Item pairs times iterations in one unit of work, about 30 milliseconds.
 PAIRS_PER_UNIT = 1 << 20
+# From so many on, units share radii by ranges: each first word then serves once or more.
+SHARED_PAIRS = 1 << 32
 
 
 def _default(index: int) -> Column:
@@ -75,8 +77,10 @@ def backed_distribution(sizes: DataFrame, projects: DataFrame, classes: DataFram
     )
 
 
-def _units(distribution: DataFrame, count: Column, listed: Column, seed: int, tasks: int | None) -> DataFrame:
-    """Units of at most PAIRS_PER_CHUNK item pairs times as many iterations as make PAIRS_PER_UNIT.
+def _units(
+    distribution: DataFrame, count: Column, listed: Column, seed: int, tasks: int | None, whole: bool = False
+) -> DataFrame:
+    """Units of at most PAIRS_PER_CHUNK item pairs times as many iterations as make PAIRS_PER_UNIT, or all with ``whole``.
 
     ``count`` is the number of a row's iterations, ``listed`` their numbers, or NULL for
     those from 0 on. Work is cut before anything is drawn, and the units are dealt over
@@ -93,14 +97,14 @@ def _units(distribution: DataFrame, count: Column, listed: Column, seed: int, ta
     key_a, key_b = draws.keys(seed, c("project_key"), c("size"))
     per_chunk = 2 * draws.PAIRS_PER_CHUNK
     last_chunk = F.ceil(c("remaining") / F.lit(per_chunk)) - 1
-    per_unit = F.greatest(
+    per_unit = c("_count") if whole else F.greatest(
         F.lit(1), F.least(c("_count"), F.floor(F.lit(2 * PAIRS_PER_UNIT) / c("items")))
-    ).cast("int")
+    )
     return (
         distribution.withColumn("_count", count).where((c("remaining") > 0) & (c("_count") > 0))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
         .withColumn("items", F.least(c("remaining") - c("chunk") * per_chunk, F.lit(per_chunk)))
-        .withColumn("_per_unit", per_unit)
+        .withColumn("_per_unit", per_unit.cast("int"))
         .withColumn("first", F.explode(F.sequence(F.lit(0), c("_count") - 1, c("_per_unit"))))
         .select(
             "project_key", key_a.alias("key_a"), key_b.alias("key_b"), "chunk", "items", "mean", "stddev",
@@ -140,12 +144,18 @@ def open_iterations(
     The sum at a rank lies between the low and the high bound at this rank. An iteration
     whose bounds lie beyond both for every rank is left out, and counts for the ranks that
     it lies below. A project's rows are as many as ``iterations``, a number set by the
-    caller, and its sorts spill.
+    caller, and its sorts spill. From SHARED_PAIRS drawn pairs on, units are dealt by ranges
+    of first words, so that each radius is worked out once; how many there are is one number
+    taken from ``distribution``, a few rows a project.
     """
     c = F.col
+    pairs = distribution.where("stddev <> 0").agg(F.sum(F.ceil(c("remaining") / 2))).first()[0] or 0
+    shared = pairs * iterations >= SHARED_PAIRS
+    units = _units(distribution, F.lit(iterations), F.lit(None).cast("array<int>"), seed, tasks, whole=shared)
+    if shared:
+        units = units.mapInArrow(draws.by_range, draws.RANGED).repartitionById(1 << 32 - draws.RANGE_BITS, "range")
     bounds = (
-        _units(distribution, F.lit(iterations), F.lit(None).cast("array<int>"), seed, tasks)
-        .mapInArrow(draws.unit_bounds, draws.BOUNDS)
+        units.mapInArrow(draws.unit_bounds, draws.BOUNDS)
         .groupBy("project_key", "iteration")
         .agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     )

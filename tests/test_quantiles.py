@@ -207,3 +207,44 @@ def test_quantiles_are_ranks_of_all_exact_sums(spark, mode):
     assert {got["S", pct]["days"] for pct in levels} == {0.0}
     drawn = by(quantiles.open_iterations(sizes, iterations, 42, [1_000, 1_900]), "project_key")
     assert 2 <= len(drawn["P"]["listed"]) < iterations // 10
+
+
+def test_radii_of_a_range_serve_all_units_that_begin_there(monkeypatch):
+    """Units cut by ranges keep every iteration, and bounds from shared radii are as narrow and hold the exact sums."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(draws, "RANGE_BITS", 20)
+    monkeypatch.setattr(draws, "PAIRS_PER_BOUND", 1 << 12)
+    iterations = np.arange(40_000, dtype=np.int32)
+    args = [("P", 11, 22, 0, 6_001, 26.0, 14.5), ("Q", 5, 6, 1, 40_000, 2.0, -3.0), (None, 8, 9, 0, 5, 4.0, 0.0)]
+    names = "project_key", "key_a", "key_b", "chunk", "items", "mean", "stddev"
+    units = pa.RecordBatch.from_pylist([{**dict(zip(names, a)), "first": 0, "last": 39_999, "listed": None} for a in args])
+    cut = pa.Table.from_batches(draws.by_range([units]))
+    assert sorted((r["project_key"] or "", i) for r in cut.to_pylist() for i in r["listed"]) == sorted((a[0] or "", i) for a in args for i in iterations.tolist())
+    radii, sums = draws.range_radii(7)
+    last = (1 << 20) - 1 + draws.PAIRS_PER_CHUNK  # of the chunk that begins with the range's last word
+    assert len(radii) > last and draws.STRIDE * (len(sums) - 1) == len(radii) and abs(sums[-1] / radii.sum(dtype=np.float64) - 1) < 1e-9
+    made = []
+    monkeypatch.setattr(draws, "range_radii", lambda number, make=draws.range_radii: made.append(number) or make(number))
+    one = pa.Table.from_pylist([{**r, "listed": r["listed"][:60]} for r in cut.to_pylist() if r["range"] in (0, 4_095)] * 6, schema=cut.schema)
+    got = pa.Table.from_batches(draws.unit_bounds(one.sort_by("range").to_batches())).to_pylist()
+    assert made == [0, 4_095] and len(got) == 6 * sum(len(r) for r in cut.filter(pa.compute.is_in(cut["range"], pa.array([0, 4_095], pa.int32())))["listed"])
+    for project, *a in args:
+        rows = [r for r in got if r["project_key"] == project]
+        exact = draws.block_totals(*a, np.array([r["iteration"] for r in rows], np.int32))
+        assert all(r["low"] <= e <= r["high"] for r, e in zip(rows, exact.tolist()))
+        assert all(r["high"] - r["low"] <= a[3] * (2.1 + 3e-5 * (abs(a[4]) + abs(a[5])) * 3_600_000) for r in rows)
+
+
+def test_quantiles_are_the_same_where_units_are_dealt_by_ranges(spark, monkeypatch):
+    sizes = spark.createDataFrame(
+        [("P", "S", 5, 30.0, 14.0, 401), ("P", "M", 5, 2.0, 3.0, 97), ("Q", "S", 5, 4.0, 0.0, 50), (None, "S", 5, 4.0, 1.0, 3)],
+        "project_key STRING, size STRING, n BIGINT, mean DOUBLE, stddev DOUBLE, remaining BIGINT")
+    def drawn():
+        rows = quantiles.open_iterations(sizes, 500, 42, [250, 400]).collect()
+        return {r["project_key"]: (sorted(r["listed"]), r["places"]) for r in rows}
+
+    whole = drawn()
+    monkeypatch.setattr(quantiles, "SHARED_PAIRS", 1)
+    monkeypatch.setattr(draws, "RANGE_BITS", 29)
+    assert drawn() == whole and set(whole) == {"P", "Q", None}
