@@ -34,6 +34,8 @@ UNIT_WORDS = 3
 RUN_WORDS = 30
 # Texts that a task takes apart at a time.
 SLICE_BYTES = 3 << 20
+# Distinct words whose hashes a task keeps from one slice to the next.
+KNOWN_WORDS = 1 << 18
 # Words of a window, and of the grams among which its anchor is the smallest.
 WINDOW = 50
 GRAM = 20
@@ -74,12 +76,18 @@ def _units(filters, lines: bool):
 
     def run(batches):
         repeated, unlike, twice = filters.value
+        known = _Known()
         twice = memoryview(twice)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))))
                 out = [[] for _ in names]
-                for (doc_id, row, text), h in zip(rows, _word_hashes([t for *_, t in rows])):
+                h, bounds = _word_hashes([t for *_, t in rows], known)
+                starts, ends, anchors = _stretches(h, bounds)
+                live = _inside(repeated, anchors)
+                found = starts[live], ends[live], _inside(unlike, anchors[live]), anchors[live].view(np.int64)
+                limits, raw, bounds = np.searchsorted(found[0], bounds).tolist(), memoryview(h).cast("B"), bounds.tolist()
+                for (doc_id, row, text), first, end, low, high in zip(rows, bounds, bounds[1:], limits, limits[1:]):
                     at, word, before = 0, 0, 0
                     for k, (a, b, n, plain) in enumerate(text_lines(text) if lines else text_units(text)):
                         # All words of a text are in its lines, not all in its sentences.
@@ -91,18 +99,17 @@ def _units(filters, lines: bool):
                                 continue
                         for column, v in zip(out, (doc_id, row, k, a, b, n, word, xxhash.xxh3_128_digest(plain), None, None)):
                             column.append(v)
-                    if h is None:
-                        continue
-                    starts, ends, anchors = _stretches(h)
-                    live, single = _inside(repeated, anchors), _inside(unlike, anchors)
-                    if not live.any():
+                    if low == high:
                         continue
                     spans = [m.span() for m in _WORD.finditer(text)]
-                    windows = _joined(h, WINDOW).view(np.int64) if single.any() else None
-                    for a, b, one, anchor in zip(*(x[live].tolist() for x in (starts, ends, single, anchors.view(np.int64)))):
+                    single = found[2][low:high].any()
+                    windows = _joined(h[first:end], WINDOW).view(np.int64) if single else None
+                    for a, b, one, anchor in zip(*(x[low:high].tolist() for x in found)):
+                        digest = xxhash.xxh3_128_digest(raw[8 * a:8 * (b + WINDOW - 1)])
+                        a, b = a - first, b - first
                         last = b + WINDOW - 1  # words a to last - 1
                         own = [dict(digest=d, begin=spans[i][0], finish=spans[i + WINDOW - 1][1]) for i, d in enumerate(windows[a:b].tolist(), a)] if one else None
-                        values = doc_id, row, -1, spans[a][0], spans[last - 1][1], last - a, a, xxhash.xxh3_128_digest(h[a:last].tobytes()), anchor, own
+                        values = doc_id, row, -1, spans[a][0], spans[last - 1][1], last - a, a, digest, anchor, own
                         for column, v in zip(out, values):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS)], names=names)
@@ -110,11 +117,22 @@ def _units(filters, lines: bool):
     return run
 
 
-def _stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window + 1 and anchor of each stretch."""
+def _stretches(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window + 1 and anchor of each stretch of all texts; those of a text begin with its words."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = _sliding(_joined(h, GRAM), WINDOW - GRAM + 1, np.minimum)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return starts, np.append(starts[1:], len(least)), least[starts]
+    some = bounds[1:] > bounds[:-1]
+    firsts, lasts = bounds[:-1][some], bounds[1:][some] - WINDOW + 1
+    # Windows that reach into the next text are none.
+    inside = np.zeros(len(least) + 1, np.int8)
+    inside[firsts] += 1
+    inside[lasts] -= 1
+    new = np.append(True, least[1:] != least[:-1])
+    new[firsts] = True
+    starts = np.flatnonzero(new & np.cumsum(inside[:-1], dtype=np.int8).astype(bool))
+    own = lasts[np.searchsorted(firsts, starts, "right") - 1]
+    return starts, np.minimum(np.append(starts[1:], len(h)), own), least[starts]
 
 
 def _inside(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -150,17 +168,26 @@ def _joined(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _word_hashes(texts: list[str]):
-    """Per text the hashes of its words in lower case, sentence ends left out."""
-    known: dict[str, int] = {}
+class _Known(dict):
+    """Hashes of words in lower case, sentence ends left out."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.rstrip(".!?") or word)
+        return h
+
+
+def _word_hashes(texts: list[str], known: _Known) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts that have a window, and where each text begins in them (one more than texts)."""
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    parts, bounds = [np.zeros(0, np.uint64)], [0]
     for text in texts:
         words = text.lower().split()
-        if len(words) < WINDOW:
-            yield None
-            continue
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.rstrip(".!?") or w)
-        yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = len(words) if len(words) >= WINDOW else 0
+        if n:
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, n))
+        bounds.append(bounds[-1] + n)
+    return np.concatenate(parts), np.array(bounds, np.int64)
 
 
 def _line_hash(plain: str) -> int:
@@ -177,20 +204,20 @@ def _line_hashes(batches):
 
 def _anchors(batches):
     """Anchor and digest of every stretch, and whether a window comes twice in it."""
+    known = _Known()
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
-            anchors, digests, loops = [np.zeros(0, np.uint64)], [], []
-            for h in _word_hashes(part.column("text").to_pylist()):
-                if h is None:
-                    continue
-                starts, ends, own = _stretches(h)
-                windows, bounds = _joined(h, WINDOW), list(zip(starts.tolist(), ends.tolist()))
-                anchors.append(own)
-                digests += [xxhash.xxh3_64_intdigest(h[a:b + WINDOW - 1].tobytes()) for a, b in bounds]
-                ranked = np.sort(windows)
-                loop = bool((ranked[1:] == ranked[:-1]).any())
-                loops += [loop and len(np.unique(windows[a:b])) < b - a for a, b in bounds]
-            columns = np.concatenate(anchors).view(np.int64), np.array(digests, np.uint64).view(np.int64), np.array(loops, bool)
+            h, bounds = _word_hashes(part.column("text").to_pylist(), known)
+            starts, ends, anchors = _stretches(h, bounds)
+            raw, places = memoryview(h).cast("B"), list(zip(starts.tolist(), ends.tolist()))
+            digests = [xxhash.xxh3_64_intdigest(raw[8 * a:8 * (b + WINDOW - 1)]) for a, b in places]
+            windows, loops = _joined(h, WINDOW) if len(h) else h, np.zeros(len(places), bool)
+            limits = np.searchsorted(starts, bounds).tolist()
+            for first, end, low, high in zip(bounds.tolist(), (bounds[1:] - WINDOW + 1).tolist(), limits, limits[1:]):
+                ranked = np.sort(windows[first:max(first, end)])
+                if (ranked[1:] == ranked[:-1]).any():
+                    loops[low:high] = [len(np.unique(windows[a:b])) < b - a for a, b in places[low:high]]
+            columns = anchors.view(np.int64), np.array(digests, np.uint64).view(np.int64), loops
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "digest", "loop"])
 
 

@@ -596,3 +596,23 @@ def test_a_rare_domain_reaches_its_target(spark, caplog):
         assert [r.levelname for r in caplog.records] == ["INFO", "INFO"] and "a reaches 2000 expected tokens, target 2000" in caplog.text
         _rates(members, {"a": 0.1, "b": 0.9}, None, 4.0)
     assert "a reaches 800 expected tokens, target 2000, MISSED" in caplog.text
+
+
+def test_stretches_of_many_texts_are_those_of_each():
+    """Texts of a slice are hashed as one; no window reaches into the next text, and hashes of words may be forgotten."""
+    import numpy as np
+    from shipgauge.llm import passages
+
+    rng = np.random.default_rng(3)
+    same = " ".join(f"s{i}" for i in range(70))
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 900, n)) for n in (0, 49, 50, 51, 300, 3, 80)] + ["", same, same + ".", f"x {same}", "a " * 60]
+
+    def stretches(some, known):
+        h, bounds = passages._word_hashes(some, known)
+        return [(h[a:b + passages.WINDOW - 1].tobytes(), k) for a, b, k in zip(*(x.tolist() for x in passages._stretches(h, bounds)))]
+
+    each = [s for t in texts for s in stretches([t], passages._Known())]
+    assert stretches(texts, passages._Known()) == each and len(each) > 20
+    full = passages._Known({str(i): i for i in range(passages.KNOWN_WORDS + 1)})
+    assert stretches(texts, full) == each and "1" not in full
+    assert stretches(["", "a b"], passages._Known()) == []
