@@ -79,9 +79,13 @@ def cycle_hours(wip: Column, done: Column, override: Column, spent_s: Column) ->
 def items_from_issues(
     issues: DataFrame, transitions: DataFrame, cfg: Settings = Settings()
 ) -> DataFrame:
-    """One work item per issue. Both join sides hold one row per issue."""
+    """One work item per issue. Both join sides hold one row per issue.
+
+    Neither side is small unless both are, and their sizes are guessed from files that may
+    be compressed, so the sides are merged; no size makes Spark send one through the driver.
+    """
     c = F.col
-    return issues.join(first_transitions(transitions, cfg), "issue_key", "left").select(
+    return issues.join(first_transitions(transitions, cfg).hint("merge"), "issue_key", "left").select(
         "project_key",
         c("issue_key").alias("item_id"),
         first_mapped(c("labels"), cfg.type_labels, cfg.default_type).alias("item_type"),

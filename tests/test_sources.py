@@ -188,6 +188,26 @@ def test_issue_pages(spark, tmp_path, multiline):
     assert one(issue_source.attachments_flat(pages))["created_day"] == "2026-04-02"
 
 
+def test_a_well_compressed_export_is_not_sent_through_the_driver(spark, tmp_path):
+    """Planned by the size of its files, an export looks small; its items come out although no table of 256 KB may be broadcast."""
+    head = F.concat(F.lit('{"key":"X-'), F.col("id").cast("string"), F.lit('","fields":{"summary":"s","status":{"name":"Done"}},'))
+    issue = F.concat(head, F.lit('"changelog":{"histories":[{"created":"2026-04-03T00:00:00.000+0000","items":[{"field":"status","toString":"Done"}]}]}}'))
+    pages = spark.range(20_000).groupBy(F.floor(F.col("id") / 100)).agg(F.concat_ws(",", F.collect_list(issue)).alias("issues"))
+    issue_source.write_issue_pages(pages.select(F.concat(F.lit('{"issues":['), "issues", F.lit("]}"))), str(tmp_path / "pages"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "64k", "spark.sql.maxBroadcastTableSize": "256k"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        read = issue_source.read_issue_pages(spark, str(tmp_path / "pages"))
+        made = ingest.items_from_issues(issue_source.issues_table(read), issue_source.transitions_table(read))
+        got = {tuple(r) for r in made.select("item_id", "done_ts").collect()}
+        assert got == {(f"X-{n}", datetime(2026, 4, 3)) for n in range(20_000)}
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+
+
 def session_like(master, **conf):
     context = SimpleNamespace(master=master, applicationId="x", getConf=lambda: conf)
     return SimpleNamespace(conf=conf, sparkContext=context)
